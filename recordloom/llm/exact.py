@@ -92,7 +92,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), "text").mapInArrow(
         _block_rows(block_bytes), f"block binary, places {PLACES}, doc_id long, n_bytes long, sha binary"
     )
-    spread = F.coalesce(F.xxhash64("block"), F.xxhash64(F.col("places")[0]["rid"]))
+    spread = F.when(F.col("block").isNotNull(), F.xxhash64("block")).otherwise(F.xxhash64(F.col("places")[0]["rid"]))
     placed = _named(rows, ["block"], spread, buckets).select(F.explode("places").alias("at"), "name", "doc_id", "n_bytes", "sha")
     spot = F.when(F.col("at.pos") >= 0, F.struct(F.col("at.pos").alias("pos"), "name"))
     base = written(
