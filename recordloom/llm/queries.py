@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import exact, lines, packing, sharding
+from recordloom.llm import exact, lines, ngram_join, packing, sharding, suffix
 from recordloom.tables import table
 
 
@@ -25,12 +25,22 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the size of its shingle set and the component of its Jaccard links."""
+    return ngram_join.near_groups(table(spark, sf_dir, "documents"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: bytes, bytes and runs removed as repeated 400-byte strings, and a digest of the rest."""
+    return suffix.strip_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the row of its group of equal texts that stays."""
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op4_sharding, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op4_sharding, op5_ngram_join, op6_suffix_dedup, op9_exact_dedup)}
 
 SQL = {
     "op2_line_dedup": f"""
