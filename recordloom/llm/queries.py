@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import exact, lines, ngram_join, packing, sharding, suffix
+from recordloom.llm import decontam, exact, langid, lines, ngram_join, packing, secret_scan, sharding, suffix, toxicity
 from recordloom.tables import table
 
 
@@ -20,6 +20,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.char_length("kept_text").cast("long").alias("kept_chars"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, with the item, the similarity and the place."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document under the byte limit."""
     return sharding.shards(table(spark, sf_dir, "documents"))
@@ -35,12 +40,42 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.strip_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: whether it was held out, its predicted language and the score."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the secrets that patterns find, a digest of them, and all spans with those of the Markov models."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the row of its group of equal texts that stays."""
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_line_dedup, op4_sharding, op5_ngram_join, op6_suffix_dedup, op9_exact_dedup)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: whether it was held out, its toxicity score, the prediction and the number of offending sentences."""
+    out = toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumn("n_sentences", F.size("sentences")).drop("sentences")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_packing,
+        op2_line_dedup,
+        op3_decontamination,
+        op4_sharding,
+        op5_ngram_join,
+        op6_suffix_dedup,
+        op7_language_id,
+        op8_secret_scan,
+        op9_exact_dedup,
+        op10_toxicity,
+    )
+}
 
 SQL = {
     "op2_line_dedup": f"""
