@@ -1,4 +1,9 @@
 """Registry of the queries and their DuckDB SQL."""
 
+from recordloom.plans import scalars, wholetables
+
 QUERIES: dict = {}
 SQL: dict = {}
+for module in (scalars, wholetables):
+    QUERIES |= module.QUERIES
+    SQL |= module.SQL
