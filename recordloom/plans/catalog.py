@@ -1,9 +1,9 @@
 """Registry of the queries and their DuckDB SQL."""
 
-from recordloom.plans import scalars, wholetables
+from recordloom.plans import business, scalars, wholetables
 
 QUERIES: dict = {}
 SQL: dict = {}
-for module in (scalars, wholetables):
+for module in (scalars, wholetables, business):
     QUERIES |= module.QUERIES
     SQL |= module.SQL

@@ -97,7 +97,7 @@ STOCK = """
 """
 
 SALES = """
-    SELECT concat('PV', cast(o_orderkey AS string)) AS code, 'system' AS source, 0 AS manual, o_custkey AS client, cast(round(o_totalprice * 100) AS bigint) AS cents, o_orderdate AS at, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'loja' END AS channel FROM {orders}
+    SELECT concat('PV', cast(o_orderkey AS string)) AS code, 'system' AS source, 0 AS manual, o_custkey AS client, cast(round(o_totalprice * 100) AS bigint) AS cents, o_orderdate AS sold_at, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'loja' END AS channel FROM {orders}
     UNION ALL
     SELECT concat('PV', cast(o_orderkey AS string)), 'manual', 1, CASE WHEN o_orderkey % 30 = 0 THEN NULL ELSE o_custkey END, cast(round(o_totalprice * 100) AS bigint) + CASE WHEN o_orderkey % 20 = 0 THEN 100 ELSE 0 END, o_orderdate, 'planilha' FROM {orders} WHERE o_orderkey % 10 = 0
     UNION ALL
