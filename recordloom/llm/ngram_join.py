@@ -30,6 +30,8 @@ from recordloom.tables import pick, written
 
 #: Text bytes for each fragment of the first step, fragments of the last, and members of an n-gram's list that are paired in one task.
 FRAGMENT_BYTES, MIN_FRAGMENTS, PAIR_FRAGMENTS, BLOCK = 16 << 20, 64, 4, 512
+#: Slices of the n-gram space in which the shared n-grams of a set are counted to bound the overlap of a pair.
+SLICES = 64
 
 
 def least_overlap(n):
@@ -126,6 +128,20 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["key", "tokens"])
 
 
+def _ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sets with their shared n-grams in frequency order: the prefix, and the counts in each slice."""
+    for batch in batches:
+        counts, prefixes, sizes = [], [], []
+        for n, tokens in zip(batch["n"].to_pylist(), batch["tokens"]):
+            t = tokens.values.to_numpy(zero_copy_only=False)
+            sizes.append(len(t))
+            counts.append(np.bincount(t % SLICES, minlength=SLICES).astype(np.uint32).tobytes())
+            prefixes.append(t[: max(0, len(t) - least_overlap(n) + 1)])
+        yield pa.RecordBatch.from_arrays(
+            [batch["sid"], batch["n"], pa.array(sizes, pa.int64()), pa.array(counts, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["sid", "n", "m", "slices", "tokens"]
+        )
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a cell's members that lie in different components and can reach the threshold."""
     for batch in batches:
@@ -133,11 +149,19 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, members in zip(batch["lo"].to_pylist(), batch["hi"].to_pylist(), batch["members"]):
             v = members.values
             sid, n, m, comp, block = (v.field(k).to_numpy(zero_copy_only=False) for k in ("sid", "n", "m", "comp", "block"))
+            slices = np.frombuffer(b"".join(v.field("slices").to_pylist()), np.uint32).reshape(-1, SLICES)
             left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-            able = (comp[left, None] != comp[right]) & (9 * np.minimum(m[left, None], m[right]) >= 4 * (n[left, None] + n[right]))
+            own = n - m
+            able = (comp[left, None] != comp[right]) & (9 * (own[left, None] + own[right]) <= n[left, None] + n[right])
+            able &= 9 * np.minimum(m[left, None], m[right]) >= 4 * (n[left, None] + n[right])
             a, b = np.nonzero(able)
-            a, b = sid[left[a]], sid[right[b]]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+            a, b = left[a], right[b]
+            for at in range(0, len(a), 1 << 15):
+                x, y = a[at : at + (1 << 15)], b[at : at + (1 << 15)]
+                most = np.minimum(slices[x], slices[y]).sum(axis=1)
+                fits = 9 * most >= 4 * (n[x] + n[y])
+                x, y = sid[x[fits]], sid[y[fits]]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
         x = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["x", "y"])
 
@@ -168,11 +192,9 @@ def links(sets: DataFrame) -> DataFrame:
     sizes = written(segments.groupBy("sid", "n").agg(F.sum(F.size("tokens")).alias("m")), "set-sizes")
 
     place = F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"])
-    ahead = shared.groupBy("sid", "n").agg(place.alias("tokens"))
-    m = F.size("tokens").cast("long")
-    room = m - F.expr(LEAST) + 1
-    prefix = ahead.filter(room > 0).select("sid", "n", m.alias("m"), F.explode(F.slice("tokens", 1, room.cast("int"))).alias("token"))
-    prefix = written(prefix, "prefix")
+    ahead = shared.groupBy("sid", "n").agg(place.alias("tokens")).mapInArrow(_ahead, "sid long, n long, m long, slices binary, tokens array<long>")
+    ahead = written(ahead, "ahead")
+    prefix = written(ahead.select("sid", "n", "m", F.explode("tokens").alias("token")), "prefix")
 
     hubs = prefix.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("m")).alias("own"), F.col("sid").alias("hub"), F.col("n").alias("hub_n"), F.col("m").alias("hub_m"))).alias("h"), F.count("*").alias("many"))
     hubs = written(hubs.filter("many > 1").select("token", "many", "h.hub", "h.hub_n", "h.hub_m"), "hubs")
@@ -188,8 +210,8 @@ def links(sets: DataFrame) -> DataFrame:
     mixed = member.groupBy("token").agg(F.count("*").alias("many"), F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("token", "many")
     mixed = written(mixed, "mixed")
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-    cells = member.join(mixed, "token").select("token", "sid", "n", "m", "comp", F.pmod(F.xxhash64("sid"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    cells = cells.groupBy("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).agg(F.collect_list(F.struct("sid", "n", "m", "comp", "block")).alias("members"))
+    cells = member.join(mixed, "token").join(ahead.select("sid", "slices"), "sid").select("token", "sid", "n", "m", "comp", "slices", F.pmod(F.xxhash64("sid"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    cells = cells.groupBy("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).agg(F.collect_list(F.struct("sid", "n", "m", "comp", "block", "slices")).alias("members"))
     more = cells.mapInArrow(_pairs, "x long, y long").distinct()
     more = more.join(tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
     second = _linked(written(more, "pairs"), segments, sizes)
