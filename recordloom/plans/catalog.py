@@ -1,9 +1,9 @@
 """Registry of the queries and their DuckDB SQL."""
 
-from recordloom.plans import business, scalars, wholetables
+from recordloom.plans import business, people, scalars, wholetables
 
 QUERIES: dict = {}
 SQL: dict = {}
-for module in (scalars, wholetables, business):
+for module in (scalars, wholetables, business, people):
     QUERIES |= module.QUERIES
     SQL |= module.SQL

@@ -22,27 +22,33 @@ def _pick(words: tuple[str, ...], key: str) -> str:
     return f"trim(substring('{cells}', cast(({key}) % {len(words)} as int) * {width} + 1, {width}))"
 
 
-def _sum(text: str, weights) -> str:
-    return " + ".join(f"cast(substring({text}, {i + 1}, 1) as int) * {w}" for i, w in enumerate(weights))
+def _digits(n: str, count: int) -> list[str]:
+    """The decimal digits of a number, as arithmetic on it: short, so that plans which nest the view stay small."""
+    return [f"(cast(floor({n} / {10 ** (count - 1 - i)}) as bigint) % 10)" for i in range(count)]
+
+
+def _sum(digits: list[str], weights) -> str:
+    return " + ".join(f"{d} * {w}" for d, w in zip(digits, weights))
 
 
 def _cpf(source: str, key: str) -> str:
     """source's rows with cpf11: nine digits from a key and their check digits; every thirteenth is spoilt."""
-    nine = f"lpad(cast(({key} * 7919 + 12345) % 1000000000 as string), 9, '0')"
-    a = f"SELECT *, {nine} AS c9 FROM {source}"
-    b = f"SELECT *, concat(c9, cast((({_sum('c9', range(10, 1, -1))}) * 10 % 11) % 10 as string)) AS c10 FROM ({a}) t1"
-    c = f"SELECT *, concat(c10, cast((({_sum('c10', range(11, 1, -1))}) * 10 % 11) % 10 as string)) AS cpf_good FROM ({b}) t2"
-    spoilt = f"concat(substring(cpf_good, 1, 10), cast((cast(substring(cpf_good, 11, 1) as int) + 1) % 10 as string))"
-    return f"SELECT *, CASE WHEN {key} % 13 = 0 THEN {spoilt} ELSE cpf_good END AS cpf11 FROM ({c}) t3"
+    n = f"(({key} * 7919 + 12345) % 1000000000)"
+    nine = _digits(n, 9)
+    first = f"((({_sum(nine, range(10, 1, -1))}) * 10 % 11) % 10)"
+    second = f"((({_sum(nine, range(11, 2, -1))} + {first} * 2) * 10 % 11) % 10)"
+    last = f"CASE WHEN {key} % 13 = 0 THEN ({second} + 1) % 10 ELSE {second} END"
+    return f"SELECT *, concat(lpad(cast({n} as string), 9, '0'), cast({first} as string), cast({last} as string)) AS cpf11 FROM {source}"
 
 
 def _cnpj(source: str, key: str) -> str:
     weights = (6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2)
-    twelve = f"concat(lpad(cast(({key} * 104729 + 777) % 100000000 as string), 8, '0'), '0001')"
-    digit = lambda text, w: f"cast(CASE WHEN ({_sum(text, w)}) % 11 < 2 THEN 0 ELSE 11 - ({_sum(text, w)}) % 11 END as string)"
-    a = f"SELECT *, {twelve} AS j12 FROM {source}"
-    b = f"SELECT *, concat(j12, {digit('j12', weights[1:])}) AS j13 FROM ({a}) u1"
-    return f"SELECT *, concat(j13, {digit('j13', weights)}) AS cnpj14 FROM ({b}) u2"
+    n = f"(({key} * 104729 + 777) % 100000000)"
+    twelve = [*_digits(n, 8), "0", "0", "0", "1"]
+    check = lambda total: f"((11 - ({total}) % 11) % 11 % 10)"
+    first = check(_sum(twelve, weights[1:]))
+    second = check(f"{_sum(twelve, weights)} + {first} * 2")
+    return f"SELECT *, concat(lpad(cast({n} as string), 8, '0'), '0001', cast({first} as string), cast({second} as string)) AS cnpj14 FROM {source}"
 
 
 def _dashed(c: str) -> str:
