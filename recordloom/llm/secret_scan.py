@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.tables import written
+
 #: The patterns, fixed values.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -24,9 +26,11 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 MIN_VALUE = 6
 KINDS = ("assign", "access", "hex", "markov")
 
-#: Runs that the models judge, documents and distinct strings of each label in the sample, and the margin in nats over the highest ordinary one.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-SAMPLE_DOCS, SAMPLE_STRINGS, MARGIN = 20000, 20000, 3.0
+#: Runs that the models judge, documents and distinct strings of each label in the sample, the share of ordinary runs that stay under the threshold (some
+#: may be secrets that no pattern marks) and the margin in nats over it.
+MIN_RUN = 16
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
+SAMPLE_DOCS, SAMPLE_STRINGS, SHARE, MARGIN = 20000, 20000, 0.99, 3.0
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = np.full(128, len(ALPHABET), np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = range(len(ALPHABET))
@@ -66,21 +70,23 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 value = ASSIGN.match(text, s)[2] if kind == "assign" else text[s:e]
                 rows.add((value, True))
             rows |= {(text[s:e], False) for s, e in other_runs(text, base)}
-            rows |= {(w, False) for w in re.findall(r"[A-Za-z_][A-Za-z0-9_]{7,15}(?![A-Za-z0-9_])", text) if not any(w in text[s:e] for s, e, _ in base)}
+            rows |= {(w, False) for w in re.findall(r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_]{7,15}(?![A-Za-z0-9_])", text) if not any(w in text[s:e] for s, e, _ in base)}
         rows = sorted(rows)
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_())], ["value", "secret"])
 
 
 class Markov:
-    """Log probabilities of each character after another, smoothed by one count."""
+    """Log probabilities of each character after another, backed off to the frequency of the character alone."""
 
-    def __init__(self, strings: list[str]):
+    def __init__(self, strings: list[str], backing: float = 200.0):
         n = len(ALPHABET) + 1
-        counts = np.ones((n, n))
+        pairs = np.zeros((n, n))
         for s in strings:
             code = codes(s)
-            np.add.at(counts, (code[:-1], code[1:]), 1)
-        self.log = np.log(counts / counts.sum(axis=1, keepdims=True))
+            np.add.at(pairs, (code[:-1], code[1:]), 1)
+        alone = pairs.sum(axis=0) + 0.5
+        alone /= alone.sum()
+        self.log = np.log((pairs + backing * alone) / (pairs.sum(axis=1, keepdims=True) + backing))
 
     def of(self, code: np.ndarray) -> float:
         return float(self.log[code[:-1], code[1:]].sum())
@@ -95,9 +101,9 @@ class Judge:
 
     def __init__(self, secret: list[str], ordinary: list[str]):
         self.random, self.ordinary = Markov(secret[len(secret) // 5 :]), Markov(ordinary[len(ordinary) // 5 :])
-        # Ordinary strings that the models haven't seen set the threshold; random ones of the same alphabet would lie above it.
-        unseen = [self.ratio(s) for s in ordinary[: len(ordinary) // 5] if len(s) >= 16]
-        self.threshold = max([0.0, *unseen]) + MARGIN
+        # Ordinary strings that the models haven't seen set the threshold.
+        unseen = [self.ratio(s) for s in ordinary[: len(ordinary) // 5] if len(s) >= MIN_RUN]
+        self.threshold = max(0.0, float(np.quantile(unseen, SHARE, method="lower")) if unseen else 0.0) + MARGIN
         self.able = bool(secret) and bool(ordinary)
 
     def ratio(self, s: str) -> float:
@@ -112,12 +118,14 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_strings: int =
     """Models from a sample of docs, chosen by a hash of doc_id and text, so that it doesn't depend on the order of rows."""
     share = sample_docs / max(1, docs.count())
     chosen = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share * (1 << 20)).select("text")
-    rows = chosen.mapInArrow(_labelled, "value string, secret boolean").groupBy("value").agg(F.max("secret").alias("secret"))
-    strings = {}
-    for label in (True, False):
-        found = rows.filter(F.col("secret") == label).orderBy(F.xxhash64("value"), "value").limit(sample_strings).collect()
-        strings[label] = [r.value for r in found]
-    return Judge(strings[True], strings[False])
+    rows = written(chosen.mapInArrow(_labelled, "value string, secret boolean").groupBy("value").agg(F.max("secret").alias("secret")), "labelled")
+
+    def some(where: str) -> list[str]:
+        return [r.value for r in rows.filter(where).orderBy(F.xxhash64("value"), "value").limit(sample_strings).collect()]
+
+    mixed = lambda strings: sorted(strings, key=lambda s: hashlib.md5(s.encode()).digest())
+    long = f"length(value) >= {MIN_RUN}"  # the runs that are judged, beside shorter words
+    return Judge(mixed(some("secret")), mixed(some(f"not secret and {long}") + some(f"not secret and not {long}")))
 
 
 def _scan(judge):

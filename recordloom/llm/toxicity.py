@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from recordloom.llm import words
 from recordloom.llm.linear import Ftrl
 
-#: Hash dimensions, bytes of word beginnings, labelled documents taken of each class, the longest of them in bytes, passes over them.
-DIMS, BEGINNINGS, SAMPLE_PER_CLASS, SAMPLE_TEXT_BYTES, EPOCHS = 1 << 18, (4, 5, 6, 7, 8), 4000, 1 << 16, 4
+#: Hash dimensions, bytes of word beginnings, labelled documents taken of each class, the longest of them in bytes.
+DIMS, BEGINNINGS, SAMPLE_PER_CLASS, SAMPLE_TEXT_BYTES = 1 << 18, (4, 5, 6, 7, 8), 4000, 1 << 16
+#: Documents in a training step, and steps at least; passes over the sample at least.
+BATCH, STEPS, EPOCHS = 25, 1000, 4
 FOLDS, HELD_OUT = 5, 0
 _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 63]] = True
@@ -75,12 +77,12 @@ def train(docs: DataFrame, labels: DataFrame, dims: int = DIMS, per_class: int =
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").filter(F.octet_length("text") <= text_bytes).select("text", (F.col("toxic") > 0).alias("y"))
     rows = sorted((r.text, r.y) for r in rows.limit(4 * per_class).collect())  # a bounded sample
     rows = [rows[i] for i in np.random.default_rng(0).permutation(len(rows))]
-    model = Ftrl((dims + 1,), alpha=0.3, l1=0.3, l2=0.01)
+    model = Ftrl((dims + 1,), alpha=0.3, l1=0.2, l2=0.01)
     model.w[-1] = -6.0
     prior = -6.0
-    parts = [rows[i : i + 100] for i in range(0, len(rows), 100)]
+    parts = [rows[i : i + BATCH] for i in range(0, len(rows), BATCH)]
     made = [(list(bags(pa.array([t for t, _ in part], pa.string()), dims)), np.array([y for _, y in part])) for part in parts]
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS // max(1, len(parts))))):
         for part, truth in made:
             gradient = np.zeros(dims + 1)
             for at, n, hashed, whose, _, _, doc, _ in part:
