@@ -54,23 +54,26 @@ def vectors(counts: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
 
 def _study(dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of the sample, and at the end one row of document frequencies for the task."""
+        """Rows of the sample, packed, and at the end one row of document frequencies for the task."""
         seen = np.zeros(dims, np.int64)
-        names = ["label", "dims", "counts"]
+
+        def rows(labels: list, packed: list, at: list, df: list) -> pa.RecordBatch:
+            columns = [pa.array(labels, pa.string()), *(pa.array([p[i] for p in packed], pa.binary()) for i in (0, 1)), pa.array(at, pa.list_(pa.int32())), pa.array(df, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, ["label", "packed_dims", "packed_counts", "dims", "df"])
+
         for batch in batches:
-            labels, indices, values = [], [], []
+            labels, packed = [], []
             for text, lang, chosen in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), batch["chosen"].to_pylist()):
                 counts = gram_counts(text or "", dims)
                 seen += counts > 0
                 if chosen:
                     at = np.flatnonzero(counts)
                     labels.append(lang)
-                    indices.append(at.astype(np.int32))
-                    values.append(counts[at])
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(indices, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int64()))], names)
+                    packed.append((at.astype(np.int32).tobytes(), counts[at].astype(np.int32).tobytes()))
+            yield rows(labels, packed, [None] * len(labels), [None] * len(labels))
         at = np.flatnonzero(seen)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([seen[at]], pa.list_(pa.int64()))], names)
+            yield rows([None], [(None, None)], [at.astype(np.int32)], [seen[at]])
 
     return run
 
@@ -85,22 +88,22 @@ def train(docs: DataFrame, dims: int = DIMS, sample_per_lang: int = SAMPLE_PER_L
         return {"langs": [], "w": np.zeros((dims, 0), np.float32), "b": np.zeros(0), "idf": np.ones(dims, np.float32), "t": 1.0}
     share = F.coalesce(*(F.when(F.col("lang") == r.lang, F.lit(sample_per_lang / r["count"])) for r in tally), F.lit(0.0))
     chosen = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20)
-    study = written(known.withColumn("chosen", chosen).mapInArrow(_study(dims), "label string, dims array<int>, counts array<long>"), "langid")
-    pairs = study.filter("label is null").select(F.explode(F.arrays_zip("dims", "counts")).alias("p")).groupBy("p.dims").agg(F.sum("p.counts").alias("df"))
+    study = written(known.withColumn("chosen", chosen).mapInArrow(_study(dims), "label string, packed_dims binary, packed_counts binary, dims array<int>, df array<long>"), "langid")
+    pairs = study.filter("label is null").select(F.explode(F.arrays_zip("dims", "df")).alias("p")).groupBy("p.dims").agg(F.sum("p.df").alias("df"))
     df = np.zeros(dims)
     for r in pairs.collect():  # dims rows at most
         df[r.dims] = r.df
     idf = np.log((1 + many) / (1 + df)).astype(np.float32) + 1
 
-    rows = study.filter("label is not null").limit(2 * sample_per_lang * len(langs)).collect()
-    rows.sort(key=lambda r: (r.label, r.dims, r.counts))
+    rows = study.filter("label is not null").select("label", "packed_dims", "packed_counts").limit(2 * sample_per_lang * len(langs)).collect()
+    rows.sort(key=lambda r: (r.label, r.packed_dims, r.packed_counts))
     rows = [rows[i] for i in np.random.default_rng(0).permutation(len(rows))]
     labels = np.array([langs.index(r.label) for r in rows], np.int64)
 
     def dense(part: range) -> np.ndarray:
         counts = np.zeros((len(part), dims), np.int64)
         for i, k in enumerate(part):
-            counts[i, rows[k].dims] = rows[k].counts
+            counts[i, np.frombuffer(rows[k].packed_dims, np.int32)] = np.frombuffer(rows[k].packed_counts, np.int32)
         return vectors(list(counts), idf)
 
     back = len(rows) // 5
