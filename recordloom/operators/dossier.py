@@ -116,9 +116,9 @@ def cards(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame
     )
 
 
-def reference_edges(cards_: DataFrame) -> DataFrame:
-    """(src, dst): documents that follow each other among those that share a reference."""
-    refs = cards_.select("doc", F.explode("refs").alias("r")).select("doc", "r.kind", F.explode("r.found").alias("value"))
+def reference_edges(cards_: DataFrame, kinds: tuple[str, ...] = tuple(REFERENCES)) -> DataFrame:
+    """(src, dst): documents that follow each other among those that share a reference of the given kinds."""
+    refs = cards_.select("doc", F.explode("refs").alias("r")).filter(F.col("r.kind").isin(*kinds)).select("doc", "r.kind", F.explode("r.found").alias("value"))
     return refs.withColumn("dst", F.lead("doc").over(Window.partitionBy("kind", "value").orderBy("doc"))).filter("dst is not null").select(F.col("doc").alias("src"), "dst").distinct()
 
 

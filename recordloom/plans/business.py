@@ -189,10 +189,11 @@ def unique_names(spark, sf_dir):
     "source_trust",
     duck("files")
     + """ SELECT path, 100 - CASE WHEN regexp_matches(path, '(?i)backup|bkp|\\bold\\b|_old|antig|obsolet|lixeira|arquivo morto') THEN 40 ELSE 0 END - CASE WHEN regexp_matches(path, '(?i)c[óo]pia|copy|\\([0-9]+\\)') THEN 20 ELSE 0 END
-        + 3 * (doc_id % 4)::INT + floor(least(length(text), 1000) / 100)::INT AS trust FROM files WHERE NOT regexp_matches(path, '(19|20)[0-9]{2}')""",
+        - CASE WHEN list_max([y::INT FOR y IN regexp_extract_all(path, '(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)', 1)]) < 2026 THEN 25 ELSE 0 END
+        + 3 * (doc_id % 4)::INT + floor(least(length(text), 1000) / 100)::INT AS trust FROM files""",
 )
 def source_trust(spark, sf_dir):
-    rows = view(spark, sf_dir, "files").filter(~C("path").rlike("(19|20)[0-9]{2}"))
+    rows = view(spark, sf_dir, "files")
     return rows.select("path", inventory.trust(C("path"), F.length("text"), (C("doc_id") % 4).cast("int")).alias("trust"))
 
 

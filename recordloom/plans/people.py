@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from recordloom.functions import ids
 from recordloom.graph import components
 from recordloom.operators import dossier, entity
-from recordloom.plans.dirty import duck, view
+from recordloom.plans.dirty import TYPE, duck, view
 from recordloom.plans.scalars import d_cpf, d_digits, d_name, d_pad
 from recordloom.tables import table, written
 
@@ -27,7 +27,7 @@ def query(name: str, sql: str | None):
 
 
 _A = "SELECT k AS line, cast(k AS string) AS id, name, cpf, email, phone, '1980-05-06' AS birth, city FROM people"
-_B = "SELECT k AS line, concat('B', cast(k AS string)) AS id, CASE WHEN k % 6 = 0 THEN concat(name, ' Neto') ELSE name END AS name, cpf11 AS cpf, CASE WHEN k % 2 = 0 THEN email END AS email, '-' AS phone, CASE WHEN k % 4 = 0 THEN '06/05/1980' END AS birth, 'São Paulo' AS city FROM people WHERE k % 3 <> 0"
+_B = "SELECT k AS line, concat('B', cast(k AS string)) AS id, CASE WHEN k % 5 = 0 THEN concat(name, ' Neto') ELSE name END AS name, cpf11 AS cpf, CASE WHEN k % 2 = 0 THEN email END AS email, '-' AS phone, CASE WHEN k % 4 = 0 THEN '06/05/1980' END AS birth, 'São Paulo' AS city FROM people WHERE k % 3 <> 0"
 _C = "SELECT k AS line, cast(CASE WHEN k % 50 = 0 THEN k + 1 ELSE k END AS string) AS id, name, NULL AS cpf, email, phone, NULL AS birth, city FROM people WHERE k % 4 = 0"
 
 
@@ -138,12 +138,12 @@ def _cards(spark, sf_dir):
     return written(dossier.cards(view(spark, sf_dir, "docs_headed").withColumn("full", F.concat("head", "text")), "doc_id", "full"), "cards")
 
 
-_WHEN = "CASE doc_id % 10 WHEN 0 THEN 'Edital' WHEN 1 THEN 'Contrato' WHEN 2 THEN 'Nota de empenho' WHEN 3 THEN 'Termo aditivo' WHEN 4 THEN 'Nota fiscal / liquidação' WHEN 5 THEN 'Ordem bancária / pagamento' WHEN 6 THEN 'Termo de referência' WHEN 7 THEN 'Ofício' WHEN 8 THEN 'Ata de registro de preços' ELSE 'Outro' END"
-_STAGE = "CASE doc_id % 10 WHEN 0 THEN 2 WHEN 1 THEN 5 WHEN 2 THEN 7 WHEN 3 THEN 6 WHEN 4 THEN 8 WHEN 5 THEN 9 WHEN 6 THEN 1 WHEN 8 THEN 4 ELSE 0 END"
+_WHEN = f"CASE {TYPE} WHEN 0 THEN 'Edital' WHEN 1 THEN 'Contrato' WHEN 2 THEN 'Nota de empenho' WHEN 3 THEN 'Termo aditivo' WHEN 4 THEN 'Nota fiscal / liquidação' WHEN 5 THEN 'Ordem bancária / pagamento' WHEN 6 THEN 'Termo de referência' WHEN 7 THEN 'Ofício' WHEN 8 THEN 'Ata de registro de preços' ELSE 'Outro' END"
+_STAGE = f"CASE {TYPE} WHEN 0 THEN 2 WHEN 1 THEN 5 WHEN 2 THEN 7 WHEN 3 THEN 6 WHEN 4 THEN 8 WHEN 5 THEN 9 WHEN 6 THEN 1 WHEN 8 THEN 4 ELSE 0 END"
 _YEAR = "2010 + doc_id % 15"
 
 
-@query("doc_cards", f"SELECT doc_id AS doc, {_WHEN} AS kind, {_STAGE} AS stage, printf('%04d-03-%02d', {_YEAR}, doc_id % 28 + 1) AS date, doc_id % 900 + 100 + 0.5 AS amount, CASE WHEN doc_id % 10 = 3 THEN 2 END AS amendment, (doc_id % 10 * 3 + 1)::INT AS lo FROM documents")
+@query("doc_cards", f"SELECT doc_id AS doc, {_WHEN} AS kind, {_STAGE} AS stage, printf('%04d-03-%02d', {_YEAR}, doc_id % 28 + 1) AS date, doc_id % 900 + 100 + 0.5 AS amount, CASE WHEN {TYPE} = 3 THEN 2 END AS amendment, (doc_id % 10 * 3 + 1)::INT AS lo FROM documents")
 def doc_cards(spark, sf_dir):
     return _cards(spark, sf_dir).select("doc", "kind", "stage", C("date").cast("string").alias("date"), "amount", "amendment", C("sheets.lo").alias("lo"))
 
@@ -155,13 +155,13 @@ _NO = "(doc_id % 90 + 1)::VARCHAR || '/' || CASE WHEN doc_id % 2 = 0 THEN '2024'
 @query(
     "doc_references",
     f"""SELECT doc_id AS doc, 'processo' AS kind, ltrim(split_part({_PROC}, '/', 1), '0') || '/' || '2024-11' AS value FROM documents WHERE doc_id % 5 <> 4 AND doc_id >= 10 UNION ALL SELECT doc_id, 'processo', '.000123/2024-11' FROM documents WHERE doc_id % 5 <> 4 AND doc_id < 10
-        UNION ALL SELECT doc_id, 'contrato', {_NO} FROM documents WHERE doc_id % 10 = 1 UNION ALL SELECT doc_id, 'licitacao', {_NO} FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT doc_id, 'ata_srp', {_NO} FROM documents WHERE doc_id % 10 = 8""",
+        UNION ALL SELECT doc_id, 'contrato', {_NO} FROM documents WHERE {TYPE} = 1 UNION ALL SELECT doc_id, 'licitacao', {_NO} FROM documents WHERE {TYPE} = 0 UNION ALL SELECT doc_id, 'ata_srp', {_NO} FROM documents WHERE {TYPE} = 8""",
 )
 def doc_references(spark, sf_dir):
     return _cards(spark, sf_dir).select("doc", F.explode("refs").alias("r")).select("doc", "r.kind", F.explode("r.found").alias("value"))
 
 
-_DOSSIER = f"""WITH RECURSIVE v AS (SELECT doc_id AS doc, 'p' || (doc_id // 10 % 100000) AS ref FROM documents WHERE doc_id % 5 <> 4 UNION ALL SELECT doc_id, CASE doc_id % 10 WHEN 1 THEN 'c' WHEN 0 THEN 'l' ELSE 'a' END || {_NO} FROM documents WHERE doc_id % 10 IN (0, 1, 8)),
+_DOSSIER = f"""WITH RECURSIVE v AS (SELECT doc_id AS doc, 'p' || (doc_id // 10 % 100000) AS ref FROM documents WHERE doc_id % 5 <> 4 UNION ALL SELECT doc_id, CASE {TYPE} WHEN 1 THEN 'c' WHEN 0 THEN 'l' ELSE 'a' END || {_NO} FROM documents WHERE {TYPE} IN (0, 1, 8)),
     e AS (SELECT DISTINCT a.doc AS a, b.doc AS b FROM v a JOIN v b USING (ref)), r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a),
     d AS (SELECT node AS doc, min(seen) AS dossier FROM r GROUP BY 1)"""
 
@@ -171,25 +171,29 @@ def _placed(spark, sf_dir):
     return dossier.dossiers(cards, dossier.reference_edges(cards))
 
 
-@query("dossier_order", _DOSSIER + f" SELECT doc, dossier, row_number() OVER (PARTITION BY dossier ORDER BY make_date((2010 + doc % 15)::BIGINT, 3, (doc % 28 + 1)::BIGINT), {_STAGE.replace('doc_id', 'doc')}, CASE WHEN doc % 10 = 3 THEN 2 ELSE 0 END, doc) AS place FROM d")
+@query("dossier_order", _DOSSIER + f" SELECT doc, dossier, row_number() OVER (PARTITION BY dossier ORDER BY make_date((2010 + doc % 15)::BIGINT, 3, (doc % 28 + 1)::BIGINT), {_STAGE.replace('doc_id', 'doc')}, CASE WHEN {TYPE.replace('doc_id', 'doc')} = 3 THEN 2 ELSE 0 END, doc) AS place FROM d")
 def dossier_order(spark, sf_dir):
     return _placed(spark, sf_dir).select("doc", "dossier", "place")
 
 
+_BY_PROCESS = "WITH d AS (SELECT doc_id AS doc, CASE WHEN doc_id % 5 = 4 THEN doc_id ELSE min(doc_id) FILTER (doc_id % 5 <> 4) OVER (PARTITION BY doc_id // 10 % 100000) END AS dossier FROM documents)"
+
+
 @query(
     "dossier_gaps",
-    _DOSSIER + f""", s AS (SELECT dossier, list_distinct(list({_STAGE.replace('doc_id', 'doc')})) AS s, max({_STAGE.replace('doc_id', 'doc')}) AS top FROM d WHERE {_STAGE.replace('doc_id', 'doc')} > 0 GROUP BY 1)
+    _BY_PROCESS + f""", s AS (SELECT dossier, list_distinct(list({_STAGE.replace('doc_id', 'doc')})) AS s, max({_STAGE.replace('doc_id', 'doc')}) AS top FROM d WHERE {_STAGE.replace('doc_id', 'doc')} > 0 GROUP BY 1)
     SELECT dossier, 'falta: Edital' AS gap FROM s WHERE list_has_any(s, [2, 3, 4, 5]) AND NOT list_contains(s, 2) AND top > 2 UNION ALL SELECT dossier, 'falta: Contrato/Convênio' FROM s WHERE list_has_any(s, [2, 3, 4, 5]) AND NOT list_contains(s, 5) AND top > 5
     UNION ALL SELECT dossier, 'empenho sem contrato' FROM s WHERE list_contains(s, 7) AND NOT list_has_any(s, [4, 5]) UNION ALL SELECT dossier, 'pagamento sem empenho' FROM s WHERE list_contains(s, 9) AND NOT list_contains(s, 7)
     UNION ALL SELECT dossier, 'próximo: empenho' FROM s WHERE top = 5 UNION ALL SELECT dossier, 'próximo: homologação/contrato' FROM s WHERE top = 2""",
 )
 def dossier_gaps(spark, sf_dir):
-    return dossier.stage_gaps(_placed(spark, sf_dir))
+    cards = _cards(spark, sf_dir)
+    return dossier.stage_gaps(dossier.dossiers(cards, dossier.reference_edges(cards, ("processo",))))
 
 
-@query("missing_amendments", "SELECT grp, m AS missing FROM (SELECT doc_id // 10 AS grp, list(doc_id % 7 + 1) AS have, max(doc_id % 7 + 1) AS top FROM documents WHERE doc_id % 3 = 0 GROUP BY 1), LATERAL (SELECT unnest(range(1, top + 1)) AS m) WHERE NOT list_contains(have, m)")
+@query("missing_amendments", "SELECT grp, m AS missing FROM (SELECT doc_id // 10 AS grp, list(doc_id * 3 % 13 + 1) AS have, max(doc_id * 3 % 13 + 1) AS top FROM documents GROUP BY 1), LATERAL (SELECT unnest(range(1, top + 1)) AS m) WHERE NOT list_contains(have, m)")
 def missing_amendments(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").filter("doc_id % 3 = 0").selectExpr("cast(floor(doc_id / 10) as bigint) AS grp", "doc_id % 7 + 1 AS number")
+    rows = table(spark, sf_dir, "documents").selectExpr("cast(floor(doc_id / 10) as bigint) AS grp", "doc_id * 3 % 13 + 1 AS number")
     return dossier.missing_numbers(rows, "grp", "number")
 
 
