@@ -263,3 +263,10 @@ def file_name(path: Column) -> Column:
     copied = F.when((base != "") & name.rlike("(?iu)c[óo]pia|copy"), "_copia").otherwise("")
     older = F.when((base != "") & path.rlike(r"(?i)backup|bkp|\bold\b|_old|antig"), "_antigo").otherwise("")
     return F.concat(F.when(base == "", "arquivo").otherwise(base), copied, older, extension)
+
+
+def items(json: Column) -> Column:
+    """"name xqty; ..." of a JSON list of {produto, qtd}; other text stays."""
+    listed = F.from_json(json, "array<struct<produto:string,qtd:string>>")
+    made = F.array_join(F.transform(listed, lambda i: F.concat(i["produto"], F.lit(" x"), F.coalesce(i["qtd"], F.lit("1")))), "; ")
+    return F.when(F.trim(json).startswith("["), made).otherwise(json)

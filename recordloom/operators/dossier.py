@@ -122,12 +122,20 @@ def reference_edges(cards_: DataFrame, kinds: tuple[str, ...] = tuple(REFERENCES
     return refs.withColumn("dst", F.lead("doc").over(Window.partitionBy("kind", "value").orderBy("doc"))).filter("dst is not null").select(F.col("doc").alias("src"), "dst").distinct()
 
 
-def sheet_edges(cards_: DataFrame, text: DataFrame) -> DataFrame:
-    """(src, dst): a document whose sheets go on in another, if the text breaks off or starts small. text: (doc, text)."""
-    rows = cards_.filter("sheets is not null").join(text, "doc").select("doc", "sheets", F.trim("text").alias("t"))
-    a, b = rows.alias("a"), rows.alias("b")
-    goes_on = ~F.col("a.t").rlike(r"[.!?;:]$") | F.col("b.t").rlike(r"(?U)^\p{Ll}")
-    return a.join(b, (F.col("a.sheets.hi") + 1 == F.col("b.sheets.lo")) & (F.col("a.doc") != F.col("b.doc")) & goes_on).select(F.col("a.doc").alias("src"), F.col("b.doc").alias("dst"))
+def sheet_edges(rows: DataFrame) -> DataFrame:
+    """(src, dst) from (doc, grp, lo, hi, text): a document whose sheets go on in another of its group, if the text breaks off or the next one starts small.
+
+    The group (a process, or a file in parts) keeps the join from pairing all documents with a common sheet number.
+    """
+    a = rows.select("grp", F.col("doc").alias("src"), (F.col("hi") + 1).alias("at"), F.trim("text").rlike(r"[.!?;:]$").alias("closed"))
+    b = rows.select("grp", F.col("doc").alias("dst"), F.col("lo").alias("at"), F.trim("text").rlike(r"^\p{Ll}").alias("goes_on"))
+    return a.join(b, ["grp", "at"]).filter((F.col("src") != F.col("dst")) & (~F.col("closed") | F.col("goes_on"))).select("src", "dst")
+
+
+def inherited(parts: DataFrame, base: str, number: str, *fields: str) -> DataFrame:
+    """parts with each field taken from the lowest part of its file that has it."""
+    w = Window.partitionBy(base).orderBy(number).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return parts.withColumns({f: F.first(f, ignorenulls=True).over(w) for f in fields})
 
 
 def part_edges(names: DataFrame) -> DataFrame:

@@ -179,9 +179,9 @@ def bad_names(spark, sf_dir):
     return rows.select("path", F.size("p").cast("long").alias("n"), F.array_join(F.array_sort("p"), "; ").alias("problems"))
 
 
-@query("unique_names", "SELECT doc_id, CASE WHEN rn = 1 THEN name ELSE replace(name, '.csv', '_' || rn || '.csv') END AS unique_name FROM (SELECT doc_id, source || '.csv' AS name, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents)")
+@query("unique_names", "SELECT doc_id, CASE WHEN rn = 1 THEN name ELSE replace(name, '.csv', '_' || rn || '.csv') END AS unique_name FROM (SELECT doc_id, 'f' || doc_id // 10 || '.csv' AS name, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) AS rn FROM documents)")
 def unique_names(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(".csv")).alias("name"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("f"), F.floor(C("doc_id") / 10).cast("string"), F.lit(".csv")).alias("name"))
     return inventory.unique_names(rows, "name", "doc_id").select("doc_id", "unique_name")
 
 
