@@ -1,8 +1,8 @@
 """Benchmark decontamination with SimHash windows.
 
-Every window of a document that has as many words as a benchmark item gets a SimHash of its weighted five-word shingles. The fingerprints of the
-items lie in a multi-index: 64 bits in 8 blocks, each block searched within one bit, which finds every fingerprint within 15 bits. Candidates are
-verified by the exact weighted Jaccard similarity of the shingle sets.
+Every window of a document that has as many words as a benchmark item gets a SimHash of its weighted five-word shingles; a document with fewer words
+than the item is one window as a whole. The fingerprints of the items lie in a multi-index: 64 bits in 8 blocks, each block searched within two bits,
+which finds every fingerprint within 23 bits. Candidates are verified by the exact weighted Jaccard similarity of the shingle sets.
 
 A window's fingerprint is computed only if enough of its shingles stand in the benchmark at all for the similarity to be reachable, which loses nothing.
 Items are taken in parts of a bounded size; each part is one pass over the documents.
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from recordloom.llm import words
 
-SIMILARITY, BLOCKS, BLOCK_RADIUS = 0.8, 8, 1
+SIMILARITY, BLOCKS, BLOCK_RADIUS = 0.8, 8, 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: Items and bytes of items in a part, and words worked on at a time.
 PART_ITEMS, PART_BYTES, SPAN = 5000, 4 << 20, 8192
@@ -69,12 +69,13 @@ class Index:
     @staticmethod
     def _blocked(fingerprints: list[int]) -> list[dict[int, list[int]]]:
         width = 64 // BLOCKS
+        flips = [sum(1 << i for i in bits) for r in range(BLOCK_RADIUS + 1) for bits in combinations(range(width), r)]
         out: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(BLOCKS)]
         for at, f in enumerate(fingerprints):
             for b in range(BLOCKS):
                 block = f >> (b * width) & ((1 << width) - 1)
-                for near in [block, *(block ^ (1 << i) for i in range(width))]:
-                    out[b][near].append(at)
+                for flip in flips:
+                    out[b][block ^ flip].append(at)
         return out
 
     def near(self, length: int, fingerprint: int) -> list[tuple]:
@@ -107,16 +108,16 @@ class Index:
                 continue
             count = np.r_[0, known.cumsum()]
             for length in sorted(self.by_length):
-                m = length - k + 1
-                if min(self.k, length) != k or m > len(shingles):
+                if min(self.k, length) != k:
                     continue
+                m = min(length - k + 1, len(shingles))  # a document shorter than the item is one window as a whole
                 starts = np.flatnonzero(count[m:] - count[:-m] >= self.least[length])
                 for _, part in groupby(starts.tolist(), lambda s: s // SPAN):
-                    self._verify(shingles, np.array(list(part)), length, m, best)
+                    self._verify(shingles, np.array(list(part)), length, m, m + k - 1, best)
         return best
 
-    def _verify(self, shingles: np.ndarray, starts: np.ndarray, length: int, m: int, best: dict) -> None:
-        """Fingerprints of the windows of m shingles at `starts`, which lie less than SPAN apart, and the exact check of what is near."""
+    def _verify(self, shingles: np.ndarray, starts: np.ndarray, length: int, m: int, size: int, best: dict) -> None:
+        """Fingerprints of the windows of m shingles (`size` words) at `starts`, which lie less than SPAN apart, and the exact check of what is near."""
         low = int(starts[0])
         span = shingles[low : int(starts[-1]) + m]
         sums = np.zeros((len(span) + 1, 64), np.int64)
@@ -129,7 +130,7 @@ class Index:
                 both = sum(w for s, w in weights.items() if s in own)
                 value = both / (weight + sum(weights.values()) - both)
                 if value >= SIMILARITY and value > best.get(item, (0.0,))[0]:
-                    best[item] = (value, start, length)
+                    best[item] = (value, start, size)
 
 
 def parts(benchmark: DataFrame, part_items: int = PART_ITEMS, part_bytes: int = PART_BYTES) -> Iterator[list[tuple[int, str]]]:

@@ -1,8 +1,10 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 
 from recordloom.llm import decontam, queries
+from recordloom.llm.words import shingle_numbers, word_numbers
 
 from .conftest import SCHEMA, messy_rows, words
 
@@ -44,6 +46,40 @@ def test_near_fingerprints_are_all_found():
         assert item[0] in {i[0] for i in index.near(20, fingerprint)}
 
 
+def test_documents_shorter_than_an_item_are_judged(spark):
+    rng = random.Random(11)
+    items = [(i, words(rng, 55)) for i in range(20)] + [(20, words(rng, 400))]
+    rows = []
+    for i, text in items:
+        w = text.split()
+        rows.append((i, " ".join(w[: len(w) * 10 // 11])))  # cut at the end
+        rows.append((100 + i, " ".join(w[:20] + w[21:])))  # without one word
+        rows.append((200 + i, " ".join(w[: len(w) // 2])))  # far below the similarity
+    docs = spark.createDataFrame([(*r, None, None) + (None,) * 9 for r in rows], SCHEMA)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in decontam.leaks(docs, benchmark).collect()}
+    assert {(d, r.item_id) for d, r in got.items()} == {(i + at, i) for i, _ in items for at in (0, 100)}
+    assert all(0.8 <= r.similarity < 1 and (r.start, r.end) == (0, len(dict(rows)[d])) for d, r in got.items())
+    assert abs(got[0].similarity - 46 / 51) < 0.02 and abs(got[100].similarity - 46 / 55) < 0.02
+    assert {r.doc_id for r in decontam.without_leaks(docs, benchmark).collect()} == {200 + i for i, _ in items}
+
+
+def test_windows_at_the_threshold_are_found():
+    rng = random.Random(12)
+    items = [(i, words(rng, 55)) for i in range(300)]
+    index = decontam.Index(items)
+    far = 0
+    for i, text in items:
+        w = text.split()
+        w[rng.randrange(8, 45)] = "zzzz"  # five of 51 shingles: 46 of 56
+        numbers = word_numbers(np.frombuffer(" ".join(w).encode(), np.uint8), np.array([0, len(" ".join(w))]))[0]
+        shingles = shingle_numbers(numbers)
+        print_ = int(decontam._packed((index.weigh(shingles)[:, None] * decontam._signs(shingles)).sum(axis=0)[None])[0])
+        far += (print_ ^ index.by_length[55][i][3]).bit_count() > 15
+        assert i in index.search(numbers)
+    assert far  # fingerprints beyond 15 bits are among them
+
+
 def test_pipeline_runs_over_messy_rows(spark, messy, tmp_path):
     messy.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
