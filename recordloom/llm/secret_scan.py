@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
 Both models are of order one over the characters of identifiers, trained from a bounded sample of documents that the patterns label: what a pattern
-marks is a random string, every other long run of such characters is ordinary. A run whose log-likelihood ratio is over a threshold, set on a part
-of the sample that the models haven't seen, is reported beside the patterns' own spans.
+marks is a random string, and the other strings are ordinary unless they look like the marked ones. A run whose log-likelihood ratio is over a
+threshold is reported beside the patterns' own spans. Marked strings that the random model hasn't seen set the threshold, whatever share of the runs is over it.
 """
 
 from __future__ import annotations
@@ -26,12 +26,13 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 MIN_VALUE = 6
 KINDS = ("assign", "access", "hex", "markov")
 
-#: Runs that the models judge, documents and distinct strings of each label in the sample, the share of ordinary runs that stay under the threshold (some
-#: may be secrets that no pattern marks) and the margin in nats over it.
+#: Runs that the models judge, documents and distinct strings of each label in the sample, the share of marked strings' pieces that reach the threshold,
+#: its least value in nats, and the rounds (at most) and parts of the sorting out of unmarked secrets.
 MIN_RUN = 16
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
-SAMPLE_DOCS, SAMPLE_STRINGS, SHARE, MARGIN = 20000, 20000, 0.99, 3.0
+SAMPLE_DOCS, SAMPLE_STRINGS, SHARE, MARGIN, ROUNDS, FOLDS = 20000, 20000, 0.99, 3.0, 20, 5
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+_N = len(ALPHABET) + 1
 _CODE = np.full(128, len(ALPHABET), np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = range(len(ALPHABET))
 
@@ -70,7 +71,8 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 value = ASSIGN.match(text, s)[2] if kind == "assign" else text[s:e]
                 rows.add((value, True))
             rows |= {(text[s:e], False) for s, e in other_runs(text, base)}
-            rows |= {(w, False) for w in re.findall(r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_]{7,15}(?![A-Za-z0-9_])", text) if not any(w in text[s:e] for s, e, _ in base)}
+            rest = RUN.sub(" ", text)  # a piece of an unmarked secret is no word
+            rows |= {(w, False) for w in re.findall(r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_]{7,15}(?![A-Za-z0-9_])", rest) if not any(w in text[s:e] for s, e, _ in base)}
         rows = sorted(rows)
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_())], ["value", "secret"])
 
@@ -78,40 +80,68 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Markov:
     """Log probabilities of each character after another, backed off to the frequency of the character alone."""
 
-    def __init__(self, strings: list[str], backing: float = 200.0):
-        n = len(ALPHABET) + 1
-        pairs = np.zeros((n, n))
-        for s in strings:
-            code = codes(s)
-            np.add.at(pairs, (code[:-1], code[1:]), 1)
+    def __init__(self, pairs: np.ndarray, backing: float = 200.0):
         alone = pairs.sum(axis=0) + 0.5
         alone /= alone.sum()
         self.log = np.log((pairs + backing * alone) / (pairs.sum(axis=1, keepdims=True) + backing))
 
-    def of(self, code: np.ndarray) -> float:
-        return float(self.log[code[:-1], code[1:]].sum())
-
 
 def codes(s: str) -> np.ndarray:
     return _CODE[np.minimum(np.frombuffer(s.encode("ascii", "replace"), np.uint8), 127)]
 
 
+class Steps:
+    """The steps from each character of some strings to the next, with the string that each one is of."""
+
+    def __init__(self, strings: list[str]):
+        coded = [codes(s) for s in strings]
+        self.n, self.lengths = len(strings), np.array([max(0, len(c) - 1) for c in coded], np.int64)
+        self.owner = np.repeat(np.arange(self.n, dtype=np.int32), self.lengths)
+        self.at = np.concatenate([np.zeros(0, np.int16), *((c[:-1] * _N + c[1:]).astype(np.int16) for c in coded)])
+
+    def pairs(self, of: np.ndarray) -> np.ndarray:
+        """How often each step occurs in the strings where `of` holds."""
+        return np.bincount(self.at[of[self.owner]], minlength=_N * _N).reshape(_N, _N).astype(float)
+
+    def sums(self, log: np.ndarray) -> np.ndarray:
+        """For each string the sum over its steps."""
+        return np.bincount(self.owner, log.ravel()[self.at], self.n)
+
+
 class Judge:
-    """The two models and the threshold of their log-likelihood ratio."""
+    """The two models and the threshold of their log-likelihood ratio, which grows with the length of a run.
+
+    Secrets that no pattern marks are among the unmarked strings. Those over the threshold leave the ordinary model, which moves the threshold, until
+    none changes sides. Each string is judged here by models of the other ones.
+    """
 
     def __init__(self, secret: list[str], ordinary: list[str]):
-        self.random, self.ordinary = Markov(secret[len(secret) // 5 :]), Markov(ordinary[len(ordinary) // 5 :])
-        # Ordinary strings that the models haven't seen set the threshold.
-        unseen = [self.ratio(s) for s in ordinary[: len(ordinary) // 5] if len(s) >= MIN_RUN]
-        self.threshold = max(0.0, float(np.quantile(unseen, SHARE, method="lower")) if unseen else 0.0) + MARGIN
         self.able = bool(secret) and bool(ordinary)
+        unseen, seen = secret[: len(secret) // 5] or secret, Steps(secret[len(secret) // 5 :])
+        # The shortest runs are the hardest to tell, so that pieces of their length set the threshold.
+        pieces = Steps([s[i : i + MIN_RUN] for s in unseen for i in range(0, len(s) - MIN_RUN + 1, MIN_RUN)])
+        steps, random = Steps(ordinary), Markov(seen.pairs(np.ones(seen.n, bool))).log
+        fold, over = np.arange(steps.n) % FOLDS, np.zeros(steps.n, bool)
+        for _ in range(ROUNDS):
+            parts = [steps.pairs(~over & (fold == f)) for f in range(FOLDS)]
+            self.log = random - Markov(sum(parts)).log
+            self.rate = float(np.quantile(pieces.sums(self.log), 1 - SHARE, method="lower")) / (MIN_RUN - 1) if pieces.n else 0.0
+            before, over = over, np.zeros(steps.n, bool)
+            for f in range(FOLDS):
+                ratios = steps.sums(random - Markov(sum(parts) - parts[f]).log)
+                over |= (fold == f) & (ratios > np.maximum(MARGIN, self.rate * steps.lengths))
+            if (over == before).all():
+                break
+
+    def threshold(self, length: int) -> float:
+        return max(MARGIN, self.rate * (length - 1))
 
     def ratio(self, s: str) -> float:
         code = codes(s)
-        return self.random.of(code) - self.ordinary.of(code)
+        return float(self.log[code[:-1], code[1:]].sum())
 
     def marks(self, s: str) -> bool:
-        return self.able and self.ratio(s) > self.threshold
+        return self.able and self.ratio(s) > self.threshold(len(s))
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_strings: int = SAMPLE_STRINGS) -> Judge:

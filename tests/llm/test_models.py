@@ -97,3 +97,16 @@ def test_markov_models_add_random_strings_only(spark, messy, empty):
     got = secret_scan.scan(messy)
     assert got.count() == len(messy_rows())
     assert secret_scan.scan(empty).count() == 0
+
+
+def test_markov_models_find_any_share_of_unmarked_secrets(spark):
+    for share in (0.1, 0.5):
+        rng = random.Random(5)
+        code = lambda: "".join(rng.choice(secret_scan.ALPHABET) for _ in range(32))
+        hidden = int(300 * share / (1 - share))
+        rows = [(i, f"{words(rng, 30)} token = {code()} {(words(rng, 4).replace(' ', '') + 'suffix_name')}") for i in range(300)]
+        rows += [(1000 + i, f"plain {code()} end") for i in range(hidden)]
+        out = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame([(*r, None, None) + (None,) * 9 for r in rows], SCHEMA)).collect()}
+        found = [out[1000 + i].spans == "markov:6:38" for i in range(hidden)]
+        assert np.mean(found) > 0.95, share
+        assert all(out[i].n_assign == 1 and out[i].n_markov == 0 for i in range(300))
