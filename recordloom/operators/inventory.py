@@ -31,8 +31,6 @@ DOCUMENT = (".pdf", ".docx", ".html", ".htm", ".md", ".rtf", ".txt", ".log", ".e
 CONFIG = (".yaml", ".yml", ".ini", ".conf", ".cfg", ".toml", ".properties", ".env", ".bak", ".config")
 WORSE = r"(?iu)backup|old|antig|c[óo]pia|copy|lixeira|trash|\.bak$|nao usar|não usar"
 OLD_PATH, COPY_PATH = r"(?i)backup|bkp|\bold\b|_old|antig|obsolet|lixeira|arquivo morto", r"(?iu)c[óo]pia|copy|\(\d+\)"
-#: Characters of a file that are searched for secrets.
-SECRET_CHARS = 200_000
 
 
 def base_name(path: Column) -> Column:
@@ -61,7 +59,7 @@ def inventory(files: DataFrame, path: str = "path", text: str = "text") -> DataF
     empty = F.trim(F.coalesce(F.col(text), F.lit(""))) == ""
     rows = files.select(
         p.alias("path"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("sha256"), junk.alias("junk"), empty.alias("empty"), extension(p).alias("ext"),
-        (name.rlike("(?i)" + SECRET_NAME) | ((extension(p).isin(*CONFIG) | (extension(p) == "")) & F.substring(text, 1, SECRET_CHARS).rlike(SECRET_TEXT))).alias("secret"),
+        (name.rlike("(?i)" + SECRET_NAME) | ((extension(p).isin(*CONFIG) | (extension(p) == "")) & F.col(text).rlike(SECRET_TEXT))).alias("secret"),
     )
     place = F.struct(F.col("path").rlike(WORSE).alias("worse"), F.length(F.regexp_replace("path", "[^/]", "")).alias("depth"), "path")
     best = rows.filter("not junk and not empty").groupBy("sha256").agg(F.min(place)["path"].alias("best"))

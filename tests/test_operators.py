@@ -84,6 +84,13 @@ def test_inventory(spark):
     assert got["backup/a.csv"].copy_of == "a.csv"
 
 
+def test_inventory_searches_whole_texts_for_secrets(spark):
+    filler = "NAME_1 = um valor\n" * 20000
+    listed = [(".env", filler + "password=1\n"), ("c.yaml", filler + "x\n"), ("d.ini", filler * 4 + "AKIA" + "A1" * 8)]
+    got = {r.path: r.category for r in inventory.inventory(spark.createDataFrame(listed, "path string, text string")).collect()}
+    assert got == {".env": "segredo", "c.yaml": "nao_suportado", "d.ini": "segredo"}
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "in" / "sub").mkdir(parents=True)
     (tmp_path / "in" / "sub" / "d.csv").write_bytes("CPF;Município\n012;São João\n".encode("latin-1"))
