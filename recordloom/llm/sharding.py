@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.tables import small, written
+from recordloom.tables import forget, small, written
 
 BYTE_LIMIT, HASH_BITS, STEP = 8 << 20, 60, 12
 
@@ -46,8 +46,13 @@ def shards(docs: DataFrame, limit: int = BYTE_LIMIT) -> DataFrame:
     The hash is of doc_id. Rows that share every bit (null or repeated ids) and don't fit together are told apart by a hash of a row number, shown
     after a "+". A single row over the limit has a shard of its own, marked oversize. Null text has no bytes. An empty table gives an empty result.
     """
+    return _named(docs.withColumn("_rid", F.monotonically_increasing_id()), limit).drop("rid")
+
+
+def _named(docs: DataFrame, limit: int) -> DataFrame:
+    """The rows of shards() with the row number "_rid" of docs as rid."""
     rows = docs.select(
-        F.monotonically_increasing_id().alias("rid"),
+        F.col("_rid").alias("rid"),
         F.col("doc_id").cast("long"),
         _bits(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"),
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
@@ -59,10 +64,12 @@ def shards(docs: DataFrame, limit: int = BYTE_LIMIT) -> DataFrame:
         again = rest.withColumn("first", F.lpad(F.bin("h"), HASH_BITS, "0")).withColumn("h", _bits(F.md5(F.col("rid").cast("string"))))
         more, _ = _directory(written(again, "hashes"), limit)
         out = out.unionByName(more.withColumn("shard", F.concat("first", F.lit("+"), name)).withColumn("depth", F.col("depth") + HASH_BITS).drop("first"))
-    return out.select("doc_id", "shard", F.col("depth").cast("int"), "n_bytes", (F.col("n_bytes") > limit).alias("oversize"))
+    return out.select("rid", "doc_id", "shard", F.col("depth").cast("int"), "n_bytes", (F.col("n_bytes") > limit).alias("oversize"))
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = BYTE_LIMIT) -> None:
-    """Write docs to path as Parquet, a folder for each shard; rows with null or repeated ids go to the shard that holds the first of them."""
-    at = shards(docs, limit).groupBy(F.col("doc_id").alias("_id")).agg(F.min("shard").alias("shard"))
-    docs.drop("shard").join(at, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id").write.partitionBy("shard").parquet(path)
+    """Write docs to path as Parquet, a folder for each shard; each row goes to its own shard of shards()."""
+    rows = written(docs.drop("shard").withColumn("_rid", F.monotonically_increasing_id()), "rows")  # the row numbers stay as they are
+    at = _named(rows, limit).select(F.col("rid").alias("_rid"), "shard")
+    rows.join(at, "_rid").drop("_rid").write.partitionBy("shard").parquet(path)
+    forget(rows)

@@ -1,5 +1,7 @@
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from recordloom.llm import lines, sharding
 
 from .conftest import SCHEMA, messy_rows
@@ -54,3 +56,13 @@ def test_rows_of_one_id_are_told_apart(spark):
 def test_write_shards_keeps_all_rows(messy, tmp_path):
     sharding.write_shards(messy, str(tmp_path / "out"), limit=3000)
     assert messy.sparkSession.read.parquet(str(tmp_path / "out")).count() == len(messy_rows())
+
+
+def test_written_shards_of_a_hot_id_fit(spark, tmp_path):
+    ids = [None] * 100 + [7] * 50 + list(range(100, 250))
+    docs = spark.createDataFrame([(i, f"{n} ".ljust(100, "x")) for n, i in enumerate(ids)], "doc_id long, text string").repartition(5)
+    sharding.write_shards(docs, str(tmp_path / "out"), limit=1000)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted((r.doc_id or 0, r.text) for r in docs.collect())
+    held = out.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("n_bytes")).collect()
+    assert max(r.n_bytes for r in held) <= 1000
