@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest estimated size, in bytes, of a side that is broadcast; beyond it the same join is shuffled.
-BROADCAST_BYTES = 32 << 20
+#: Largest estimated size, in bytes, of a side that is broadcast (beyond it the same join is shuffled), and what a hashed row needs besides its own bytes.
+BROADCAST_BYTES, ROW_OVERHEAD = 16 << 20, 48
+#: Rows and bytes of an Arrow batch while a table is written, so that wide rows don't fill the memory of executors and Python workers.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,24 +34,40 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder as Parquet and read it back, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/recordloom-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = {key: spark.conf.get(key, None) for key in ARROW}
+    for key, value in ARROW.items():
+        spark.conf.set(key, value)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     out = spark.read.schema(df.schema).parquet(path)
     out._recordloom_path = path
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete a table of written() that nothing reads any more."""
-    path = getattr(df, "_recordloom_path", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_recordloom_path", None)
+        if path:
+            spark = df.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its counted rows fit the limit, else unchanged, so that Spark shuffles the join."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    """df with a broadcast hint if its counted rows fit the limit as a hashed relation, else unchanged, so that Spark shuffles the join."""
+    return F.broadcast(df) if df.count() * (row_bytes + ROW_OVERHEAD) <= limit else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case: name, or name with underscores before it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def pick(df: DataFrame, keys: DataFrame, on: str, keep: bool = True) -> DataFrame:
