@@ -11,11 +11,11 @@ fragments: each fragment is worked on apart, and its partial counts are summed p
 3. A pair's overlap is counted in each fragment of the frequency order, and summed.
 
 Equal sets are one class throughout, so copies are never paired. Pairs inside a component are skipped, as no link of theirs can change it.
+A set of fewer than MIN_SET n-grams links with equal ones only. Lists over BLOCK members are cut by size first, as linked sets differ by a fourth at most.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 
 from recordloom.graph import components
 from recordloom.llm import words
-from recordloom.tables import pick, written
+from recordloom.tables import forget, pick, written
 
 #: Text bytes for each fragment of the first step, fragments of the last, and members of an n-gram's list that are paired in one task.
 FRAGMENT_BYTES, MIN_FRAGMENTS, PAIR_FRAGMENTS, BLOCK = 16 << 20, 64, 4, 512
 #: Slices of the n-gram space in which the shared n-grams of a set are counted to bound the overlap of a pair.
 SLICES = 64
+#: The least set that can link with another one: 4 of 5 n-grams shared.
+MIN_SET = 4
 
 
 def least_overlap(n):
@@ -52,11 +54,10 @@ def _prefixes(fragments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sizes, keys, owners, parts, whose, seen = batch["doc_id"].to_pylist(), [], [], [], [], [], {}
-            for shingles in words.shingle_sets(batch["text"]):
-                key = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+            for shingles, key in words.keyed_sets(batch["text"]):
                 owner = int.from_bytes(key[:8], "little") | 1
                 n = len(shingles)
-                if n and owner not in seen:
+                if n >= MIN_SET and owner not in seen:
                     seen[owner] = len(sizes)
                     parts.append(shingles[: n - least_overlap(n) + int(_extra(n))])
                     whose.append(owner)
@@ -122,8 +123,8 @@ def _count_shared(rows: pa.Table) -> pa.Table:
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, sets = [], []
-        for shingles in words.shingle_sets(batch["text"]):
-            keys.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
+        for shingles, key in words.keyed_sets(batch["text"]):
+            keys.append(key)
             sets.append(shingles.view(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["key", "tokens"])
 
@@ -143,16 +144,16 @@ def _ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a cell's members that lie in different components and can reach the threshold."""
+    """Pairs of a cell's members that lie in different components and can reach the threshold; two of the upper size are another list's."""
     for batch in batches:
-        found = []
         for lo, hi, members in zip(batch["lo"].to_pylist(), batch["hi"].to_pylist(), batch["members"]):
+            found = []
             v = members.values
-            sid, n, m, comp, block = (v.field(k).to_numpy(zero_copy_only=False) for k in ("sid", "n", "m", "comp", "block"))
+            sid, n, m, comp, block, upper = (v.field(k).to_numpy(zero_copy_only=False) for k in ("sid", "n", "m", "comp", "block", "upper"))
             slices = np.frombuffer(b"".join(v.field("slices").to_pylist()), np.uint32).reshape(-1, SLICES)
             left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
             own = n - m
-            able = (comp[left, None] != comp[right]) & (9 * (own[left, None] + own[right]) <= n[left, None] + n[right])
+            able = (comp[left, None] != comp[right]) & ~(upper[left, None] & upper[right]) & (9 * (own[left, None] + own[right]) <= n[left, None] + n[right])
             able &= 9 * np.minimum(m[left, None], m[right]) >= 4 * (n[left, None] + n[right])
             a, b = np.nonzero(able)
             a, b = left[a], right[b]
@@ -162,8 +163,9 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fits = 9 * most >= 4 * (n[x] + n[y])
                 x, y = sid[x[fits]], sid[y[fits]]
                 found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-        x = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["x", "y"])
+            if found:
+                x = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["x", "y"])
 
 
 def _linked(pairs: DataFrame, segments: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -209,13 +211,24 @@ def links(sets: DataFrame) -> DataFrame:
     member = written(member, "members")
     mixed = member.groupBy("token").agg(F.count("*").alias("many"), F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("token", "many")
     mixed = written(mixed, "mixed")
+    # Sets that link lie in one band of sizes or in neighbouring ones; list b of a frequent n-gram holds the bands b and b + 1.
+    band = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
+    lists = F.when(F.col("many") <= BLOCK, F.array(F.lit(-1))).otherwise(F.array("band", F.col("band") - 1))
+    listed = member.join(mixed, "token").withColumn("band", band).withColumn("list", F.explode(lists)).withColumn("upper", (F.col("list") >= 0) & (F.col("list") < F.col("band")))
+    listed = written(listed.select("token", "list", "upper", "sid", "n", "m", "comp"), "lists")
+    held = listed.groupBy("token", "list").agg(F.count("*").alias("many"), F.min("comp").alias("a"), F.max("comp").alias("b"), F.min("upper").alias("only")).filter("a <> b and not only")
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-    cells = member.join(mixed, "token").join(ahead.select("sid", "slices"), "sid").select("token", "sid", "n", "m", "comp", "slices", F.pmod(F.xxhash64("sid"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    cells = cells.groupBy("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).agg(F.collect_list(F.struct("sid", "n", "m", "comp", "block", "slices")).alias("members"))
+    cells = listed.join(held.select("token", "list", "many"), ["token", "list"]).join(ahead.select("sid", "slices"), "sid")
+    cells = cells.select("token", "list", "upper", "sid", "n", "m", "comp", "slices", F.pmod(F.xxhash64("sid"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    cells = cells.groupBy("token", "list", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).agg(F.collect_list(F.struct("sid", "n", "m", "comp", "block", "upper", "slices")).alias("members"))
     more = cells.mapInArrow(_pairs, "x long, y long").distinct()
     more = more.join(tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
-    second = _linked(written(more, "pairs"), segments, sizes)
-    return components(first.union(second).select(F.col("x").alias("src"), F.col("y").alias("dst")))
+    more = written(more, "pairs")
+    second = _linked(more, segments, sizes)
+    forget(alive, often, shared, segments, sizes, ahead, prefix, hubs, tried, joined, member, mixed, listed, more)
+    found = components(first.union(second).select(F.col("x").alias("src"), F.col("y").alias("dst")))
+    forget(first, second)
+    return found
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -239,12 +252,15 @@ def near_groups(docs: DataFrame) -> DataFrame:
     ids = named.select(F.col("low").alias("doc_id"))
     sets = pick(slim, ids, "doc_id").mapInArrow(_token_rows, "key binary, tokens array<long>")
     sets = sets.join(named, "key").groupBy("sid", "n").agg(F.first("tokens").alias("tokens"))
-    found = links(written(sets, "sets"))
+    sets = written(sets, "sets")
+    found = links(sets)
+    forget(sets, kept)
     found = written(named.join(found, F.col("sid") == F.col("node")).select("key", "low", "component"), "linked")
     lowest = found.groupBy("component").agg(F.min("low").alias("component_id"))
     linked = found.join(lowest, "component").select("key", "component_id")
     known = linked.union(classes.filter("many > 1").join(linked, "key", "left_anti").select("key", "low"))
     known = written(known, "known")
+    forget(classes, named, found)
     return listed.join(known, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )

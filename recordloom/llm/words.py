@@ -1,11 +1,13 @@
 """Words and shingles of whole texts as 64-bit numbers, computed on Arrow buffers with numpy.
 
-Texts are UTF-8 bytes, lower-cased in A-Z only; a word is a maximal run without the bytes 0x20 and 0x09-0x0D. A word's number is a polynomial
-over its bytes modulo 2**64, taken from one running sum over a run of documents.
+Texts are UTF-8 bytes, lower-cased in A-Z only; a word is a maximal run without the bytes 0x20 and 0x09-0x0D. A word's number is the mixed sum of
+a pseudo-random number for each of its bytes at its place, so texts that mirror each other don't collide, as they would in a polynomial modulo 2**64.
+Two different words or shingles share a number with a chance of 2**-64, for whatever reason they are compared.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,6 +33,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+#: The number of each byte at each of the first places of a word; those of later places are computed.
+_PLACES = 64
+_SPOT = mix(np.arange(_PLACES * 256, dtype=np.uint64) * _BASE)
 _STEP = mix(np.arange(1001, 1001 + 64, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -69,7 +74,6 @@ def runs(column: pa.Array, run_bytes: int = RUN_BYTES) -> Iterator[tuple[int, np
 
 def word_numbers(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(numbers, starts, ends, firsts): words of a run with their byte spans, and for each document the index of its first word, then their count."""
-    low = _LOW[buf]
     black = ~_SPACE[buf]
     before, after = np.zeros(len(buf), bool), np.zeros(len(buf), bool)
     before[1:], after[:-1] = black[:-1], black[1:]
@@ -77,9 +81,25 @@ def word_numbers(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     before[offsets[:-1][full]] = False
     after[offsets[1:][full] - 1] = False
     starts, ends = np.flatnonzero(black & ~before), np.flatnonzero(black & ~after) + 1
-    sums, down = rolling(low)
-    numbers = mix((sums[ends] - sums[starts]) * down[starts])
-    return numbers, starts, ends, np.searchsorted(starts, offsets)
+    return spelled(_LOW[buf], starts, ends), starts, ends, np.searchsorted(starts, offsets)
+
+
+def spelled(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The numbers of the byte strings low[start:end], which lie one after the other without overlapping."""
+    sizes = ends - starts
+    first = np.r_[0, np.cumsum(sizes)]
+    place = np.arange(first[-1], dtype=np.int64)
+    place -= np.repeat(first[:-1], sizes)
+    held = low[place + np.repeat(starts, sizes)]
+    spots = place << 8
+    spots |= held
+    far = np.flatnonzero(place >= _PLACES)
+    made = _SPOT[spots & (_PLACES * 256 - 1)]
+    if len(far):
+        made[far] = mix(spots[far].astype(np.uint64) * _BASE)
+    sums = np.zeros(len(made) + 1, np.uint64)
+    np.cumsum(made, out=sums[1:])
+    return mix(sums[first[1:]] - sums[first[:-1]] + sizes.astype(np.uint64) + np.uint64(seed))
 
 
 def shingle_numbers(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -92,15 +112,22 @@ def shingle_numbers(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return mix(total)
 
 
-def shingle_sets(column: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
-    """For each text its sorted distinct shingles; with fewer than k words the whole sequence as one; without words none."""
+def keyed_sets(column: pa.Array, k: int = SHINGLE) -> Iterator[tuple[np.ndarray, bytes]]:
+    """For each text its sorted distinct shingles and a 128-bit key of the set; with fewer than k words the whole sequence is one, without words there is none.
+
+    The key of a single shingle is taken from its words, since one number is all that would tell it from others.
+    """
     for _, buf, offsets in runs(column):
-        numbers, _, _, firsts = word_numbers(buf, offsets)
+        numbers, starts, ends, firsts = word_numbers(buf, offsets)
         shingles = shingle_numbers(numbers, k)
         for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist()):
             if b - a >= k:
-                yield np.unique(shingles[a : b - k + 1])
+                found = np.unique(shingles[a : b - k + 1])
             elif b > a:
-                yield mix((numbers[a:b] * _STEP[: b - a]).sum(keepdims=True) + np.uint64(b - a))
+                found = mix((numbers[a:b] * _STEP[: b - a]).sum(keepdims=True) + np.uint64(b - a))
             else:
-                yield np.zeros(0, np.uint64)
+                found = np.zeros(0, np.uint64)
+            said = found.tobytes()
+            if len(found) == 1:
+                said = b"1 " + b" ".join(_LOW[buf[starts[i] : ends[i]]].tobytes() for i in range(a, min(b, a + k)))
+            yield found, hashlib.blake2b(said, digest_size=16).digest()
