@@ -36,8 +36,9 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: bytes, bytes and runs removed as repeated 400-byte strings, and a digest of the rest."""
-    return suffix.strip_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept")
+    """Per document: bytes, bytes and runs removed as repeated 400-byte strings, a digest of the rest, and the number of repeated passages of over 50 words."""
+    out = suffix.strip_repeats(table(spark, sf_dir, "documents"), passage=suffix.PASSAGE_LENGTH)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.size("passages").cast("long").alias("n_passages"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

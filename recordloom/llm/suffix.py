@@ -6,7 +6,11 @@ a segment. Segments whose anchor stands alone repeat nothing and go; equal segme
 one task, where a suffix array over all its segments is built in two stages: suffixes smaller than their successors are sorted directly, the others
 are induced by scanning the buckets of first bytes. Adjacent common prefixes of `length` bytes or more then show the repeated starts.
 
-An anchor with too many classes for one task is worked on by hashes of whole strings instead, summed by an ordinary aggregation.
+An anchor with too many classes for one task is split: its segments are cut again by the anchors of longer grams, in the end by the whole string,
+and the suffix arrays are built in those parts.
+
+A shorter length can be judged on the way: segments are then those of the shorter strings, with enough text behind them for the longer ones, and the
+same adjacent common prefixes answer for both.
 """
 
 from __future__ import annotations
@@ -21,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm import words
-from recordloom.tables import pick, small, written
+from recordloom.tables import forget, pick, small, written
 
 LENGTH, GRAM = 400, 128
-#: Bytes of segments in one suffix array, classes of an anchor from which hashes take over, and bytes of segments in a partition.
+#: Length of strings and words of a passage: runs of such repeated strings with more words are passages.
+PASSAGE_LENGTH, PASSAGE_WORDS = 240, 50
+#: Bytes of segments in one suffix array, classes of an anchor over which it is split, and bytes of segments in a partition.
 CHUNK_BYTES, HOT_CLASSES, PARTITION_BYTES = 2 << 20, 2000, 16 << 20
 
 
@@ -40,8 +46,8 @@ def _least(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def segments_of(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, number of starts, anchor hash) of the segments of a run of documents; positions are of the run."""
+def segments_of(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, number of starts, anchor hash) of the segments of a run of documents, of the first `most` starts of each; positions are of the run."""
     none = np.zeros(0, np.int64)
     if len(buf) < length:
         return none, none, none.astype(np.uint64)
@@ -52,6 +58,7 @@ def segments_of(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram
     anchor = (_least((grams >> bits << bits) | place, length - gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     valid = np.zeros(len(anchor) + 1, np.int8)
     a, b = offsets[:-1], offsets[1:] - length + 1
+    b = b if most is None else np.minimum(b, a + most)
     fits = b > a
     valid[a[fits]] += 1
     np.subtract.at(valid, b[fits], 1)
@@ -63,21 +70,27 @@ def segments_of(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram
     return starts, stops - starts, grams[anchor[starts]]
 
 
-def _segment_rows(length: int, gram: int):
+def _segment_rows(least: int, length: int, gram: int):
+    """Segments of the starts of strings of `least` bytes, told apart by their text up to `length` bytes from the last start."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes = (batch[c].to_numpy(zero_copy_only=False) for c in ("id", "hash"))
+            ids, hashes, many, most = (batch[c].to_numpy(zero_copy_only=False) for c in ("id", "hash", "many", "most"))
             for at, buf, offsets in words.runs(batch["text"]):
-                starts, counts, anchors = segments_of(buf, offsets, length, gram)
+                starts, counts, anchors = segments_of(buf, offsets, least, gram, most[at : at + len(offsets) - 1])
                 if not len(starts):
                     continue
                 view = memoryview(np.ascontiguousarray(buf))
                 of = np.searchsorted(offsets, starts, "right") - 1
-                digest = [xxhash.xxh3_64_intdigest(view[s : s + n + length - 1]) for s, n in zip(starts.tolist(), counts.tolist())]
+                ends = np.minimum(starts + counts + length - 1, offsets[of + 1])
+                digest = [xxhash.xxh3_64_intdigest(view[s:e]) for s, e in zip(starts.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at + of]), pa.array(hashes[at + of]), pa.array(anchors.view(np.int64)), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.array((starts - offsets[of]).astype(np.int32)), pa.array(counts.astype(np.int32))],
-                    ["id", "hash", "anchor", "digest", "start", "n"],
-                )
+                    [
+                        *(pa.array(c[at + of]) for c in (ids, hashes, many)), pa.array(anchors.view(np.int64)), pa.array(np.array(digest, np.uint64).view(np.int64)),
+                        pa.array((starts - offsets[of]).astype(np.int32)), pa.array(counts.astype(np.int32)),
+                    ],
+                    ["id", "hash", "many", "anchor", "digest", "start", "n"],
+                )
 
     return run
 
@@ -85,22 +98,27 @@ def _segment_rows(length: int, gram: int):
 def _cut_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            anchors, digests, many, counts, texts = [], [], [], [], []
-            for text, parts in zip(batch["text"].cast(pa.binary()).to_pylist(), batch["parts"].to_pylist()):
-                for p in parts:
-                    anchors.append(p["anchor"])
-                    digests.append(p["digest"])
-                    many.append(p["many"])
-                    counts.append(p["n"])
-                    texts.append(text[p["start"] : p["start"] + p["n"] + length - 1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchors, pa.int64()), pa.array(digests, pa.int64()), pa.array(many, pa.int64()), pa.array(counts, pa.int32()), pa.array(texts, pa.binary())],
-                ["anchor", "digest", "many", "n", "text"],
-            )
+            rows, held = [], 0
+            for text, parts in zip(batch["text"].cast(pa.binary()), batch["parts"]):
+                text = text.as_buffer()
+                for p in parts.as_py():
+                    end = min(p["start"] + p["n"] + length - 1, text.size)
+                    rows.append((p["anchor"], p["digest"], p["many"], p["n"], text.slice(p["start"], end - p["start"]).to_pybytes()))
+                    held += len(rows[-1][-1])
+                    if held >= CHUNK_BYTES:
+                        yield _cut(rows)
+                        rows, held = [], 0
+            if rows:
+                yield _cut(rows)
 
     return run
 
 
+def _cut(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["anchor", "digest", "many", "n", "text"])
+
+
 class _Text:
     """Segments laid end to end, each followed by eight zero bytes."""
 
@@ -199,8 +217,11 @@ def suffix_array(t: _Text) -> np.ndarray:
     return found[found <= t.last_start[t.owner[found]]]
 
 
-def repeated_starts(segments: list[bytes], starts: list[int], many: list[int], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """For each segment the ranges [a, b) of its starts whose string of `length` bytes occurs twice or more, many being how often a segment stands."""
+def repeated_starts(segments: list[bytes], starts: list[int], many: list[int], length: int = LENGTH, shorter: int | None = None) -> list[list[tuple[int, int, bool]]]:
+    """For each segment the ranges [a, b) of its starts whose string of `length` bytes occurs twice or more, many being how often a segment stands.
+
+    With `shorter` also those whose string of that many bytes does; the third of a range says whether it is of the length itself.
+    """
     t = _Text(segments, starts)
     order = suffix_array(t)
     x, y = order[:-1], order[1:]
@@ -208,28 +229,40 @@ def repeated_starts(segments: list[bytes], starts: list[int], many: list[int], l
     active = np.arange(len(x))
     for depth in range(0, length, 8):
         a, b = t.words_at(x[active] + depth), t.words_at(y[active] + depth)
-        a, b = (v >> np.uint64(max(0, 8 * (depth + 8 - length))) for v in (a, b))
+        common[active] = depth + _equal_bytes(a, b)
         active = active[a == b]
-        common[active] = min(length, depth + 8)
-    group = np.cumsum(np.r_[True, common < length]) - 1
-    total = np.bincount(group, weights=np.array(many, np.float64)[t.owner[order]])
-    hit = np.sort(order[total[group] >= 2])
-    out: list[list[tuple[int, int]]] = [[] for _ in segments]
-    if len(hit):
-        opens = np.r_[True, (np.diff(hit) != 1) | (np.diff(t.owner[hit]) != 0)]
-        firsts, lasts = hit[opens], hit[np.r_[opens[1:], True]]
-        for seg, a, b in zip(t.owner[firsts].tolist(), firsts.tolist(), lasts.tolist()):
-            out[seg].append((a - int(t.first[seg]), b + 1 - int(t.first[seg])))
+    common = np.minimum(common, np.minimum(t.end[t.owner[x]] - x, t.end[t.owner[y]] - y))
+    out: list[list[tuple[int, int, bool]]] = [[] for _ in segments]
+    for size in {length, shorter or length}:
+        group = np.cumsum(np.r_[True, common < size]) - 1
+        total = np.bincount(group, weights=np.array(many, np.float64)[t.owner[order]])
+        hit = order[total[group] >= 2]
+        hit = np.sort(hit[t.end[t.owner[hit]] - hit >= size])
+        if len(hit):
+            opens = np.r_[True, (np.diff(hit) != 1) | (np.diff(t.owner[hit]) != 0)]
+            firsts, lasts = hit[opens], hit[np.r_[opens[1:], True]]
+            for seg, a, b in zip(t.owner[firsts].tolist(), firsts.tolist(), lasts.tolist()):
+                out[seg].append((a - int(t.first[seg]), b + 1 - int(t.first[seg]), size == length))
+    return out
+
+
+def _equal_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of leading bytes that two big-endian words share."""
+    differ = a ^ b
+    out = np.zeros(len(a), np.int64)
+    for i in range(8):
+        out += (differ >> np.uint64(56 - 8 * i)) == 0
     return out
 
 
-RANGES = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+RANGES = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("whole", pa.bool_())]))
+RANGES_SQL = "array<struct<a:int,b:int,whole:boolean>>"
 
 
-def _array_rows(length: int, chunk_bytes: int):
+def _array_rows(least: int, length: int, chunk_bytes: int):
     def done(rows: list[tuple]) -> pa.RecordBatch:
-        found = repeated_starts([r[4] for r in rows], [r[3] for r in rows], [r[2] for r in rows], length)
-        kept = [(r[0], r[1], [{"a": a, "b": b} for a, b in f]) for r, f in zip(rows, found) if f]
+        found = repeated_starts([r[4] for r in rows], [r[3] for r in rows], [r[2] for r in rows], length, least)
+        kept = [(r[0], r[1], [{"a": a, "b": b, "whole": w} for a, b, w in f]) for r, f in zip(rows, found) if f]
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64()), pa.array([k[2] for k in kept], RANGES)], ["anchor", "digest", "ranges"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,48 +281,64 @@ def _array_rows(length: int, chunk_bytes: int):
     return run
 
 
-def _string_rows(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for anchor, digest, many, n, text in zip(*(batch[c].to_pylist() for c in ("anchor", "digest", "many", "n", "text"))):
-                sums = [xxhash.xxh3_128_digest(text[i : i + length]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([anchor] * n, pa.int64()), pa.array([digest] * n, pa.int64()), pa.array([many] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(sums, pa.binary())],
-                    ["anchor", "digest", "many", "a", "string"],
-                )
-
-    return run
-
-
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_classes: int = HOT_CLASSES) -> DataFrame:
-    """(id, hash, spans): for texts with repeated strings, the byte ranges (s, e) to remove; ranges may overlap. docs has id, hash and text."""
-    listed = written(docs.mapInArrow(_segment_rows(length, gram), "id long, hash long, anchor long, digest long, start int, n int"), "segments")
-    again = listed.groupBy("anchor").count().filter("count > 1").select("anchor")
-    listed = written(listed.join(small(written(again, "anchors"), 16), "anchor", "left_semi"), "repeated")
-    classes = listed.groupBy("anchor", "digest").agg(F.count("*").alias("many"), F.min(F.struct("id", "hash", "start", "n")).alias("at"))
+def _found(texts: DataFrame, least: int, length: int, grams: list[int], hot_classes: int) -> tuple[DataFrame, DataFrame]:
+    """Segments of texts (id, hash, many, text; most is the number of their starts) whose anchor stands elsewhere too, and the repeated ranges of their
+    classes (anchor, digest, ranges)."""
+    gram = grams[0]
+    # How a hot anchor is split: by the next gram, and where the whole shorter string is hot, by the longer strings.
+    after = (least, grams[1:]) if grams[1:] else (length, [(least + length) // 2, length]) if least < length else None
+    every = written(texts.mapInArrow(_segment_rows(least, length, gram), "id long, hash long, many long, anchor long, digest long, start int, n int"), "segments")
+    again = written(every.groupBy("anchor").agg(F.sum("many").alias("many")).filter("many > 1").select("anchor"), "anchors")
+    listed = written(every.join(small(again, 8), "anchor", "left_semi"), "repeated")
+    forget(every, again)
+    classes = listed.groupBy("anchor", "digest").agg(F.sum("many").alias("many"), F.min(F.struct("id", "hash", "start", "n")).alias("at"))
     classes = written(classes.select("anchor", "digest", "many", "at.*"), "classes")
-    hot = written(classes.groupBy("anchor").count().filter(F.col("count") > hot_classes).select("anchor"), "hot")
+    ids = written(classes.select("id").distinct(), "ids")
     parts = classes.groupBy("id", "hash").agg(F.collect_list(F.struct("start", "n", "anchor", "digest", "many")).alias("parts"))
-    cut = pick(docs, written(classes.select("id").distinct(), "ids"), "id").join(parts, ["id", "hash"]).select("text", "parts")
+    cut = pick(texts, ids, "id").join(parts, ["id", "hash"]).select("text", "parts")
     cut = written(cut.mapInArrow(_cut_rows(length), "anchor long, digest long, many long, n int, text binary"), "texts")
+    hot = classes.groupBy("anchor").count().filter(F.col("count") > hot_classes).select("anchor")
+    hot = written(hot if after else hot.limit(0), "hot")
+    forget(ids)
     held = cut.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = cut.join(small(hot, 16), "anchor", "left_anti").repartition(max(64, held // PARTITION_BYTES), "anchor").sortWithinPartitions("anchor")
-    found = dealt.mapInArrow(_array_rows(length, CHUNK_BYTES), "anchor long, digest long, ranges array<struct<a:int,b:int>>")
+    dealt = cut.join(small(hot, 8), "anchor", "left_anti").repartition(max(64, held // PARTITION_BYTES), "anchor").sortWithinPartitions("anchor")
+    found = written(dealt.mapInArrow(_array_rows(least, length, CHUNK_BYTES), f"anchor long, digest long, ranges {RANGES_SQL}"), "ranges")
     if not hot.isEmpty():
-        strings = cut.join(small(hot, 16), "anchor", "left_semi").mapInArrow(_string_rows(length), "anchor long, digest long, many long, a int, string binary")
-        strings = written(strings, "strings")
-        twice = written(strings.groupBy("string").agg(F.sum("many").alias("many")).filter("many > 1").select("string"), "twice")
-        one = F.struct("a", (F.col("a") + 1).alias("b"))
-        found = found.union(strings.join(twice, "string").groupBy("anchor", "digest").agg(F.collect_list(one)))
-    found = written(found, "ranges")
+        # A class is a text of its own here; what follows its own starts belongs to other segments.
+        longer = cut.join(small(hot, 8), "anchor", "left_semi").select(F.col("anchor").alias("id"), F.col("digest").alias("hash"), "many", "text", F.col("n").cast("long").alias("most"))
+        longer = written(longer, "split")
+        inner, ranges = _found(longer, after[0], length, after[1], hot_classes)
+        one = F.struct((F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b")).alias("b"), F.col("r.whole").alias("whole"))
+        spread = inner.join(ranges, ["anchor", "digest"]).select("id", "hash", "start", F.explode("ranges").alias("r")).select(F.col("id").alias("anchor"), F.col("hash").alias("digest"), one.alias("r"))
+        if after[0] > least:  # the gram is the shorter string itself
+            shared = F.struct(F.lit(0).alias("a"), F.col("most").cast("int").alias("b"), F.lit(False).alias("whole"))
+            spread = spread.union(longer.select(F.col("id").alias("anchor"), F.col("hash").alias("digest"), shared.alias("r")))
+        found, first = written(found.union(spread.groupBy("anchor", "digest").agg(F.collect_set("r").alias("ranges"))), "ranges"), found
+        forget(first, longer, inner, ranges)
+    forget(cut, classes, hot)
+    return listed, found
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_classes: int = HOT_CLASSES, least: int | None = None) -> DataFrame:
+    """(id, hash, spans): for texts with repeated strings, the byte ranges (s, e, whole) that such strings cover; ranges may overlap.
+
+    docs has id, hash and text. whole is false for ranges of strings of `least` bytes, where that is less than the length.
+    """
+    least = min(least or length, length)
+    gram = gram if least == length else max(8, min(gram, least // 3))
+    whole = docs.select("id", "hash", F.lit(1).cast("long").alias("many"), "text", F.lit(1 << 40).alias("most"))
+    listed, found = _found(whole, least, length, sorted({gram, (gram + least) // 2, least}), hot_classes)
     spans = listed.join(found, ["anchor", "digest"]).select("id", "hash", "start", F.explode("ranges").alias("r"))
-    span = F.struct((F.col("start") + F.col("r.a")).alias("s"), (F.col("start") + F.col("r.b") - 1 + length).alias("e"))
-    return written(spans.select("id", "hash", span.alias("span")).groupBy("id", "hash").agg(F.collect_set("span").alias("spans")), "spans")
+    size = F.when(F.col("r.whole"), length).otherwise(least)
+    span = F.struct((F.col("start") + F.col("r.a")).alias("s"), (F.col("start") + F.col("r.b") - 1 + size).alias("e"), F.col("r.whole").alias("whole"))
+    out = written(spans.select("id", "hash", span.alias("span")).groupBy("id", "hash").agg(F.collect_set("span").alias("spans")), "spans")
+    forget(listed, found)
+    return out
 
 
-def _merged(spans: list) -> list[tuple[int, int]]:
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for s, e in sorted((x["s"], x["e"]) for x in spans or ()):
+    for s, e in sorted(spans):
         if out and s <= out[-1][1]:
             out[-1] = (out[-1][0], max(e, out[-1][1]))
         else:
@@ -299,44 +348,49 @@ def _merged(spans: list) -> list[tuple[int, int]]:
 
 def _strip_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, runs, kept = [], [], []
+        sizes, runs, kept, passages = [], [], [], []
         for text, spans in zip(batch["text"].cast(pa.binary()).to_pylist(), batch["spans"].to_pylist()):
             text = text or b""
-            gone = _merged(spans)
+            gone = _merged([(x["s"], x["e"]) for x in spans or () if x["whole"]])
             ends = [0, *(e for _, e in gone)]
             rest = b"".join(text[a:b] for a, b in zip(ends, [*(s for s, _ in gone), len(text)]))
             sizes.append(len(text))
             runs.append([{"s": s, "e": e} for s, e in gone])
+            passages.append([{"s": s, "e": e} for s, e in _merged([(x["s"], x["e"]) for x in spans or ()]) if len(text[s:e].split()) > PASSAGE_WORDS])
             kept.append(rest)
+        ranges = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
         yield pa.RecordBatch.from_arrays(
             [
                 batch["doc_id"],
                 pa.array(sizes, pa.int64()),
                 pa.array([n - len(k) for n, k in zip(sizes, kept)], pa.int64()),
                 pa.array([len(r) for r in runs], pa.int64()),
-                pa.array(runs, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))),
+                pa.array(runs, ranges),
+                pa.array(passages, ranges),
                 pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
                 pa.array(kept, pa.binary()),
             ],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept"],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "passages", "kept_sha256", "kept"],
         )
 
 
-def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_classes: int = HOT_CLASSES) -> DataFrame:
-    """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, spans (the removed byte ranges), kept_sha256, kept (the bytes that stay).
+def strip_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_classes: int = HOT_CLASSES, passage: int | None = None) -> DataFrame:
+    """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, spans (the removed byte ranges), passages, kept_sha256, kept (the bytes that stay).
 
     Texts are UTF-8 bytes; null counts as empty. Every byte covered by a string of `length` bytes that also starts anywhere else, in the same document or
-    another row, is removed, all copies included; a match never crosses documents. Repeated rows count as separate documents, null ids too.
-    An empty table gives an empty result; other columns are ignored.
+    another row, is removed, all copies included; a match never crosses documents. passages are the ranges of more than PASSAGE_WORDS words covered by
+    strings of `passage` bytes (by default of `length`) that also start elsewhere; they are reported, not removed.
+    Repeated rows count as separate documents, null ids too. An empty table gives an empty result; other columns are ignored.
     """
-    if not 8 <= gram <= length:
-        raise ValueError("gram must lie between 8 and length")
+    if not 8 <= gram <= length or passage is not None and not 16 <= passage <= length:
+        raise ValueError("gram must lie between 8 and length, and passage between 16 and length")
     none = F.lit(-(2**63))
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), F.xxhash64("text").alias("hash"))
-    spans = repeats(docs, length, gram, hot_classes)
+    spans = repeats(docs, length, gram, hot_classes, passage)
     ids = written(spans.select("id").distinct(), "ids")
-    shape = "array<struct<s:int,e:int>>"
+    shape = "array<struct<s:int,e:int,whole:boolean>>"
     touched = pick(docs, ids, "id").join(spans, ["id", "hash"], "left").select("doc_id", "text", "spans")
     rest = pick(docs, ids, "id", keep=False).select("doc_id", "text", F.lit(None).cast(shape).alias("spans"))
-    out = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<s:bigint,e:bigint>>, kept_sha256 string, kept binary"
+    ranges = "array<struct<s:bigint,e:bigint>>"
+    out = f"doc_id long, n_bytes long, n_removed long, n_spans long, spans {ranges}, passages {ranges}, kept_sha256 string, kept binary"
     return touched.mapInArrow(_strip_rows, out).union(rest.mapInArrow(_strip_rows, out))

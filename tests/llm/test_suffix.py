@@ -6,7 +6,7 @@ import pytest
 
 from recordloom.llm import suffix
 
-from .conftest import messy_rows
+from .conftest import messy_rows, words
 
 
 def brute(texts, length):
@@ -21,15 +21,31 @@ def brute(texts, length):
         yield len(t), sum(gone), runs, hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("length,gram,hot", [(60, 20, 2000), (60, 20, 0), (400, 128, 2000)])
-def test_strip_repeats_matches_brute_force(messy, length, gram, hot):
+@pytest.mark.parametrize("length,gram,hot,passage", [(60, 20, 2000, None), (60, 20, 0, None), (60, 20, 0, 40), (60, 20, 1, 24), (400, 128, 2000, None), (400, 128, 2000, 240)])
+def test_strip_repeats_matches_brute_force(messy, length, gram, hot, passage):
     rows = [r for r in messy_rows() if r[1] is None or len(r[1]) < 20000 or length == 400]
     docs = messy if length == 400 else messy.filter("text is null or length(text) < 20000")
-    got = suffix.strip_repeats(docs, length, gram, hot).collect()
+    got = suffix.strip_repeats(docs, length, gram, hot, passage).collect()
     want = Counter((r[0], *w) for r, w in zip(rows, brute([(r[1] or "").encode() for r in rows], length)))
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
 
 
+@pytest.mark.parametrize("hot", [2000, 3, 0])
+def test_passages_shorter_than_a_string_are_reported(spark, hot):
+    rng = random.Random(8)
+    passage = " ".join("".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(55))  # 274 bytes
+    rows = [(i, words(rng, 40) + " " + passage + " " + words(rng, 60)) for i in range(30)]
+    rows += [(100 + i, words(rng, 300)) for i in range(10)] + [(200, rows[0][1]), (300, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in suffix.strip_repeats(docs, hot_classes=hot, passage=240).collect()}
+    for i, text in rows[1:30]:
+        (found,) = out[i].passages
+        held = text.encode()[found.s : found.e].decode()
+        assert passage in held and len(held) < len(passage) + 8 and out[i].n_removed == 0
+    assert all(out[100 + i].passages == [] for i in range(10))
+    assert out[0].n_removed == len(rows[0][1]) and out[300].n_bytes == 0
+
+
 def test_empty(empty):
     assert suffix.strip_repeats(empty).count() == 0
 
@@ -56,4 +72,5 @@ def test_suffix_arrays_are_sorted_and_find_repeats():
             for i in range(n):
                 seen[s[i : i + length]] += m
         for s, n, ranges in zip(segments, starts, suffix.repeated_starts(segments, starts, many, length)):
-            assert {i for a, b in ranges for i in range(a, b)} == {i for i in range(n) if seen[s[i : i + length]] > 1}
+            assert all(whole for _, _, whole in ranges)
+            assert {i for a, b, _ in ranges for i in range(a, b)} == {i for i in range(n) if seen[s[i : i + length]] > 1}
