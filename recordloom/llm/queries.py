@@ -57,9 +57,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: whether it was held out, its toxicity score, the prediction and the number of offending sentences."""
+    """Per document: whether it was held out, its toxicity score, the prediction, and the byte spans of offending sentences with their scores."""
     out = toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.withColumn("n_sentences", F.size("sentences")).drop("sentences")
+    span = lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"), F.format_number(s["score"], 3))
+    return out.withColumn("offending", F.array_join(F.transform("sentences", span), ",")).drop("sentences")
 
 
 QUERIES = {

@@ -3,6 +3,9 @@
 A document is a bag of sentences. A logistic model over hashed words and word beginnings scores each sentence, and a noisy-or joins the sentence
 scores to the document's. Only documents are labelled; training passes the document's error back to its sentences, whose scores then show where
 the offence is.
+
+In a long text many sentences that say nothing would add up. So the highest score counts in full, and of the other distinct sentences only what lies
+over a floor, under which the sentences of clean training documents stay.
 """
 
 from __future__ import annotations
@@ -16,9 +19,12 @@ from pyspark.sql import functions as F
 
 from recordloom.llm import words
 from recordloom.llm.linear import Ftrl
+from recordloom.tables import written
 
-#: Hash dimensions, bytes of word beginnings, labelled documents taken of each class, the longest of them in bytes.
-DIMS, BEGINNINGS, SAMPLE_PER_CLASS, SAMPLE_TEXT_BYTES = 1 << 18, (4, 5, 6, 7, 8), 4000, 1 << 16
+#: Hash dimensions, bytes of word beginnings, labelled documents taken of each class, the longest of them in bytes, and bytes of each class (in the mean).
+DIMS, BEGINNINGS, SAMPLE_PER_CLASS, SAMPLE_TEXT_BYTES, SAMPLE_BYTES = 1 << 18, (4, 5, 6, 7, 8), 4000, 1 << 16, 24 << 20
+#: The share of clean sentences under the floor, and the highest floor.
+CLEAN_SHARE, MOST_FLOOR = 0.9999, 0.3
 #: Documents in a training step, and steps at least; passes over the sample at least.
 BATCH, STEPS, EPOCHS = 25, 1000, 4
 FOLDS, HELD_OUT = 5, 0
@@ -68,13 +74,35 @@ def noisy_or(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return 1 - np.exp(-np.bincount(doc, weights=-np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n))
 
 
+def joined(p: np.ndarray, doc: np.ndarray, n: int, hashed: np.ndarray, whose: np.ndarray, floor: float) -> np.ndarray:
+    """The score of each document: noisy-or of its highest sentence and of what its other distinct sentences have over the floor; 0 without sentences."""
+    alike = np.zeros(len(p), np.uint64)
+    np.add.at(alike, whose, words.mix(hashed.astype(np.uint64) + np.uint64(1)))
+    order = np.lexsort((alike, -p, doc))
+    new = np.r_[True, (doc[order][1:] != doc[order][:-1]) | (p[order][1:] != p[order][:-1]) | (alike[order][1:] != alike[order][:-1])][: len(p)]
+    order = order[new]
+    first = np.r_[True, doc[order][1:] != doc[order][:-1]][: len(order)]
+    return noisy_or(np.where(first, p[order], np.maximum(0.0, (p[order] - floor) / (1 - floor))), doc[order], n)
+
+
 def train(docs: DataFrame, labels: DataFrame, dims: int = DIMS, per_class: int = SAMPLE_PER_CLASS, text_bytes: int = SAMPLE_TEXT_BYTES, epochs: int = EPOCHS) -> dict:
-    """Weights and bias from documents and labels (doc_id, toxic) that are not held out; null labels are ignored."""
+    """Weights, bias and floor from documents and labels (doc_id, toxic) that are not held out; null labels are ignored.
+
+    The sample holds per_class documents of each class, fewer if they have over SAMPLE_BYTES together, of text_bytes at most each, chosen by a hash of
+    doc_id and put in an order of their own, so that the order of rows doesn't matter. Several labels of one document count as the highest. Null texts and
+    empty tables leave nothing to learn from: then every sentence has the score of the prior.
+    """
     known = labels.filter(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     count = {r.toxic: r["count"] for r in known.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
-    share = F.when(F.col("toxic") > 0, per_class / max(count.get(True, 0), 1)).otherwise(per_class / max(count.get(False, 0), 1))
-    known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < share * (1 << 20)).limit(4 * per_class)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").filter(F.octet_length("text") <= text_bytes).select("text", (F.col("toxic") > 0).alias("y"))
+    of_class = lambda c, shares: F.when(c, shares.get(True, 0.0)).otherwise(shares.get(False, 0.0)) * (1 << 30)
+    place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
+    share = {y: per_class / n for y, n in count.items()}
+    known = known.filter(place < of_class(F.col("toxic") > 0, share)).limit(4 * per_class)
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").filter(F.octet_length("text") <= text_bytes)
+    rows = written(rows.select("doc_id", "text", (F.col("toxic") > 0).alias("y")), "labelled")
+    size = {r.y: r["size"] for r in rows.groupBy("y").agg(F.sum(F.octet_length("text")).alias("size")).collect()}
+    less = {y: share[y] * min(1.0, SAMPLE_BYTES / max(1, size.get(y, 0))) for y in share}
+    rows = rows.filter(place < of_class(F.col("y"), less)).select("text", "y")
     rows = sorted((r.text, r.y) for r in rows.limit(4 * per_class).collect())  # a bounded sample
     rows = [rows[i] for i in np.random.default_rng(0).permutation(len(rows))]
     model = Ftrl((dims + 1,), alpha=0.3, l1=0.2, l2=0.01)
@@ -93,7 +121,14 @@ def train(docs: DataFrame, labels: DataFrame, dims: int = DIMS, per_class: int =
                 gradient[:-1] += np.bincount(hashed, weights=slope[whose], minlength=dims)
                 gradient[-1] += slope.sum()
             model.update(gradient)
-    return {"w": model.w[:-1].astype(np.float32), "b": float(model.w[-1] + prior)}
+    clean = [np.zeros(0)]
+    for part, truth in made:
+        for at, n, hashed, whose, _, _, doc, _ in part:
+            p = _sentence_scores(hashed, whose, len(doc), model.w[:-1], model.w[-1] + prior)
+            clean.append(p[~truth[at : at + n][doc]])
+    clean = np.concatenate(clean)
+    floor = min(MOST_FLOOR, float(np.quantile(clean, CLEAN_SHARE))) if len(clean) else 0.0
+    return {"w": model.w[:-1].astype(np.float32), "b": float(model.w[-1] + prior), "floor": floor}
 
 
 def _judge(model):
@@ -103,7 +138,7 @@ def _judge(model):
             scores, worst = [], []
             for _, n, hashed, whose, first, last, doc, offsets in bags(batch["text"], len(m["w"])):
                 p = _sentence_scores(hashed, whose, len(doc), m["w"], m["b"])
-                scores.append(noisy_or(p, doc, n))
+                scores.append(joined(p, doc, n, hashed, whose, m["floor"]))
                 spans: list[list] = [[] for _ in range(n)]
                 for k in np.flatnonzero(p >= 0.5).tolist():
                     d = int(doc[k])
@@ -118,7 +153,11 @@ def _judge(model):
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """One row for each row of docs: doc_id, held_out, score, predicted, sentences (byte spans and scores of those of 0.5 or more)."""
+    """One row for each row of docs: doc_id, held_out, score, predicted, sentences (byte spans and scores of those of 0.5 or more).
+
+    Whole texts of any length are read. Null, empty and wordless texts score 0; repeated rows get equal results; an empty table gives an empty result;
+    other columns are ignored.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # dims numbers
     rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
     out = rows.mapInArrow(_judge(shared), "doc_id long, held_out boolean, score double, sentences array<struct<start:bigint,end:bigint,score:double>>")
