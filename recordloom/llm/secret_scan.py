@@ -31,6 +31,9 @@ KINDS = ("assign", "access", "hex", "markov")
 MIN_RUN = 16
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
 SAMPLE_DOCS, SAMPLE_STRINGS, SHARE, MARGIN, ROUNDS, FOLDS = 20000, 20000, 0.99, 3.0, 20, 5
+#: Characters of a string that the models learn from; the scan itself judges whole strings.
+SAMPLE_CHARS = 256
+WORD = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_]{7,15}(?![A-Za-z0-9_])")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _N = len(ALPHABET) + 1
 _CODE = np.full(128, len(ALPHABET), np.int64)
@@ -54,10 +57,24 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1])))
 
 
+def covered(base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The parts of a text that the patterns' matches cover, in order, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for s, e, _ in sorted(base):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def other_runs(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
-    """Runs that no pattern's match touches."""
+    """Runs that no pattern's match touches, in one sweep over both."""
+    parts, i = covered(base), 0
     for m in RUN.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, e, _ in base):
+        while i < len(parts) and parts[i][1] <= m.start():
+            i += 1
+        if i == len(parts) or parts[i][0] >= m.end():
             yield m.span()
 
 
@@ -71,9 +88,10 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 value = ASSIGN.match(text, s)[2] if kind == "assign" else text[s:e]
                 rows.add((value, True))
             rows |= {(text[s:e], False) for s, e in other_runs(text, base)}
-            rest = RUN.sub(" ", text)  # a piece of an unmarked secret is no word
-            rows |= {(w, False) for w in re.findall(r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_]{7,15}(?![A-Za-z0-9_])", rest) if not any(w in text[s:e] for s, e, _ in base)}
-        rows = sorted(rows)
+            edges = [0, *(x for span in covered(base) for x in span), len(text)]
+            rest = RUN.sub(" ", " ".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))  # a piece of a secret is no word
+            rows |= {(w, False) for w in WORD.findall(rest)}
+        rows = sorted({(v[:SAMPLE_CHARS], secret) for v, secret in rows})
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_())], ["value", "secret"])
 
 
@@ -145,7 +163,11 @@ class Judge:
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_strings: int = SAMPLE_STRINGS) -> Judge:
-    """Models from a sample of docs, chosen by a hash of doc_id and text, so that it doesn't depend on the order of rows."""
+    """Models from a sample of docs, chosen by a hash of doc_id and text, so that it doesn't depend on the order of rows.
+
+    sample_docs documents (about), sample_strings strings of each label and SAMPLE_CHARS of each string bound what is collected. Null texts hold no
+    strings; without strings of both labels, as in an empty table, the models mark nothing.
+    """
     share = sample_docs / max(1, docs.count())
     chosen = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share * (1 << 20)).select("text")
     rows = written(chosen.mapInArrow(_labelled, "value string, secret boolean").groupBy("value").agg(F.max("secret").alias("secret")), "labelled")
