@@ -4,7 +4,8 @@ Each text, lower-cased in A-Z only, is cut into blocks of a fixed number of byte
 names are paired and the pairs named in the same way, level by level, until each document has one name. Names are ranks in a sorted bucket, so two
 texts get one identity exactly if they are equal: no hash decides.
 
-Each task first gathers its own repeats of a block, so a block that a third of all rows hold reaches its bucket once a batch.
+Each task first gathers its own repeats of a block. A block that still comes in many gathered rows is hot: only its distinct bytes are named, apart from
+the others, and the bounded list of hot names is joined back, so that the places of a block that a third of all rows hold never meet in one bucket.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.tables import forget, pick, written
+from recordloom.tables import forget, free_name, pick, written
 
 #: Bytes in a block, and documents for each naming bucket (with at least MIN_BUCKETS).
 BLOCK_BYTES = 1024
 DOCS_PER_BUCKET = 2000
 MIN_BUCKETS = 1024
+#: Hot blocks, at most: those in more than this part of all gathered rows, and in HOT_ROWS of them at least.
+HOT_BLOCKS, HOT_ROWS = 8192, 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 PLACES = "array<struct<rid:bigint,pos:int>>"
@@ -73,10 +76,21 @@ def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _named(rows: DataFrame, keys: list[str], spread: Column, buckets: int) -> DataFrame:
-    """rows with a name: equal keys, and they only, share one. Keys are dealt to buckets and ranked in each."""
-    rows = rows.withColumn("bucket", F.pmod(spread, F.lit(buckets)))
+    """rows with a name: equal keys, and they only, share one. Keys are dealt to buckets and ranked in each; hot ones are ranked apart.
+
+    rows is a stored table. Rows whose keys are null belong to no block; their name has no meaning.
+    """
+    mark = F.xxhash64(*keys)
+    seen = rows.filter(F.col(keys[0]).isNotNull()).groupBy(mark.alias("mark")).agg(F.count("*").alias("many"))
+    total = rows.count()
+    hot = seen.filter(F.col("many") > max(HOT_ROWS, total // HOT_BLOCKS)).select("mark")  # HOT_BLOCKS rows at most
+    hot = written(rows.join(F.broadcast(hot), mark == F.col("mark"), "left_semi").select(*keys).distinct(), "hot")
+    listed = hot.select(*(F.col(k).alias(f"_{k}") for k in keys), (F.lit(buckets) + F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys))).alias("_hot"))
+    same = [F.col(k) == F.col(f"_{k}") for k in keys]
+    rows = rows.join(F.broadcast(listed), same, "left").withColumn("bucket", F.pmod(spread, F.lit(buckets)))
     rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy(*keys))
-    return rows.withColumn("name", F.shiftleft("bucket", 32) + rank)
+    usual = rows.filter("_hot is null").withColumn("name", F.shiftleft("bucket", 32) + rank)
+    return usual.unionByName(rows.filter("_hot is not null").withColumn("name", F.shiftleft("_hot", 32))).drop("_hot", *(f"_{k}" for k in keys))
 
 
 def _in_order(named: Column) -> Column:
@@ -93,6 +107,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         _block_rows(block_bytes), f"block binary, places {PLACES}, doc_id long, n_bytes long, sha binary"
     )
     spread = F.when(F.col("block").isNotNull(), F.xxhash64("block")).otherwise(F.xxhash64(F.col("places")[0]["rid"]))
+    rows = written(rows, "blocks")
     placed = _named(rows, ["block"], spread, buckets).select(F.explode("places").alias("at"), "name", "doc_id", "n_bytes", "sha")
     spot = F.when(F.col("at.pos") >= 0, F.struct(F.col("at.pos").alias("pos"), "name"))
     base = written(
@@ -101,12 +116,14 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         ),
         "names",
     )
+    forget(rows)
     done = [base.filter("size(names) <= 1").select("rid", F.coalesce(F.get("names", F.lit(0)), F.lit(-1)).alias("name"))]
     level, before = base.filter("size(names) > 1").select("rid", "names"), None
     while not level.isEmpty():
-        pairs = level.mapInArrow(_pair_rows, f"a long, b long, places {PLACES}")
+        pairs = written(level.mapInArrow(_pair_rows, f"a long, b long, places {PLACES}"), "pairs")
         placed = _named(pairs, ["a", "b"], F.xxhash64("a", "b"), buckets).select(F.explode("places").alias("at"), "name")
         after = written(placed.groupBy(F.col("at.rid").alias("rid")).agg(_in_order(F.struct(F.col("at.pos").alias("pos"), "name")).alias("names")), "names")
+        forget(pairs)
         done.append(after.filter("size(names) = 1").select("rid", F.col("names")[0].alias("name")))
         level, before = after.filter("size(names) > 1"), after
     found = done[0]
@@ -139,14 +156,18 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with one row of each group of equal texts; the columns stay as they are."""
+    """docs with one row of each group of equal texts, the one with the largest doc_id; the columns stay as they are, whatever their names.
+
+    Null counts as empty text; of repeated rows one stays; null ids come before all others; an empty table stays empty.
+    """
     found = written(exact_groups(docs, block_bytes), "exact")
     ids = found.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids")).first()
     if ids.n == ids.ids:
         return pick(docs, found.filter("not kept"), "doc_id", keep=False)
     # Repeated or null ids: rows are told apart by their text too.
+    key, copy = ([free_name(docs, f"{name}_{part}") for part in ("id", "sha")] for name in ("row", "kept"))
     sha = F.sha2(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), 256)
-    kept = found.filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
-    rows = docs.withColumn("_sha", sha)
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    kept = found.filter("kept").select(F.col("doc_id").alias(copy[0]), F.col("text_sha256").alias(copy[1])).distinct()
+    rows = docs.withColumns({key[0]: F.col("doc_id").cast("long"), key[1]: sha})
+    rows = rows.join(kept, F.col(key[0]).eqNullSafe(F.col(copy[0])) & (F.col(key[1]) == F.col(copy[1])), "left_semi")
+    return rows.dropDuplicates(key).select(*(F.col(f"`{c}`") for c in docs.columns))
