@@ -5,7 +5,7 @@ than the item is one window as a whole. The fingerprints of the items lie in a m
 which finds every fingerprint within 23 bits. Candidates are verified by the exact weighted Jaccard similarity of the shingle sets.
 
 A window's fingerprint is computed only if enough of its shingles stand in the benchmark at all for the similarity to be reachable, which loses nothing.
-Items are taken in parts of a bounded size; each part is one pass over the documents.
+Items are taken in parts of a bounded size; each part is one pass over the documents, so the passes grow with the benchmark.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm import words
+from recordloom.tables import written
 
 SIMILARITY, BLOCKS, BLOCK_RADIUS = 0.8, 8, 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: Items and bytes of items in a part, and words worked on at a time.
-PART_ITEMS, PART_BYTES, SPAN = 5000, 4 << 20, 8192
+PART_ITEMS, PART_BYTES, SPAN = 20000, 16 << 20, 8192
 _SCALE = 1 << 10
 _BITS = np.arange(64, dtype=np.uint64)
 
@@ -40,7 +41,8 @@ def _packed(sums: np.ndarray) -> np.ndarray:
 class Index:
     """The items of a part: shingle weights, fingerprints by length, and the blocks that lead to them."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], counted: tuple[np.ndarray, np.ndarray, int] | None = None):
+        """counted: sorted shingles, the number of items with each, and of all items, if the items are a part of the benchmark only."""
         self.k = words.SHINGLE
         numbers = []
         for item, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
@@ -51,6 +53,8 @@ class Index:
         sets = [words.shingle_numbers(w, min(self.k, len(w))) for _, w in numbers]
         known, df = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(s) for s in sets)]), return_counts=True)
         self.known, self.n = known, len(sets)
+        if counted is not None:
+            df, self.n = counted[1][np.searchsorted(counted[0], known)], counted[2]
         self.weights = np.round(_SCALE * (1 + np.log((1 + self.n) / (1 + df)))).astype(np.int64)
         self.other = int(round(_SCALE * (1 + np.log(1 + self.n))))  # of a shingle that no item has
         self.seen = np.zeros(1 << 20, bool)
@@ -58,9 +62,9 @@ class Index:
         self.by_length: dict[int, list] = defaultdict(list)
         for (item, w), s in zip(numbers, sets):
             weight = self.weigh(s)
-            own = dict(zip(s.tolist(), weight.tolist()))
+            own = np.unique(s)
             fingerprint = int(_packed((weight[:, None] * _signs(s)).sum(axis=0)[None])[0])
-            self.by_length[len(w)].append((item, own, sum(own.values()), fingerprint))
+            self.by_length[len(w)].append((item, own, int(self.weigh(own).sum()), fingerprint))
         self.blocks = {length: self._blocked([i[3] for i in held]) for length, held in self.by_length.items()}
         most = int(self.weights.max()) if len(known) else 1
         #: Positions of a window that must hold a known shingle for any item of that length to reach the similarity.
@@ -126,20 +130,33 @@ class Index:
         for start, fingerprint in zip(starts.tolist(), prints.tolist()):
             for item, own, weight, _ in self.near(length, fingerprint):
                 window = np.unique(shingles[start : start + m])
-                weights = dict(zip(window.tolist(), self.weigh(window).tolist()))
-                both = sum(w for s, w in weights.items() if s in own)
-                value = both / (weight + sum(weights.values()) - both)
+                weights = self.weigh(window)
+                both = int(weights[own[np.minimum(np.searchsorted(own, window), len(own) - 1)] == window].sum())
+                value = both / (weight + int(weights.sum()) - both)
                 if value >= SIMILARITY and value > best.get(item, (0.0,))[0]:
                     best[item] = (value, start, size)
 
 
-def parts(benchmark: DataFrame, part_items: int = PART_ITEMS, part_bytes: int = PART_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's items (item_id, text), dealt by hash to as many parts as keep each one small."""
-    items = benchmark.select(F.col("item_id").cast("long"), "text")
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        held = [np.zeros(0, np.uint64), *words.shingle_sets(batch["text"])]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], ["shingle"])
+
+
+def indexes(benchmark: DataFrame, part_items: int = PART_ITEMS, part_bytes: int = PART_BYTES) -> Iterator[Index]:
+    """Indexes of the benchmark's items (item_id, text), dealt by hash to as many parts as keep each one small; weights are those of the whole benchmark."""
+    items = benchmark.select(F.col("item_id").cast("long"), "text").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     n = max(1, -(-size.n // part_items), -(-size.b // part_bytes))
-    for i in range(n if size.n else 0):
-        yield [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()]
+    if size.n and n == 1:
+        yield Index([tuple(r) for r in items.collect()])
+    elif size.n:
+        df = written(items.mapInArrow(_shingle_rows, "shingle long").groupBy("shingle").count(), "item-shingles")
+        for i in range(n):
+            part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
+            own = part.mapInArrow(_shingle_rows, "shingle long").distinct().join(df, "shingle").collect()  # of a part of bounded size
+            own = sorted((r["shingle"] & (1 << 64) - 1, r["count"]) for r in own)
+            yield Index([tuple(r) for r in part.collect()], (np.array([x[0] for x in own], np.uint64), np.array([x[1] for x in own], np.int64), size.n))
 
 
 def _found(index: Index, column: pa.Array) -> Iterator[tuple[int, dict, np.ndarray, np.ndarray]]:
@@ -180,8 +197,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     slim, out = docs.select(F.col("doc_id").cast("long"), "text"), None
-    for items in parts(benchmark):
-        index = spark.sparkContext.broadcast(Index(items))  # a part of bounded size
+    for part in indexes(benchmark):
+        index = spark.sparkContext.broadcast(part)  # of bounded size
         found = slim.mapInArrow(_hits(index), "doc_id long, item_id long, similarity double, start long, end long")
         out = found if out is None else out.union(found)
     return spark.createDataFrame([], "doc_id long, item_id long, similarity double, start long, end long") if out is None else out
@@ -198,7 +215,10 @@ def _clean(index):
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold a benchmark item; the columns stay as they are."""
-    for items in parts(benchmark):
-        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(Index(items))), docs.schema)
+    """docs without the rows that hold a benchmark item, as leaks() finds them; the columns stay as they are.
+
+    Rows with a null, empty or wordless text stay, as do all rows where the benchmark is empty; repeated rows are treated alike; an empty table stays empty.
+    """
+    for part in indexes(benchmark):
+        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(part)), docs.schema)
     return docs

@@ -26,7 +26,7 @@ def test_leaks_are_found_and_clean_rows_stay(spark, messy, empty, monkeypatch):
     assert 0.8 <= got[20, 5].similarity < 1
     kept = decontam.without_leaks(docs, benchmark)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {21, 22}
-    monkeypatch.setattr(decontam.parts, "__defaults__", (2, 100))
+    monkeypatch.setattr(decontam.indexes, "__defaults__", (2, 100))
     assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, benchmark).collect()} == set(got)
     assert decontam.leaks(messy, benchmark).count() == 0
     assert decontam.without_leaks(messy, benchmark).count() == len(messy_rows())
