@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recordloom.sources import files
@@ -27,23 +28,114 @@ def query(name: str, sql: str | None):
     return put
 
 
-@query("csv_cells", """SELECT n || '.csv' AS path, "column", value FROM (SELECT c_nationkey::VARCHAR AS n, c_custkey::VARCHAR AS id, c_name AS nome_completo, c_mktsegment AS area FROM customer) UNPIVOT (value FOR "column" IN (id, nome_completo, area))""")
+#: A file of the derived ones holds the rows of a thousand keys, so their number grows with the table and not their size.
+_FILE = lambda key: F.floor(C(key) / 1000).cast("string")
+
+
+@query(
+    "csv_cells",
+    """SELECT n || '.csv' AS path, "column", value FROM (SELECT (c_custkey // 1000)::VARCHAR AS n, c_custkey::VARCHAR AS id, 'de "' || c_name || '"; ' || c_nationkey || chr(10) || 'fim' AS nome_completo, c_mktsegment AS area FROM customer) UNPIVOT (value FOR "column" IN (id, nome_completo, area))""",
+)
 def csv_cells(spark, sf_dir):
-    line = F.concat_ws(";", C("c_custkey").cast("string"), F.concat(F.lit('"'), C("c_name"), F.lit('"')), "c_mktsegment")
-    rows = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
-    texts = rows.select(F.concat(C("c_nationkey").cast("string"), F.lit(".csv")).alias("path"), F.concat(F.lit("Id;Nome Completo;Área\n\n"), "body").alias("text"))
+    """Cells with separators, quotes and line breaks inside quotes."""
+    name = F.concat(F.lit('"de ""'), C("c_name"), F.lit('""; '), C("c_nationkey").cast("string"), F.lit('\nfim"'))
+    line = F.concat_ws(";", C("c_custkey").cast("string"), name, "c_mktsegment")
+    rows = table(spark, sf_dir, "customer").groupBy(_FILE("c_custkey").alias("f")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
+    texts = rows.select(F.concat("f", F.lit(".csv")).alias("path"), F.concat(F.lit("Id;Nome Completo;Área\n\n"), "body").alias("text"))
     return files.delimited(texts).select("path", "column", "value")
 
 
+@query("encodings", "SELECT doc_id, sha256(coalesce(text, '') || ' preço € 5') AS sha256 FROM documents")
+def encodings(spark, sf_dir):
+    """Every text in one of four encodings, told without being told which."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" preço € 5"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("t"))
+    fits = C("t").rlike("^[\\x{00}-\\x{7F}\\x{A0}-\\x{FF}€]*$")
+    narrow = F.encode(F.translate("t", "€", "\x80"), "ISO-8859-1")
+    kind = F.pmod(C("doc_id"), F.lit(4))
+    wide = F.when(kind == 0, F.concat(F.lit(b"\xff\xfe"), F.encode("t", "UTF-16LE"))).when(kind == 1, F.concat(F.lit(b"\xef\xbb\xbf"), F.encode("t", "UTF-8")))
+    content = wide.when((kind == 2) & fits, F.when(fits, narrow)).otherwise(F.encode("t", "UTF-8"))
+    return rows.select("doc_id", F.sha2(files.decoded(content), 256).alias("sha256"))
+
+
 @query("jsonl_records", "SELECT count(*) FILTER (event_id % 13 <> 0) AS n_records, count(*) FILTER (event_id % 13 = 0) AS n_broken FROM events")
 def jsonl_records(spark, sf_dir):
     line = F.when(C("event_id") % 13 == 0, F.concat(F.lit("{broken "), "props")).otherwise(C("props"))
-    texts = table(spark, sf_dir, "events").groupBy(F.concat(F.lit("f"), (C("event_id") % 50).cast("string")).alias("path")).agg(F.array_join(F.collect_list(line), "\n").alias("text"))
+    texts = table(spark, sf_dir, "events").groupBy(_FILE("event_id").alias("path")).agg(F.array_join(F.collect_list(line), "\n").alias("text"))
     good, broken = files.json_lines(texts)
     bad = broken.agg(F.coalesce(F.sum(F.size("broken")), F.lit(0)).alias("n_broken"))
     return good.agg(F.count("*").alias("n_records")).crossJoin(bad)
 
 
+@query("json_records", "SELECT event_id::VARCHAR AS id, event_type AS kind, json_extract_string(props, '$.k') AS k FROM events UNION ALL SELECT NULL, 'not JSON', NULL FROM (SELECT DISTINCT event_id // 1000 AS f FROM events) WHERE f % 4 = 3")
+def json_records(spark, sf_dir):
+    """Files with an array, with an object that holds a list, with an object alone, and broken ones."""
+    f = F.floor(C("event_id") / 1000)
+    one = F.concat(F.lit('{"id": '), C("event_id").cast("string"), F.lit(', "kind": "'), "event_type", F.lit('", "props": '), "props", F.lit("}"))
+    rows = table(spark, sf_dir, "events").select(f.alias("f"), "event_id", one.alias("one"))
+    listed = rows.groupBy("f").agg(F.array_join(F.collect_list("one"), ", ").alias("all"))
+    held = F.when(C("f") % 2 == 0, F.concat(F.lit("["), "all", F.lit("]"))).otherwise(F.concat(F.lit('{"total": 3, "dados": ['), "all", F.lit('], "outros": [1]}')))
+    texts = listed.select(C("f").cast("string").alias("path"), held.alias("text"))
+    texts = texts.union(listed.filter("f % 4 = 3").select(F.concat(C("f").cast("string"), F.lit("-broken")), F.lit('{"dados": [')))
+    got = files.json_records(texts)
+    field = lambda path: F.get_json_object("record", path)
+    return got.select(field("$.id").alias("id"), F.coalesce("error", field("$.kind")).alias("kind"), field("$.props.k").alias("k"))
+
+
+@query("hidden_csv", """SELECT c_custkey AS k, "column", value FROM (SELECT c_custkey, c_custkey::VARCHAR AS id, c_name AS nome, c_mktsegment AS area FROM customer) UNPIVOT (value FOR "column" IN (id, nome, area))""")
+def hidden_csv(spark, sf_dir):
+    """A delimited text in base64 inside a nested field of each record."""
+    text = F.concat(F.lit("id;nome;area\n"), F.concat_ws(";", C("c_custkey").cast("string"), "c_name", "c_mktsegment"))
+    made = F.concat(F.lit('{"x": {"anexo": {"dados": "'), F.base64(F.encode(text, "UTF-8")), F.lit('"}}, "y": "curto"}'))
+    leaves = files.flattened(table(spark, sf_dir, "customer").select("c_custkey", made.alias("j")), "c_custkey", "j")
+    cells = files.delimited(files.hidden_tables(leaves, "c_custkey"))
+    return cells.select(F.split("path", "__")[0].cast("long").alias("k"), "column", "value")
+
+
+@query(
+    "xml_rows",
+    """SELECT p_partkey AS k, "column", value FROM (SELECT p_partkey, p_partkey::VARCHAR AS codigo, p_name AS dados_nome, p_brand AS dados_marca_sigla, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_type END AS tipo FROM part)
+        UNPIVOT INCLUDE NULLS (value FOR "column" IN (codigo, dados_nome, dados_marca_sigla, tipo))""",
+)
+def xml_rows(spark, sf_dir):
+    """Rows with attributes, nested elements and empty ones, between children of another tag."""
+    p = lambda c: F.replace(F.replace(C(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    row = F.concat(
+        F.lit('<peca codigo="'), C("p_partkey").cast("string"), F.lit('"><dados><nome>'), p("p_name"), F.lit('</nome><marca sigla="'), p("p_brand"), F.lit('"/></dados><tipo>'),
+        F.when(C("p_partkey") % 3 == 0, "").otherwise(p("p_type")), F.lit("</tipo></peca>"),
+    )
+    made = table(spark, sf_dir, "part").groupBy(_FILE("p_partkey").alias("path")).agg(F.array_join(F.collect_list(row), "\n").alias("rows"))
+    text = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><catalogo><aviso>x</aviso>'), "rows", F.lit("</catalogo>"))
+    cells = files.opened(made.select("path", F.encode(text, "UTF-8").alias("content")), "xml")
+    key = F.max(F.when(C("column") == "codigo", C("value"))).over(Window.partitionBy("path", "line")).cast("long")
+    marca = C("column") == "dados_marca"  # the empty element beside its attribute
+    return cells.filter(~marca).select(key.alias("k"), "column", "value")
+
+
+@query(
+    "read_any",
+    """SELECT path, count(*) AS n, count(value) AS n_values, count(error) AS n_errors FROM (
+        SELECT doc_id || '.' || e AS path, CASE WHEN e <> 'bin' THEN 'x' END AS value, CASE WHEN e = 'bin' THEN 'x' END AS error
+        FROM (SELECT doc_id, ['csv', 'txt', 'json', 'xml', 'eml', 'html', 'bin'][doc_id % 7 + 1] AS e FROM documents), range(CASE WHEN e IN ('csv', 'json', 'xml') THEN 2 WHEN e = 'eml' THEN 6 ELSE 1 END) r(i)) GROUP BY 1""",
+)
+def read_any(spark, sf_dir):
+    """One reader for files of seven kinds, one of them unknown."""
+    n = C("doc_id").cast("string")
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 ]+", " ")
+    text = (
+        F.when(C("doc_id") % 7 == 0, F.concat(F.lit("id,nome\n"), n, F.lit(",\""), plain, F.lit(" x\"\n")))
+        .when(C("doc_id") % 7 == 1, F.concat(F.lit("Prezada: recebemos o texto, "), plain))
+        .when(C("doc_id") % 7 == 2, F.concat(F.lit('[{"id": '), n, F.lit(', "a": {"b": "'), plain, F.lit('"}}]')))
+        .when(C("doc_id") % 7 == 3, F.concat(F.lit("<r><i k='"), n, F.lit("'><b>x "), plain, F.lit("</b></i></r>")))
+        .when(C("doc_id") % 7 == 4, F.concat(F.lit("From: a@b.c\nTo: d@e.f\nDate: Mon, 1 Jan 2024 00:00:00 +0000\nSubject: x\n\n"), plain))
+        .when(C("doc_id") % 7 == 5, F.concat(F.lit("<html><body><p>x"), plain, F.lit("</p></body></html>")))
+        .otherwise(plain)
+    )
+    kind = F.element_at(F.array(*map(F.lit, ("csv", "txt", "json", "xml", "eml", "html", "bin"))), (C("doc_id") % 7 + 1).cast("int"))
+    made = table(spark, sf_dir, "documents").select(F.concat(n, F.lit("."), kind).alias("path"), F.encode(text, "UTF-8").alias("content"))
+    return files.read(made).groupBy("path").agg(F.count("*").alias("n"), F.count("value").alias("n_values"), F.count("error").alias("n_errors"))
+
+
 @query("json_flatten", "SELECT event_id, 'outer.k' AS name, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, 'kind', event_type FROM events")
 def json_flatten(spark, sf_dir):
     made = F.concat(F.lit('{"outer": '), "props", F.lit(', "kind": "'), "event_type", F.lit('"}'))
@@ -80,6 +172,6 @@ def zip_expand(spark, sf_dir):
 def sql_dump_rows(spark, sf_dir):
     note = F.when(C("s_suppkey") % 3 == 0, "NULL").otherwise("'o''brien'")
     row = F.concat(F.lit("("), C("s_suppkey").cast("string"), F.lit(", '"), "s_name", F.lit("', "), note, F.lit(")"))
-    dumps = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.concat(F.lit("INSERT INTO f (id, nome, nota) VALUES "), F.array_join(F.collect_list(row), ", "), F.lit(";")).alias("t"))
-    cells = files.opened(dumps.select(F.concat(C("s_nationkey").cast("string"), F.lit(".sql")).alias("path"), F.encode("t", "UTF-8").alias("content")), "sql")
+    dumps = table(spark, sf_dir, "supplier").groupBy(_FILE("s_suppkey").alias("f")).agg(F.concat(F.lit("INSERT INTO f (id, nome, nota) VALUES "), F.array_join(F.collect_list(row), ", "), F.lit(";")).alias("t"))
+    cells = files.opened(dumps.select(F.concat("f", F.lit(".sql")).alias("path"), F.encode("t", "UTF-8").alias("content")), "sql")
     return cells.groupBy("column").agg(F.count("*").alias("n"), F.count("value").alias("n_values"))

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.functions.base import let
 from recordloom.functions.text import header
 
 # The limits of archive expansion, and how far its levels go.
@@ -25,6 +26,8 @@ MAX_BYTES, MAX_FILES, MAX_LEVELS = 500 << 20, 5000, 3
 #: Characters in which a separator is looked for, and rows in which a header is.
 SNIFF_CHARS, HEADER_ROWS = 20_000, 15
 SEPARATORS = (";", ",", "\t", "|")
+#: The characters that code page 1252 has where Latin-1 has control characters, and these.
+C1 = tuple("".join(chars) for chars in zip(*((chr(b), bytes([b]).decode("cp1252")) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))))
 CELLS = "path string, part string, line long, column string, value string, error string"
 
 
@@ -34,41 +37,55 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.regexp_replace("path", "^(?:[a-z]+:/*)?/*" + re.escape(re.sub("^[a-z]+:/*", "", root).strip("/")) + "/+", "").alias("path"), "content")
 
 
-def _opened(path: str, content: bytes, level: int) -> Iterator[tuple[str, bytes | None, str | None]]:
+def _opened(path: str, content: bytes, level: int, left: list[int]) -> Iterator[tuple[str, bytes | None, str | None]]:
+    """The members of an archive one by one; left holds the files and bytes that all levels together may still give."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
-            listed = [i for i in z.infolist() if not i.is_dir()]
-            if len(listed) > MAX_FILES or sum(i.file_size for i in listed) > MAX_BYTES:
-                raise ValueError("archive over the limits")
-            for i in listed:
+            for i in z.infolist():
+                if i.is_dir():
+                    continue
+                left[0], left[1] = left[0] - 1, left[1] - i.file_size
+                if min(left) < 0:
+                    raise ValueError("archive over the limits")
                 name = i.filename if i.flag_bits & 0x800 else i.filename.encode("cp437", "replace").decode("utf-8", "replace")
                 body = z.read(i)
                 yield f"{path}/{name}", body, None
                 if name.lower().endswith(".zip") and level < MAX_LEVELS:
-                    yield from _opened(f"{path}/{name}", body, level + 1)
+                    yield from _opened(f"{path}/{name}", body, level + 1, left)
     except Exception as e:
         yield path, None, f"{type(e).__name__}: {e}"
 
 
-def expanded(files: DataFrame) -> DataFrame:
-    """(path, content, error): files beside archives as they are, archives with what they hold, nested ones too."""
+def expanded(files: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, content, error): files beside archives as they are, archives with what they hold, nested ones too.
+
+    Of an archive that has more files or bytes than allowed, nested ones included, what comes first stays and an error row follows.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch.path, batch.content):
-                rows = [(path, content, None)]
+                yield pd.DataFrame([(path, content, None)], columns=["path", "content", "error"])
                 if path.lower().endswith(".zip"):
-                    rows += _opened(path, content, 1)
-                yield pd.DataFrame(rows, columns=["path", "content", "error"])
+                    for row in _opened(path, content, 1, [max_files, max_bytes]):
+                        yield pd.DataFrame([row], columns=["path", "content", "error"])
 
     return files.select("path", "content").mapInPandas(run, "path string, content binary, error string")
 
 
 def decoded(content: Column) -> Column:
-    """Text of bytes: UTF-16 by its mark, UTF-8 if valid, else Latin-1."""
-    plain = F.encode(F.regexp_replace(F.decode(content, "ISO-8859-1"), "^ï»¿", ""), "ISO-8859-1")
-    two = F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF")
-    return F.when(two, F.decode(content, "UTF-16")).when(F.is_valid_utf8(plain.cast("string")), plain.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
+    """Text of bytes: UTF-16 by its mark or by zero bytes at every second place, UTF-8 if valid, else code page 1252, whose five unused bytes stay."""
+    latin = F.decode(content, "ISO-8859-1")
+    plain = F.encode(F.regexp_replace(latin, "^ï»¿", ""), "ISO-8859-1")
+    marked = F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF")
+    head = F.substring(latin, 1, 200)
+    zeros = F.length(F.regexp_replace(head, "(?s)[^\\x{00}]\\x{00}", "")) * 5 < F.length(head)
+    return (
+        F.when(marked, F.decode(content, "UTF-16"))
+        .when((F.octet_length(content) >= 4) & (F.octet_length(content) % 2 == 0) & zeros, F.decode(content, "UTF-16LE"))
+        .when(F.is_valid_utf8(plain.cast("string")), plain.cast("string"))
+        .otherwise(F.translate(latin, *C1))
+    )
 
 
 def separator(text: Column) -> Column:
@@ -82,17 +99,58 @@ def _votes(lines: Column, s: str, i: int) -> Column:
     return F.struct(F.array_min(F.transform(lines, lambda x: F.size(F.split(x, re.escape(s))))).alias("n"), F.lit(-i).alias("i"), F.lit(s).alias("s"))
 
 
+def is_table(text: Column) -> Column:
+    """Whether text is delimited, not prose: most of its first lines have as many separators as the first one, short cells, and no colon in their first cell."""
+    lines = F.slice(F.filter(F.split(F.substring(text, 1, SNIFF_CHARS), "\r?\n"), lambda x: F.trim(x) != ""), 1, 30)
+
+    def verdict(held: Column) -> Column:
+        out = None
+        for s in (";", "\t", "|", ","):
+            cut = re.escape(s)
+            n = F.size(F.split(held[0], cut))
+            steady = (n >= 2) & (F.size(F.filter(held, lambda x: F.size(F.split(x, cut)) == n)) > 0.8 * F.size(held))  # noqa: B023
+            cells = F.flatten(F.transform(held, lambda x: F.split(x, cut)))  # noqa: B023
+            spoken = F.aggregate(cells, F.lit(0), lambda acc, x: acc + F.regexp_count(x, F.lit(r"\S+"))) > 3 * F.size(cells)
+            headed = F.exists(F.slice(held, 1, 3), lambda x: F.split(x, cut)[0].contains(":"))  # noqa: B023
+            out = F.when(steady, ~(spoken | headed)) if out is None else out.when(steady, ~(spoken | headed))
+        return F.when(F.size(held) >= 2, out.otherwise(False)).otherwise(False)
+
+    return let(lines, verdict)
+
+
+def _records(text: Column) -> Column:
+    """The lines of delimited text; a line break between quotes is no end of a line, if the quotes pair up."""
+    text = F.concat(F.regexp_replace(text, "\r\n?", "\n"), F.lit("\n"))
+    paired = F.length(F.regexp_replace(text, '[^"]+', "")) % 2 == 0
+    return F.when(paired, F.regexp_extract_all(text, F.lit('([^"\n]*+(?:"[^"]*+"[^"\n]*+)*+)\n'), F.lit(1))).otherwise(F.split(text, "\n"))
+
+
+def _cells(row: Column, sep: Column) -> Column:
+    """The cells of a line: a separator between quotes belongs to its cell, outer quotes go and doubled ones are one."""
+    found = None
+    for s in SEPARATORS:
+        cut = re.escape(s)
+        cells = F.regexp_extract_all(F.concat(row, F.lit(s)), F.lit(rf'[^\S\t]*("(?:[^"]|"")*+"[^\S\t]*|[^{cut}]*){cut}'), F.lit(1))
+        found = F.when(sep == s, cells) if found is None else found.when(sep == s, cells)
+    bare = lambda c: F.trim(F.replace(F.regexp_replace(F.trim(c), '(?s)^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
+    return F.transform(found, bare)
+
+
 def delimited(texts: DataFrame) -> DataFrame:
     """(path, line, column, value) of delimited texts (path, text); quotes around a cell go, blank lines are skipped.
 
-    The header is the first of the leading rows with as many short, non-numeric cells as most rows have; names are canonical and unique by place.
+    The header is the first of the leading rows that has three fifths of the most filled cells, two at least, all of them short and none of them a
+    number, or else the first row; names are canonical and unique by place.
     """
     sep = separator(F.col("text"))
-    rows = texts.withColumn("sep", sep).select("path", "sep", F.posexplode(F.split("text", "\r?\n")).alias("line", "row")).filter(F.trim("row") != "")
-    parts = F.transform(F.split("row", F.concat(F.lit("\\Q"), F.col("sep"), F.lit("\\E"))), lambda c: F.trim(F.regexp_replace(F.trim(c), '^"(.*)"$', "$1")))
-    rows = rows.select("path", "line", parts.alias("cells"))
-    named = F.size(F.filter("cells", lambda c: (c != "") & (F.char_length(c) <= 60) & ~c.rlike(r"^[\d.,\s-]+$")))
-    heads = rows.filter((F.col("line") < HEADER_ROWS) & (named >= 2)).groupBy("path").agg(F.min(F.struct(F.col("line").alias("head"), F.col("cells").alias("names"))).alias("h"))
+    rows = texts.withColumn("sep", sep).select("path", "sep", F.posexplode(_records(F.col("text"))).alias("line", "row")).filter(F.trim("row") != "")
+    rows = rows.select("path", "line", _cells(F.col("row"), F.col("sep")).alias("cells"))
+    held = F.filter("cells", lambda c: c != "")
+    named = F.forall(held, lambda c: (F.char_length(c) <= 60) & ~c.rlike(r"^[\d.,\s-]+$"))
+    leading = rows.filter(F.col("line") < HEADER_ROWS).select("path", "line", "cells", F.size(held).alias("n"), named.alias("named"))
+    most = leading.groupBy("path").agg(F.max("n").alias("most"))
+    fits = (F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("most") * 0.6))) & F.col("named")
+    heads = leading.join(most, "path").groupBy("path").agg(F.min(F.struct((~fits).alias("worse"), F.col("line").alias("head"), F.col("cells").alias("names"))).alias("h"))
     cells = rows.join(heads, "path").filter("line > h.head").select("path", "line", "h.names", F.posexplode("cells").alias("i", "value"))
     return cells.select("path", "line", F.coalesce(header(F.get("names", F.col("i"))), F.concat(F.lit("coluna_"), F.col("i") + 1)).alias("column"), F.nullif("value", F.lit("")).alias("value"))
 
@@ -105,13 +163,42 @@ def json_lines(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter("record is not null").select("path", "line", "record"), broken
 
 
+def json_records(texts: DataFrame) -> DataFrame:
+    """(path, line, record, error) of JSON texts (path, text): the objects of an array, or of the first list that an object holds, else the object itself.
+
+    record is JSON text. A text that is no JSON gives one row with an error; elements that are no objects are left out.
+    """
+    t = F.trim("text")
+    fields = F.map_entries(F.from_json(t, "map<string,string>"))
+    lists = F.filter(F.transform(F.coalesce(fields, F.array().cast("array<struct<key:string,value:string>>")), lambda e: F.when(F.trim(e["value"]).startswith("["), F.from_json(e["value"], "array<string>"))), lambda x: x.isNotNull())
+    found = F.when(t.startswith("["), F.from_json(t, "array<string>")).otherwise(F.coalesce(F.get(lists, F.lit(0)), F.array(t)))
+    good = F.try_parse_json(t).isNotNull()
+    rows = texts.select("path", F.posexplode(F.when(good, found).otherwise(F.array(F.lit(None).cast("string")))).alias("line", "record"), F.when(~good, "not JSON").alias("error"))
+    return rows.filter(F.col("error").isNotNull() | F.trim("record").startswith("{"))
+
+
 def flattened(records: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, name, value): the leaves of JSON texts, nested names joined by points, lists as JSON text."""
-    one = records.select(key, F.explode(F.from_json(value, "map<string,string>")).alias("name", "value"))
-    nested = F.from_json("value", "map<string,string>")
-    deep = one.filter(F.col("value").startswith("{")).select(key, F.col("name").alias("outer"), F.explode(nested).alias("inner", "value"))
-    flat = one.filter(~F.col("value").startswith("{") | F.col("value").isNull()).select(key, "name", "value")
-    return flat.union(deep.select(key, F.concat("outer", F.lit("."), "inner"), "value"))
+    """(key, name, value): the leaves of JSON texts at any depth, nested names joined by points, lists as JSON text."""
+    fields = lambda c: F.explode(F.from_json(c, "map<string,string>"))
+    nested = F.col("value").startswith("{") & F.from_json("value", "map<string,string>").isNotNull()
+    level = records.select(key, fields(value).alias("name", "value"))
+    leaves = None
+    while True:  # once a level, while any row has a deeper one
+        flat = level.filter(~nested | F.col("value").isNull())
+        leaves = flat if leaves is None else leaves.union(flat)
+        deep = level.filter(nested)
+        if deep.isEmpty():
+            return leaves
+        level = deep.select(key, F.col("name").alias("outer"), fields("value").alias("inner", "value")).select(key, F.concat("outer", F.lit("."), "inner").alias("name"), "value")
+
+
+def hidden_tables(leaves: DataFrame, key: str) -> DataFrame:
+    """(path, text) of delimited texts that stand in base64 in leaves (key, name, value): two lines or more with a separator in the first."""
+    text = F.try_to_binary(F.regexp_replace("value", r"\s+", ""), F.lit("base64"))
+    rows = leaves.filter((F.length("value") >= 40) & F.col("value").rlike(r"^[A-Za-z0-9+/=\s]+$")).select(key, "name", text.alias("content"))
+    rows = rows.filter(F.is_valid_utf8(F.col("content").cast("string"))).select(F.concat_ws("__", F.col(key).cast("string"), "name").alias("path"), F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "").alias("text"))
+    lines = F.filter(F.split("text", "\r?\n"), lambda x: F.trim(x) != "")
+    return rows.filter((F.size(lines) >= 2) & F.get(lines, F.lit(0)).rlike(r"[,;\t|]"))
 
 
 def html_text(html: Column) -> Column:
@@ -175,9 +262,11 @@ def _sheets(content: bytes) -> Iterator[tuple[str, int, str, str | None]]:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iterfind(".//m:t", ns)) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iterfind("m:si", ns)]
-        names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iterfind("m:sheets/m:sheet", ns)]
-        for i, name in enumerate(names, 1):
-            for row in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{i}.xml")).iterfind(".//m:row", ns):
+        targets = {r.get("Id"): r.get("Target").removeprefix("/xl/") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        id_ = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iterfind("m:sheets/m:sheet", ns):
+            name = sheet.get("name")
+            for row in ElementTree.fromstring(z.read(f"xl/{targets[sheet.get(id_)]}")).iterfind(".//m:row", ns):
                 for c in row.iterfind("m:c", ns):
                     v, inline = c.find("m:v", ns), c.find(".//m:t", ns)
                     value = inline.text if inline is not None else None if v is None else shared[int(v.text)] if c.get("t") == "s" else v.text
@@ -192,16 +281,72 @@ def _mail(content: bytes) -> Iterator[tuple[str, int, str, str | None]]:
         yield "mail", 0, k, None if v is None else str(v)
 
 
-READERS = {"sqlite": _sqlite, "sql": _dump, "xlsx": _sheets, "eml": _mail}
+def _leaves(element: ElementTree.Element, path: tuple[str, ...] = ()) -> Iterator[tuple[str, str | None]]:
+    """(name, text) of an element's attributes, its own text and everything below, names joined by _."""
+    for name, value in element.attrib.items():
+        yield "_".join((*path, name)), value
+    text = (element.text or "").strip() or None
+    if path and (text or not (len(element) or element.attrib)):
+        yield "_".join(path), text
+    for child in element:
+        yield from _leaves(child, (*path, child.tag))
+
+
+def _xml(content: bytes) -> Iterator[tuple[str, int, str, str | None]]:
+    """Rows are the children of the root with its most common child tag (the first of those that tie); part is that tag."""
+    root = ElementTree.fromstring(content)  # reads the declared encoding
+    many: dict[str, int] = {}
+    for child in root:
+        many[child.tag] = many.get(child.tag, 0) + 1
+    tag = max(many, key=many.__getitem__, default=None)
+    for line, child in enumerate(c for c in root if c.tag == tag):
+        for column, value in dict(_leaves(child)).items():
+            yield tag, line, column, value
+
+
+READERS = {"sqlite": _sqlite, "sql": _dump, "xlsx": _sheets, "eml": _mail, "xml": _xml}
+# The kind of a file by its extension; SQLite is known by its first bytes.
+KINDS = {
+    "csv": "table", "tsv": "table", "txt": "table or prose", "json": "json", "jsonl": "lines", "ndjson": "lines", "xml": "xml", "sql": "sql", "xlsx": "xlsx", "xlsm": "xlsx",
+    "eml": "eml", "html": "page", "htm": "page", "md": "prose", "log": "prose",
+}
+SQLITE_MARK = b"SQLite format 3\0".hex().upper()
 
 
 def opened(files: DataFrame, kind: str) -> DataFrame:
-    """(path, part, line, column, value, error) of files (path, content) of a kind of READERS; part is the table or sheet."""
+    """(path, part, line, column, value, error) of files (path, content) of a kind of READERS; part is the table, sheet or row tag."""
     return files.select("path", "content").mapInPandas(_reader(READERS[kind]), CELLS)
 
 
-def xml_rows(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of an XML file: its most common element below the root is the row."""
-    tags = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all("value", F.lit(r"<([A-Za-z_][\w.-]*)[\s>]"), F.lit(1))).alias("tag"))
-    top = tags.groupBy("tag").count().orderBy(F.desc("count"), "tag").first()
-    return spark.read.format("xml").option("rowTag", top.tag).load(path)
+def kind_of(path: Column, content: Column) -> Column:
+    """The kind of a file: SQLite by its first bytes, others by the extension; text files are tables or prose by what they hold; else null."""
+    known = F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))
+    kind = F.element_at(known, F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1)))
+    told = F.when(kind == "table or prose", F.when(is_table(decoded(content)), "table").otherwise("prose")).otherwise(kind)
+    return F.when(F.hex(F.substring(content, 1, 16)) == SQLITE_MARK, "sqlite").otherwise(told)
+
+
+def read(files: DataFrame) -> DataFrame:
+    """(path, part, line, column, value, error): the cells of files (path, content) of every kind that has a reader, each file by its own kind.
+
+    A file that can't be read, or has no reader, gives one row with an error and doesn't stop the others. Documents give one cell, text.
+    """
+    files = files.select("path", "content", kind_of(F.col("path"), F.col("content")).alias("kind"))
+    of = lambda *kinds: files.filter(F.col("kind").isin(*kinds))
+    texts = lambda *kinds: of(*kinds).select("path", decoded(F.col("content")).alias("text"), "kind")
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    shaped = lambda df: df.select("path", none("part"), F.col("line").cast("long").alias("line"), "column", "value", none("error"))
+    out = shaped(delimited(texts("table")))
+    whole = json_records(texts("json"))
+    lines, broken = json_lines(texts("lines"))
+    objects = whole.filter("error is null").select("path", "line", "record").union(lines.select("path", "line", F.to_json("record")))
+    leaves = flattened(objects.select(F.struct("path", F.col("line").cast("long").alias("line")).alias("at"), "record"), "at", "record")
+    out = out.union(shaped(leaves.select("at.path", "at.line", F.col("name").alias("column"), "value")))
+    wrong = lambda df, error: df.select("path", none("part"), F.lit(None).cast("long").alias("line"), none("column"), none("value"), error.alias("error"))
+    out = out.union(wrong(whole.filter("error is not null"), F.col("error")))
+    out = out.union(wrong(broken, F.concat(F.lit("broken lines: "), F.array_join(F.transform("broken", lambda n: n.cast("string")), ", "))))
+    page = F.when(F.col("kind") == "page", html_text(F.col("text"))).otherwise(F.col("text"))
+    out = out.union(shaped(texts("page", "prose").select("path", F.lit(0).alias("line"), F.lit("text").alias("column"), page.alias("value"))))
+    for kind in READERS:
+        out = out.union(opened(of(kind), kind))
+    return out.union(wrong(files.filter("kind is null"), F.lit("no reader for this kind of file")))
