@@ -76,11 +76,13 @@ def squeezed(c: Column) -> Column:
 
 @once
 def repaired(c: Column) -> Column:
-    """UTF-8 text that was read as Latin-1 is read again, twice at most; other text stays."""
+    """UTF-8 text that was read as code page 1252 or Latin-1 is read again, twice at most; other text stays."""
+    read = tuple("".join(chars) for chars in zip(*((bytes([b]).decode("cp1252"), chr(b)) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))))
 
     def read_again(t: Column) -> Column:
-        latin = t.rlike("^[\\x{00}-\\x{FF}]*$") & t.rlike("[ÃÂ][\\x{80}-\\x{BF}]")
-        return F.coalesce(F.try_validate_utf8(F.encode(F.when(latin, t), "ISO-8859-1").cast("string")), t)
+        latin = F.translate(t, *read)
+        narrow = latin.rlike("^[\\x{00}-\\x{FF}]*$") & latin.rlike("[\\x{C2}-\\x{F4}][\\x{80}-\\x{BF}]")
+        return F.coalesce(F.try_validate_utf8(F.encode(F.when(narrow, latin), "ISO-8859-1").cast("string")), t)
 
     return let(read_again(c), read_again)
 
@@ -89,7 +91,7 @@ def repaired(c: Column) -> Column:
 def person_name(c: Column) -> Column:
     """Single spaces, each word capitalised, particles small unless first; blank gives null."""
     words = F.split(F.lower(squeezed(c)), " ")
-    cased = F.transform(words, lambda w, i: F.when((i > 0) & w.isin(*PARTICLES), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))))
+    cased = F.transform(words, lambda w, i: F.when((i > 0) & w.isin(*PARTICLES), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, (1 << 31) - 1))))
     return F.when(~blank(c), F.array_join(cased, " "))
 
 

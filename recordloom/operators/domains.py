@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions import ids, money
-from recordloom.functions.text import blank, boolean, plain
+from recordloom.functions.text import blank, boolean, name_key, plain
+from recordloom.tables import free_name
 
 # Words of stock movements and payment statuses.
 ENTRY, EXIT = r"^(entr|compra|devol|in$|e$)", r"^(said|venda|baixa|out$|s$)"
@@ -36,11 +37,15 @@ def movement(kind: Column) -> Column:
     return F.when(t.rlike(ENTRY), "entrada").when(t.rlike(EXIT), "saida")
 
 
-def ledger(moves: DataFrame, known: DataFrame, sku: str, kind: str, qty: str) -> DataFrame:
-    """Per known SKU entries, exits, balance and a flag below zero; movements of unknown SKUs or kinds are counted apart under a null SKU."""
+def ledger(moves: DataFrame, known: DataFrame, sku: str, kind: str, qty: str, when: str | None = None, as_of: str | None = None) -> DataFrame:
+    """Per known SKU entries, exits, balance and a flag below zero; movements of unknown SKUs or kinds are counted apart under a null SKU.
+
+    With a date column, movements after the day as_of are counted there too.
+    """
     direction = movement(F.col(kind))
     rows = moves.join(known.select(sku, F.lit(True).alias("_known")).distinct(), sku, "left")
     good = F.col("_known").isNotNull() & direction.isNotNull()
+    good = good & F.coalesce(F.col(when) <= F.lit(as_of).cast("date"), F.lit(True)) if when else good
     signed = F.when(direction == "entrada", F.col(qty)).otherwise(-F.col(qty))
     held = rows.groupBy(F.when(good, F.col(sku)).alias(sku)).agg(
         F.coalesce(F.sum(F.when(good & (direction == "entrada"), F.col(qty))), F.lit(0)).alias("entries"),
@@ -86,15 +91,57 @@ def reconciled(accepted: DataFrame, payments: DataFrame) -> DataFrame:
     return accepted.join(paid, "code", "left").select("code", "cents", "paid_cents", "status", situation.alias("situation"))
 
 
+#: Values that may be sorted on the driver for a median.
+SORTED = 1 << 16
+
+
+def median(rows: DataFrame, c: Column) -> float | None:
+    """The exact median of a column without nulls: quantiles narrow the range until what lies in it is few, so no task holds all values."""
+    held = rows.select(c.cast("double").alias("v")).filter("v is not null")
+    n, below = held.count(), 0
+    while n:
+        m = held.count()
+        low, high = (n - 1) // 2 - below, n // 2 - below
+        if m <= SORTED:
+            v = sorted(r.v for r in held.collect())
+            return (v[low] + v[high]) / 2
+        a, b = held.agg(F.percentile_approx("v", [max(0.0, low / m - 0.001), min(1.0, (high + 1) / m + 0.001)], 100000)).first()[0]
+        if a == b:
+            return a
+        below += held.filter(F.col("v") < a).count()
+        held = held.filter(F.col("v").between(a, b))
+    return None
+
+
 def outliers(rows: DataFrame, amount: str, times: float = 50, at_least: int = 10) -> DataFrame:
     """Rows over `times` the median of more than `at_least` amounts."""
-    middle = rows.agg(F.median(amount).alias("_m"), F.count("*").alias("_n"))
-    return rows.crossJoin(F.broadcast(middle)).filter((F.col("_n") > at_least) & (F.col(amount) > times * F.col("_m"))).drop("_m", "_n")
+    middle = median(rows, F.col(amount)) if rows.filter(F.col(amount).isNotNull()).count() > at_least else None
+    return rows.filter(F.col(amount) > times * middle) if middle is not None else rows.limit(0)
 
 
 def in_cents(rows: DataFrame, total: str, qty: str, price: str) -> DataFrame:
     """One row: whether a column of totals holds cents, by the median of total / (qty * price) and the share of whole numbers."""
-    ratio = F.col(total) / (F.col(qty) * F.col(price))
-    return rows.agg(F.median(ratio).alias("ratio"), F.avg(F.col(total).cast("string").rlike(r"^\d+$").cast("double")).alias("whole")).select(
-        "ratio", "whole", (F.col("ratio").between(95, 105) & (F.col("whole") > 0.95)).alias("cents")
-    )
+    ratio = median(rows, F.col(total) / (F.col(qty) * F.col(price)))
+    whole = F.avg(F.col(total).cast("string").rlike(r"^\d+(\.0)?$").cast("double"))
+    return rows.agg(whole.alias("whole")).select(F.lit(ratio).cast("double").alias("ratio"), "whole", F.coalesce(F.lit(ratio).between(95, 105) & (F.col("whole") > 0.95), F.lit(False)).alias("cents"))
+
+
+STATUS_WORDS = r"(?i)approved|aprovad|refund|estorn|chargeback|contesta|pago|paid|recusad|declined|pendente|pending"
+
+
+def payment_share(rows: DataFrame, status: str) -> DataFrame:
+    """One row: the share of filled statuses that are those of payments, and whether that makes the table one of payments (0.8 or more)."""
+    share = F.avg(F.col(status).rlike(STATUS_WORDS).cast("double"))
+    return rows.filter(~blank(F.col(status))).agg(F.coalesce(share, F.lit(0.0)).alias("share")).select("share", (F.col("share") >= 0.8).alias("payments"))
+
+
+def with_sku(rows: DataFrame, item: str, known: DataFrame, sku: str, name: str) -> DataFrame:
+    """rows with the column resolved_sku: an item that is a SKU or looks like one, else the SKU of the product of that name (the first of several)."""
+    text, key = free_name(rows, "item_text"), free_name(rows, "item_key")
+    t = F.upper(F.trim(F.col(item)))
+    by_name = known.select(name_key(F.col(name)).alias(key), F.col(sku).alias(text)).filter(F.col(key) != "").groupBy(key).agg(F.min(text).alias("_named"))
+    codes = known.select(F.upper(F.col(sku)).alias(text), F.lit(True).alias("_code")).distinct()
+    made = rows.withColumn(text, F.when(~blank(F.col(item)), t)).withColumn(key, name_key(F.col(item)))
+    made = made.join(codes, text, "left").join(by_name, key, "left")
+    coded = F.col("_code").isNotNull() | F.col(text).rlike("^[A-Z]{2,5}-?[0-9]{2,}$")
+    return made.select(*(F.col(f"`{c}`") for c in rows.columns), F.when(F.col(text).isNotNull(), F.when(coded, F.col(text)).otherwise(F.col("_named"))).alias("resolved_sku"))

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions import ids, money
+from recordloom.functions.base import let
 from recordloom.functions.dates import date_of, to_date
 from recordloom.functions.text import mapped, plain, reference
 from recordloom.graph import components
+from recordloom.tables import free_name
 
 # Document types with their stage and pattern, stage names, reference patterns, months.
 TYPES = (
@@ -61,25 +63,66 @@ MONTHS = {
     "outubro": "10", "novembro": "11", "dezembro": "12",
 }
 LONG_DATE = r"(?iu)\b(\d{1,2})[º°]?\s+de\s+([a-zç]+)\s+de\s+(\d{4})\b"
-#: Characters in which the title is looked for first.
-HEAD = 1500
+AGENCY = (
+    r"(?miU)^\s*((?:MINIST[ÉE]RIO|SECRETARIA|PREFEITURA|GOVERNO|TRIBUNAL|UNIVERSIDADE|INSTITUTO|FUNDA[ÇC][ÃA]O|AG[ÊE]NCIA|C[ÂA]MARA|ASSEMBLEIA|CONTROLADORIA|"
+    r"DEFENSORIA|MINIST[ÉE]RIO P[ÚU]BLICO|CONSELHO|COMPANHIA|EMPRESA BRASILEIRA|SUPERINTEND[ÊE]NCIA|DEPARTAMENTO|AUTARQUIA|MUNIC[ÍI]PIO|ESTADO)\b[^\n]{0,120})"
+)
+SUBJECT = r"(?iU)(?:^|\n)\s*(?:do\s+)?(?:objeto|assunto|ementa)\s*[:.\-–]\s*([^\n]{10,400})"
+OWN_NUMBER = r"(?iU)n[ºo°.]\s*([\d.]+\s*/\s*\d{2,4})"
+#: Characters in which the title, the agency and the document's own number are looked for.
+HEAD, AGENCY_HEAD, NUMBER_HEAD = 1500, 3000, 800
+#: What a text must hold, small, for a kind of reference to be worth looking for.
+HINTS = {
+    "processo": r"processo|\p{Nd}[./-]\p{Nd}", "contrato": "contrato", "licitacao": "preg|concorr|tomada|convite|dispensa|inexigib|edital|licita", "ata_srp": "ata de registro",
+    "empenho": r"\p{Nd}ne\p{Nd}", "ordem_bancaria": r"\p{Nd}ob\p{Nd}", "convenio": "conv|fomento|colabora",
+}
+
+
+ANY_TYPE = "(?iU)(?:" + "|".join(f"(?:{p})" for _, _, p in TYPES) + ")"
 
 
-def _first_type(text: Column) -> Column:
-    spots = [F.when(F.regexp_instr(text, F.lit("(?iU)" + p)) > 0, F.struct(F.regexp_instr(text, F.lit("(?iU)" + p)).alias("at"), F.lit(i).alias("order"), F.lit(kind).alias("kind"), F.lit(stage).alias("stage"))) for i, (kind, stage, p) in enumerate(TYPES)]
-    return F.array_min(F.array_compact(F.array(*spots)))
+def _type_of(match: Column) -> Column:
+    """The first type whose pattern is the whole of a match of any of them."""
+    fits = [F.when(match.rlike(f"(?iU)^(?:{p})$"), F.struct(F.lit(kind).alias("kind"), F.lit(stage).alias("stage"))) for kind, stage, p in TYPES]
+    return F.coalesce(*fits, F.struct(F.lit("Outro").alias("kind"), F.lit(0).alias("stage")))
 
 
 def classified(text: Column) -> Column:
-    """(kind, stage): the type whose pattern comes first in the head, or else in the whole text; "Outro" without any."""
-    found = F.coalesce(_first_type(F.substring(text, 1, HEAD)), _first_type(text))
-    return F.struct(F.coalesce(found["kind"], F.lit("Outro")).alias("kind"), F.coalesce(found["stage"], F.lit(0)).alias("stage"))
+    """(kind, stage): the type whose pattern comes first in the head, or else in the whole text; "Outro" without any.
+
+    One alternation of all patterns finds the first place in one scan, and only its match is told apart.
+    """
+    first = lambda t: F.nullif(F.regexp_extract(t, ANY_TYPE, 0), F.lit(""))
+    return let(F.coalesce(first(F.substring(text, 1, HEAD)), first(text), F.lit("")), _type_of)
 
 
-def references(text: Column, kind: str) -> Column:
-    """The normalised references of a kind in a text, sorted."""
+def references(text: Column, kind: str, small: Column | None = None) -> Column:
+    """The normalised references of a kind in a text, sorted; small is the text in small letters, if it is at hand."""
     found = F.concat(*(F.regexp_extract_all(text, F.lit("(?iU)" + p), F.lit(1)) for p in REFERENCES[kind]))
-    return F.array_sort(F.array_distinct(F.transform(F.filter(found, lambda v: v.rlike("[0-9]")), reference)))
+    made = F.array_sort(F.array_distinct(F.transform(F.filter(found, lambda v: v.rlike("[0-9]")), reference)))
+    return F.when((F.lower(text) if small is None else small).rlike(HINTS[kind]), made).otherwise(F.array().cast("array<string>"))
+
+
+def agency(text: Column) -> Column:
+    """The heading that names an agency, or null."""
+    return F.nullif(F.substring(F.trim(F.regexp_replace(F.regexp_extract(F.substring(text, 1, AGENCY_HEAD), AGENCY, 1), r"\s+", " ")), 1, 120), F.lit(""))
+
+
+def subject(text: Column) -> Column:
+    """What a document says it is about, or null."""
+    return F.nullif(F.trim(F.regexp_replace(F.regexp_extract(text, SUBJECT, 1), r"\s+", " ")), F.lit(""))
+
+
+def own_number(kind: Column, text: Column, refs: dict[str, Column], amendment_number: Column) -> Column:
+    """A document's own number: of notes and bank orders their first reference, of amendments with the contract, else what stands in the head."""
+    first = lambda k: F.get(refs[k], F.lit(0))
+    titled = F.concat(amendment_number.cast("string"), F.lit("º TA"), F.coalesce(F.concat(F.lit(" ao contrato "), first("contrato")), F.lit("")))
+    return F.coalesce(
+        F.when(kind == "Nota de empenho", first("empenho")),
+        F.when(kind == "Ordem bancária / pagamento", first("ordem_bancaria")),
+        F.when(kind == "Termo aditivo", titled),
+        reference(F.nullif(F.regexp_extract(F.substring(text, 1, NUMBER_HEAD), OWN_NUMBER, 1), F.lit(""))),
+    )
 
 
 def main_date(text: Column) -> Column:
@@ -104,15 +147,19 @@ def sheets(text: Column) -> Column:
 
 
 def cards(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """One card for each document: type, stage, date, largest amount, amendment, sheets, and references by kind."""
+    """One card for each document: type, stage, date, largest amount, amendment, sheets, agency, own number, subject, and references by kind."""
     t = F.col(text)
     amounts = F.transform(F.regexp_extract_all(t, F.lit(r"R\$\s*([\d.]+,\d{2})"), F.lit(1)), money.money)
     cnpjs = F.filter(F.regexp_extract_all(t, F.lit(r"(?<![\d./-])\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2}(?![\d./-])"), F.lit(0)), ids.cnpj_valid)
-    rows = docs.withColumn("_c", classified(t))
+    c, small, refs = (free_name(docs, n) for n in ("card", "small", "refs"))
+    rows = docs.withColumn(c, classified(t)).withColumn(small, F.lower(t))
+    rows = rows.withColumn(refs, F.struct(*(references(t, k, F.col(small)).alias(k) for k in REFERENCES)))
+    kind, of = F.col(f"{c}.kind"), {k: F.col(f"{refs}.{k}") for k in REFERENCES}
+    changed = F.when(kind == "Termo aditivo", amendment(t))
     return rows.select(
-        F.col(doc).alias("doc"), "_c.kind", "_c.stage", main_date(t).alias("date"), F.array_max(amounts).alias("amount"), F.array_sort(F.array_distinct(cnpjs)).alias("cnpjs"),
-        F.when(F.col("_c.kind") == "Termo aditivo", amendment(t)).alias("amendment"), sheets(t).alias("sheets"),
-        F.array(*(F.struct(F.lit(k).alias("kind"), references(t, k).alias("found")) for k in REFERENCES)).alias("refs"),
+        F.col(doc).alias("doc"), kind.alias("kind"), F.col(f"{c}.stage").alias("stage"), main_date(t).alias("date"), F.array_max(amounts).alias("amount"), F.array_sort(F.array_distinct(cnpjs)).alias("cnpjs"),
+        changed.alias("amendment"), sheets(t).alias("sheets"), agency(t).alias("agency"), own_number(kind, t, of, changed).alias("number"), subject(t).alias("subject"),
+        F.array(*(F.struct(F.lit(k).alias("kind"), of[k].alias("found")) for k in REFERENCES)).alias("refs"),
     )
 
 
@@ -154,6 +201,20 @@ def dossiers(cards_: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w)).drop("node", "component")
 
 
+def summaries(placed: DataFrame) -> DataFrame:
+    """(dossier, number, n_docs, main): dossiers numbered by size, the largest first, with their two most frequent references."""
+    size = placed.groupBy("dossier").agg(F.count("*").alias("n_docs"))
+    refs = placed.select("dossier", F.explode("refs").alias("r")).select("dossier", F.replace("r.kind", F.lit("_"), F.lit(" ")).alias("kind"), F.explode("r.found").alias("value"))
+    named = refs.groupBy("dossier", F.concat_ws(" ", "kind", "value").alias("label")).count()
+    place = F.row_number().over(Window.partitionBy("dossier").orderBy(F.desc("count"), "label"))
+    top = named.withColumn("place", place).filter("place <= 2").groupBy("dossier").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "label"))), lambda x: x["label"]), "; ").alias("main"))
+    # Numbers by size: how many dossiers are larger comes from a histogram of sizes, and only those of one size are ranked.
+    sizes = size.groupBy("n_docs").count()
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.n_docs") > F.col("a.n_docs"), "left").groupBy(F.col("a.n_docs").alias("n_docs")).agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("n_docs").orderBy("dossier"))
+    return size.join(before, "n_docs").withColumn("number", F.col("before") + rank).join(top, "dossier", "left").select("dossier", "number", "n_docs", "main")
+
+
 def missing_numbers(rows: DataFrame, group: str, number: str) -> DataFrame:
     """(group, missing): numbers from 1 to the largest of each group that don't occur."""
     held = rows.filter(F.col(number).isNotNull()).groupBy(group).agg(F.collect_set(number).alias("have"), F.max(number).alias("top"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,11 +10,12 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import ids
 from recordloom.functions.dates import read_date
-from recordloom.functions.text import city, email, name_key, names_compatible, person_name, phone, text_key
+from recordloom.functions.money import amount
+from recordloom.functions.text import blank, boolean, city, email, first_filled, items, name_key, names_compatible, person_name, phone, status, text_key
 from recordloom.graph import components
+from recordloom.tables import small, written
 
 FIELDS = ("name", "cpf", "email", "phone", "birth", "city")
-REASONS = {1: "mesmo id na mesma fonte", 2: "mesmo id em outra fonte", 3: "mesmo CPF", 4: "mesmo e-mail", 5: "mesmo nome completo"}
 #: Lines of one source that a record number leaves room for.
 _LINES = 1 << 40
 
@@ -146,14 +148,178 @@ def linked(transactions: DataFrame, index: DataFrame, ref: str) -> DataFrame:
     return rows.select(*transactions.columns, F.when(one, F.col("_c")).alias("cluster"), F.when(one, F.col("_kind")).alias("method"), note.alias("note"))
 
 
-def mentions(texts: DataFrame, people: DataFrame, longest: int = 5) -> DataFrame:
-    """(doc, name_key): full names of two to `longest` words that stand in a text, found by an equi join of its word sequences with the names."""
+def mentions(texts: DataFrame, people: DataFrame) -> DataFrame:
+    """(doc, name_key): full names of two words or more, however many, that stand in a text.
+
+    Only words that open a name are kept, each with as many words after it as names that open so have; an equi join with the names follows.
+    """
+    keys = written(people.select(text_key(F.col("name")).alias("name_key")).filter("name_key like '% %'").distinct(), "names")
+    n_words = F.size(F.split("name_key", " "))
+    opening = keys.groupBy(F.substring_index("name_key", " ", 1).alias("first")).agg(F.collect_set(n_words).alias("sizes"))
+    opening = written(opening, "openings")
+    longest = keys.agg(F.max(n_words)).first()[0] or 0
     rows = texts.select("doc", F.split(text_key(F.col("text")), " ").alias("w"))
+    spots = F.transform("w", lambda first, i: F.struct(first.alias("first"), F.slice("w", i + 1, longest).alias("ahead")))
+    spots = rows.select("doc", F.explode(spots).alias("s")).select("doc", "s.first", "s.ahead").join(small(opening, 64), "first")
+    fits = F.filter("sizes", lambda n: n <= F.size("ahead"))
+    made = spots.select("doc", F.explode(F.transform(fits, lambda n: F.array_join(F.slice("ahead", 1, n), " "))).alias("name_key"))
+    return made.distinct().join(keys, "name_key", "left_semi")
+
+
+# The names of columns by role, roles of people and of transactions, words of kinds of people and of inactive rows.
+ROLES = {
+    "id": (
+        "id", "codigo", "cod", "id_cliente", "cliente_id", "cod_cliente", "pedido_id", "pedidoid", "id_pedido", "id_venda", "venda_id", "vendaid", "numero", "num", "matricula",
+        "id_beneficiario", "pedido", "order", "order_ref", "order_id", "customer_id",
+    ),
+    "nome": ("nome", "nome_completo", "name", "full_name", "nome_cliente", "nm_cliente", "razao_social", "nome_beneficiario"),
+    "cpf": ("cpf", "documento", "doc", "nr_cpf", "cpf_cnpj", "num_documento", "cpf_cliente", "tax_id"),
+    "email": ("email", "e_mail", "mail", "correio_eletronico", "email_cliente"),
+    "telefone": ("telefone", "fone", "tel", "celular", "whatsapp", "phone", "telefone_celular"),
+    "cidade": ("cidade", "municipio", "city", "localidade", "cidade_uf", "municipio_uf", "cidade_estado"),
+    "nascimento": ("dt_nasc", "data_nascimento", "nascimento", "data_nasc", "dt_nascimento", "birth", "birthdate"),
+    "senha": ("senha", "password", "pass", "pwd", "senha_acesso", "passwd", "senha_md5", "senha_hash", "password_hash"),
+    "cartao": ("cartao", "card", "numero_cartao", "cartao_credito", "cc", "num_cartao"),
+    "valor": ("valor", "vlr", "preco", "total", "amount", "valor_total", "vl_pago", "valor_pago", "amount_value"),
+    "data": ("data", "dt", "date", "data_venda", "data_pedido", "dt_venda", "dt_pagamento", "data_pagamento", "created_at", "created_at_utc", "data_hora", "dia", "ts", "timestamp"),
+    "sku": ("sku", "cod_produto", "codigo_produto", "produto_sku"),
+    "qtd": ("qtd", "qty", "quantidade", "quant", "qtde"),
+    "pago": ("pago", "status_pagamento", "paid", "quitado", "foi_pago"),
+    "status": ("status", "situacao", "estado_pedido"),
+    "itens": ("itens", "items", "produtos", "produto", "item"),
+    "cliente_ref": ("cliente", "cli", "cliente_id", "id_cliente", "cod_cliente", "comprador", "beneficiario", "cliente_nome", "cliente_cpf", "cliente_email", "cliente_documento", "customer"),
+}
+OF_PEOPLE, OF_TRANSACTIONS = ("nome", "cpf", "email", "telefone", "nascimento"), ("valor", "itens", "sku", "qtd", "pago")
+OWN_IDS = ("id_cliente", "cliente_id", "cod_cliente")
+PEOPLE_KINDS = (
+    ("leads", r"(?i)lead|prospect|feira|evento|campanha|newsletter|interessad"),
+    ("colaboradores", r"(?i)folha|(^|/)rh(/|_|$)|funcion|colaborad|servidor|vendedor|comiss|holerite|salari"),
+)
+INACTIVE = r"(?i)exclu|delet|inativ|cancelad|bloquead|removid|desativ"
+
+
+def role_of(column: str) -> str | None:
+    """The role of a column by its name, without a number at its end."""
+    base = re.sub(r"_\d+$", "", column)
+    named = [role for role, names in ROLES.items() if base in names]
+    return named[0] if named else "cliente_ref" if base.startswith(("cliente_", "customer_")) else None
+
+
+def table_kind(columns: list[str]) -> tuple[str, dict[str, list[str]]]:
+    """("pessoas", "transacoes" or "outra", columns by role) of a table.
+
+    People have two personal columns, or one beside an id, and nothing of a transaction; a transaction refers to a client. In a register of people a
+    client id is the row's own, in transactions it refers.
+    """
+    roles: dict[str, list[str]] = {}
+    for c in columns:
+        if role := role_of(c):
+            roles.setdefault(role, []).append(c)
+    own = [c for c in roles.get("id", []) if re.sub(r"_\d+$", "", c) in OWN_IDS]
+    personal, booked = sum(r in roles for r in OF_PEOPLE), any(r in roles for r in OF_TRANSACTIONS)
+    if not booked and "cliente_ref" not in roles and (personal >= 2 or (personal and "id" in roles)):
+        return "pessoas", roles
+    # A client's id is found under id; beside the columns of a transaction it is the reference.
+    if "cliente_ref" in roles or (own and booked):
+        left = [c for c in roles.get("id", []) if c not in own]
+        return "transacoes", {k: v for k, v in roles.items() if k != "id"} | ({"id": left} if left else {}) | {"cliente_ref": roles.get("cliente_ref", []) + own}
+    return "outra", roles
+
+
+def people_kind(path: Column) -> Column:
+    """clientes, or leads or colaboradores by a path and table name."""
+    return F.coalesce(*(F.when(path.rlike(p), name) for name, p in PEOPLE_KINDS), F.lit("clientes"))
+
+
+def inactive(status: Column) -> Column:
+    """Whether a status says that a row is deleted or blocked."""
+    return F.coalesce(status.rlike(INACTIVE), F.lit(False))
+
+
+def area_code(rows: DataFrame, phone_: str, share: float = 0.8) -> DataFrame:
+    """One row: the area code that at least a share of the numbers with one have, else null; ties go to the smaller."""
+    d = ids.digits(F.col(phone_))
+    d = F.when(d.startswith("55") & F.length(d).isin(12, 13), F.substring(d, 3, 11)).otherwise(d)
+    many = rows.select(F.when(F.length(d).isin(10, 11), F.substring(d, 1, 2)).alias("area")).filter("area is not null").groupBy("area").count()
+    return many.agg(F.max_by("area", F.struct("count", -F.col("area").cast("int"))).alias("area"), (F.max("count") / F.sum("count")).alias("share")).select(F.when(F.col("share") >= share, F.col("area")).alias("area"))
+
+
+def golden_phone(people: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """(cluster, phone): of each cluster the best phone; one with an area code comes before those without."""
+    order = F.struct((~F.col("phone").startswith("+55")).alias("short"), (-F.col("priority")).alias("p"), (-F.col("quality")).alias("q"), "source", "line")
+    return people.filter("phone is not null").groupBy(cluster).agg(F.min_by("phone", order).alias("phone"))
 
-    def grams(n: int) -> Column:
-        made = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
-        return F.when(F.size("w") >= n, made).otherwise(F.array().cast("array<string>"))
 
-    every = F.flatten(F.array(*(grams(n) for n in range(2, longest + 1))))
-    keys = people.select(text_key(F.col("name")).alias("name_key")).filter("name_key like '% %'").distinct()
-    return rows.select("doc", F.explode(F.array_distinct(every)).alias("name_key")).join(keys, "name_key").distinct()
+def golden_cpf(people: DataFrame, extra: DataFrame | None = None, cluster: str = "cluster") -> DataFrame:
+    """(cluster, cpf, cpf_status, foreign): of each cluster the best CPF that is valid and its own.
+
+    extra has (cluster, cpf, origin) of CPFs cited elsewhere, which repair an invalid one. A valid CPF belongs to the cluster that shows it most often;
+    another cluster's is foreign and never used. Without a valid one the best candidate stays, marked.
+    """
+    owner = cpf_owner(people, cluster).select("cpf", F.col(cluster).alias("owner"))
+    own = people.filter("cpf is not null").select(cluster, "cpf", "cpf_ok", F.concat("source", F.lit(" linha "), "line").alias("origin"), F.struct(F.lit(0).alias("x"), (-F.col("priority")).alias("p"), (-F.col("quality")).alias("q"), "source", F.col("line").cast("long").alias("line")).alias("at"))
+    if extra is not None:
+        last = F.struct(F.lit(1).alias("x"), F.lit(0).alias("p"), F.lit(0).alias("q"), F.col("origin").alias("source"), F.lit(0).cast("long").alias("line"))
+        own = own.unionByName(extra.select(cluster, "cpf", ids.cpf_valid(F.col("cpf")).alias("cpf_ok"), "origin", last.alias("at")))
+    rows = own.join(owner, "cpf", "left").withColumn("foreign", F.col("cpf_ok") & (F.coalesce("owner", F.col(cluster)) != F.col(cluster)))
+    best = lambda c, where: F.expr(f"min_by({c}, at) FILTER (WHERE {where})")
+    held = rows.groupBy(cluster).agg(
+        best("cpf", "cpf_ok and not foreign").alias("good"), best("origin", "cpf_ok and not foreign").alias("origin"), best("cpf", "true").alias("any"), best("cpf_ok", "at.x = 0").alias("first_ok"),
+        F.array_join(F.array_sort(F.array_distinct(F.expr("collect_list(cpf) FILTER (WHERE foreign)"))), ", ").alias("foreign"),
+    )
+    status = (
+        F.when(F.col("good").isNull(), "INVÁLIDO em todas as fontes — conferir com o titular")
+        .when(F.coalesce("first_ok", F.lit(True)), "válido")
+        .otherwise(F.concat(F.lit("corrigido: cadastro principal tinha CPF inválido; válido encontrado em "), "origin"))
+    )
+    out = held.select(cluster, ids.format_cpf(F.coalesce("good", "any")).alias("cpf"), status.alias("cpf_status"), "foreign")
+    alone = people.select(cluster).distinct().join(out, cluster, "left")
+    return alone.select(cluster, "cpf", F.coalesce("cpf_status", F.lit("sem CPF")).alias("cpf_status"), F.coalesce("foreign", F.lit("")).alias("foreign"))
+
+
+def corrections(rows: DataFrame, key: str, fields: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """(key, field, raw, corrected, alert): values that reading changed or remarked on; fields are (cleaned value, alert) by column. CPFs are masked."""
+    hide = lambda f, c: F.when(F.lit(f) == "cpf", mask_cpf(c)).otherwise(c)
+    notes = [
+        F.struct(F.lit(f).alias("field"), hide(f, F.col(f).cast("string")).alias("raw"), hide(f, value.cast("string")).alias("corrected"), F.coalesce(alert, F.lit("")).alias("alert"), (~F.col(f).cast("string").eqNullSafe(value.cast("string"))).alias("changed"))
+        for f, (value, alert) in fields.items()
+    ]
+    out = rows.select(F.col(key).alias("key"), F.explode(F.array(*notes)).alias("n")).filter("n.changed or n.alert <> ''")
+    return out.filter("n.raw is not null").select("key", "n.field", "n.raw", "n.corrected", "n.alert")
+
+
+def mask_cpf(c: Column) -> Column:
+    """A CPF as a log may show it."""
+    d = ids.digits(c)
+    return F.when(c.isNull(), c).when(F.length(d) >= 9, F.concat(F.lit("***."), F.substring(d, 4, 3), F.lit("."), F.substring(d, 7, 3), F.lit("-**"))).otherwise("***")
+
+
+def transactions(rows: DataFrame, entity: str, index: DataFrame, month_first: bool = False) -> DataFrame:
+    """Transactions in one shape by the roles of their columns: id, cluster, link, reference, value, currency, date, paid, status, items, last card digits.
+
+    The first reference that finds a person counts. Columns without a role stay as they are.
+    """
+    _, roles = table_kind(rows.columns)
+    used = {c for cs in roles.values() for c in cs}
+    one = lambda role: first_filled(*map(F.col, roles[role])) if roles.get(role) else F.lit(None).cast("string")
+    refs = roles.get("cliente_ref", [])
+    found, row = rows.withColumn("_row", F.monotonically_increasing_id()), "_row"
+    found = written(found, "transactions")
+    tried = None
+    for i, c in enumerate(refs):
+        part = linked(found.filter(~blank(F.col(c))).select(row, F.col(c).cast("string").alias("_ref")), index, "_ref")
+        part = part.select(row, F.lit(i).alias("i"), "cluster", "method", "note", F.concat(F.lit(f"{c}="), "_ref").alias("reference"))
+        tried = part if tried is None else tried.union(part)
+    best = tried.groupBy(row).agg(F.min_by(F.struct("cluster", "method", "note", "reference"), F.struct(F.col("cluster").isNull(), "i")).alias("b"))
+    made = amount(one("valor"))
+    paid = boolean(one("pago"))
+    when = read_date(one("data"), month_first)
+    card = one("cartao")
+    unlinked = F.concat(F.lit("NÃO VINCULADO ("), F.coalesce("b.note", F.lit("")), F.lit(")"))
+    out = found.join(best, row, "left").select(
+        ids.id_text(one("id")).alias(f"{entity}_id"), "b.cluster", F.when(F.col("b.cluster").isNotNull(), F.col("b.method")).otherwise(unlinked).alias("link"), "b.reference",
+        made["amount"].alias("value"), made["currency"].alias("currency"), when["value"].alias("date"), F.when(paid, "sim").when(~paid, "não").otherwise("não informado").alias("paid"),
+        status(one("status")).alias("status"), items(one("itens")).alias("items"), F.when(~blank(card), F.concat(F.lit("**** "), F.right(ids.digits(card), F.lit(4)))).alias("card"),
+        *(F.col(c) for c in rows.columns if c not in used),
+    )
+    return out

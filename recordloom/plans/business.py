@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordloom.operators import domains, inventory, privacy
+from recordloom.operators import tables as tabs
 from recordloom.plans.dirty import duck, view
 from recordloom.plans.scalars import d_cnpj, d_money
 from recordloom.tables import table
@@ -100,16 +101,67 @@ def refund_totals(spark, sf_dir):
     return payment_reconcile(spark, sf_dir).filter("situation <> 'missing'").groupBy("status").agg(F.count("*").alias("n"), F.sum("paid_cents").alias("cents"))
 
 
-@query("sales_outliers", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_extendedprice > 1.8 * (SELECT median(l_extendedprice) FROM lineitem)")
+_TYPO = "l_extendedprice * CASE WHEN l_orderkey % 509 = 0 THEN 100 ELSE 1 END"
+
+
+@query("sales_outliers", f"WITH r AS (SELECT l_orderkey, l_linenumber, {_TYPO} AS price FROM lineitem) SELECT * FROM r WHERE price > 50 * (SELECT median(price) FROM r)")
 def sales_outliers(spark, sf_dir):
-    return domains.outliers(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice", times=1.8)
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"{_TYPO} AS price")
+    return domains.outliers(rows, "price")
+
+
+_TOTAL = "round(l_extendedprice * CASE WHEN l_returnflag = 'R' THEN 100 ELSE 1 END)"
 
 
-@query("cents_vote", "SELECT l_returnflag AS flag, round(median(r), 6) AS ratio, median(r) BETWEEN 95 AND 105 AS cents FROM (SELECT l_returnflag, round(l_extendedprice * CASE WHEN l_returnflag = 'R' THEN 100 ELSE 1 END) / l_extendedprice AS r FROM lineitem WHERE l_extendedprice > 0) GROUP BY 1")
+@query(
+    "cents_vote",
+    f"SELECT l_returnflag AS flag, round(median(r), 6) AS ratio, round(avg(CASE WHEN total = floor(total) THEN 1.0 ELSE 0.0 END), 6) AS whole, median(r) BETWEEN 95 AND 105 AS cents FROM (SELECT l_returnflag, {_TOTAL} AS total, {_TOTAL} / (l_quantity * (l_extendedprice / l_quantity)) AS r FROM lineitem WHERE l_extendedprice > 0) GROUP BY 1",
+)
 def cents_vote(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").filter("l_extendedprice > 0")
-    total = F.round(C("l_extendedprice") * F.when(C("l_returnflag") == "R", 100).otherwise(1))
-    return rows.groupBy(C("l_returnflag").alias("flag")).agg(F.median(total / C("l_extendedprice")).alias("r")).select("flag", F.round("r", 6).alias("ratio"), C("r").between(95, 105).alias("cents"))
+    rows = table(spark, sf_dir, "lineitem").filter("l_extendedprice > 0").selectExpr("l_returnflag", "l_quantity", "l_extendedprice / l_quantity AS price", f"cast({_TOTAL} AS decimal(18,0)) AS total")
+    out = None
+    for flag in ("A", "N", "R"):
+        part = domains.in_cents(rows.filter(C("l_returnflag") == flag), "total", "l_quantity", "price").select(F.lit(flag).alias("flag"), F.round("ratio", 6).alias("ratio"), F.round("whole", 6).alias("whole"), "cents")
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("payment_table", duck("payments") + " SELECT round(avg(CASE WHEN regexp_matches(lower(status), 'approved|refund|chargeback') THEN 1.0 ELSE 0.0 END), 6) AS share, avg(CASE WHEN regexp_matches(lower(status), 'approved|refund|chargeback') THEN 1.0 ELSE 0.0 END) >= 0.8 AS payments FROM payments")
+def payment_table(spark, sf_dir):
+    return domains.payment_share(view(spark, sf_dir, "payments"), "status").withColumn("share", F.round("share", 6))
+
+
+_ITEM = "CASE l_orderkey % 4 WHEN 0 THEN lower(concat('sku-', cast(p_partkey AS string))) WHEN 1 THEN upper(p_name) WHEN 2 THEN 'xyz99' ELSE 'nada' END"
+
+
+@query(
+    "sku_resolution",
+    f"""WITH n AS (SELECT lower(p_name) AS name, min('SKU-' || p_partkey) AS sku FROM part GROUP BY 1)
+        SELECT l_orderkey, l_linenumber, item, CASE WHEN item LIKE 'sku-%' THEN upper(item) WHEN item = 'xyz99' THEN 'XYZ99' ELSE n.sku END AS resolved_sku
+        FROM (SELECT l_orderkey, l_linenumber, {_ITEM} AS item FROM lineitem JOIN part ON l_partkey = p_partkey) LEFT JOIN n ON n.name = lower(item)""",
+)
+def sku_resolution(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    rows = table(spark, sf_dir, "lineitem").join(part, C("l_partkey") == C("p_partkey")).selectExpr("l_orderkey", "l_linenumber", f"{_ITEM} AS item")
+    known = part.select(F.concat(F.lit("SKU-"), C("p_partkey").cast("string")).alias("sku"), C("p_name").alias("name"))
+    return domains.with_sku(rows, "item", known, "sku", "name")
+
+
+@query(
+    "stock_future",
+    duck("stock_raw")
+    + """, g AS (SELECT s.*, p.p_partkey IS NOT NULL AND l.l_shipdate <= DATE '1997-06-30' AS good, kind <> 'Saída' AS entry FROM (SELECT 'SKU-' || (l_partkey + CASE WHEN l_orderkey % 101 = 0 THEN 10000000 ELSE 0 END) AS sku,
+        CASE l_returnflag WHEN 'R' THEN 'Entrada' WHEN 'A' THEN 'compra' ELSE 'Saída' END AS kind, l_quantity::BIGINT AS qty, l_shipdate FROM lineitem) s LEFT JOIN part p ON s.sku = 'SKU-' || p.p_partkey CROSS JOIN LATERAL (SELECT s.l_shipdate) l)
+        SELECT CASE WHEN good THEN sku END AS sku, coalesce(sum(CASE WHEN entry THEN qty ELSE -qty END) FILTER (good), 0)::BIGINT AS balance, count(*) AS n_moves FROM g GROUP BY 1""",
+)
+def stock_future(spark, sf_dir):
+    """The ledger on a day: later movements don't count."""
+    moves = table(spark, sf_dir, "lineitem").selectExpr(
+        "concat('SKU-', cast(l_partkey + CASE WHEN l_orderkey % 101 = 0 THEN 10000000 ELSE 0 END AS string)) AS sku",
+        "CASE l_returnflag WHEN 'R' THEN 'Entrada' WHEN 'A' THEN 'compra' ELSE 'Saída' END AS kind", "cast(l_quantity AS bigint) AS qty", "cast(l_shipdate AS timestamp_ntz) AS moved",
+    )
+    known = table(spark, sf_dir, "part").select(F.concat(F.lit("SKU-"), C("p_partkey").cast("string")).alias("sku"))
+    return domains.ledger(moves, known, "sku", "kind", "qty", "moved", "1997-06-30").select("sku", "balance", "n_moves")
 
 
 _ASCII = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]*[A-Za-z0-9_]"
@@ -126,6 +178,21 @@ def pii_findings(spark, sf_dir):
     return privacy.findings(table(spark, sf_dir, "documents")).drop("value")
 
 
+_SCAN = "SELECT doc_id, concat('{\"a\": ', doc_id, ' token=x1') AS secrets, CASE WHEN doc_id % 3 = 0 THEN concat('p', doc_id, '@mail.com') ELSE 'nada' END AS mails, CASE WHEN doc_id % 5 = 0 THEN concat('q', doc_id, '@mail.com') END AS few, 'texto' AS plain FROM documents"
+
+
+@query(
+    "table_content",
+    """SELECT "column", kind, category, n, n_hits FROM (SELECT 'secrets' AS "column", 'Senha/segredo em texto puro' AS kind, 'credencial' AS category, count(*) AS n, count(*) AS n_hits FROM documents
+        UNION ALL SELECT 'mails', 'E-mail', 'pessoal', count(*), count(*) FILTER (doc_id % 3 = 0) FROM documents
+        UNION ALL SELECT 'few', 'E-mail', 'pessoal', count(*) FILTER (doc_id % 5 = 0), count(*) FILTER (doc_id % 5 = 0) FROM documents) WHERE n_hits > CASE WHEN category = 'pessoal' THEN 0.3 * n ELSE 0 END""",
+)
+def table_content(spark, sf_dir):
+    """Columns of a table by what their values hold."""
+    rows = spark.sql(_SCAN.replace("concat('{\"a\": '", "concat('{{\"a\": '").replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+    return privacy.content_classes(tabs.cells(rows, "doc_id"))
+
+
 @query("risk_by_origin", None)
 def risk_by_origin(spark, sf_dir):
     return privacy.risk(privacy.findings(table(spark, sf_dir, "documents")))
@@ -154,7 +221,7 @@ _BEST = "CASE WHEN regexp_matches(path, '(?i)backup|old|antig|c[óo]pia|copy|lix
     duck("files")
     + f""", f AS (SELECT path, sha256(coalesce(text, '')) AS sha256, regexp_extract(path, '[^/]*$') AS name, lower(regexp_extract(path, '(\\.[^.]*)$', 1)) AS ext, {_BEST} AS worse, length(path) - length(replace(path, '/', '')) AS depth, text FROM files),
         g AS (SELECT *, name LIKE '~$%' AS junk, trim(coalesce(text, '')) = '' AS empty,
-            regexp_matches(lower(name), 'senha|password|passwd|credencia|credential|secret|segredo|token') OR (ext = '.env' AND regexp_matches(substring(text, 1, 200000), '(?i)-----BEGIN [A-Z ]*PRIVATE KEY-----|\\b(?:password|passwd|senha|secret(?:_key)?|api[_-]?key|token|aws_secret)\\b\\s*[:=]\\s*\\S+|\\b[a-z][a-z0-9+.-]*://[^:\\s/]+:[^@\\s]+@|\\bAKIA[0-9A-Z]{{16}}\\b')) AS secret FROM f),
+            regexp_matches(lower(name), 'senha|password|passwd|credencia|credential|secret|segredo|token') OR (ext = '.env' AND regexp_matches(text, '(?i)-----BEGIN [A-Z ]*PRIVATE KEY-----|\\b(?:password|passwd|senha|secret(?:_key)?|api[_-]?key|token|aws_secret)\\b\\s*[:=]\\s*\\S+|\\b[a-z][a-z0-9+.-]*://[^:\\s/]+:[^@\\s]+@|\\bAKIA[0-9A-Z]{{16}}\\b')) AS secret FROM f),
         b AS (SELECT sha256, path AS best FROM (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY worse, depth, path) AS rn FROM g WHERE NOT junk AND NOT empty) WHERE rn = 1)
         SELECT path, g.sha256, CASE WHEN junk THEN 'lixo' WHEN empty THEN 'vazio' WHEN best <> path THEN 'duplicata' WHEN secret THEN 'segredo' WHEN ext IN ('.csv', '.xlsx') THEN 'dados' WHEN ext = '.txt' THEN 'documento' ELSE 'nao_suportado' END AS category,
             CASE WHEN NOT junk AND NOT empty AND best <> path THEN best END AS copy_of FROM g LEFT JOIN b ON g.sha256 = b.sha256""",
@@ -195,6 +262,3 @@ def unique_names(spark, sf_dir):
 def source_trust(spark, sf_dir):
     rows = view(spark, sf_dir, "files")
     return rows.select("path", inventory.trust(C("path"), F.length("text"), (C("doc_id") % 4).cast("int")).alias("trust"))
-
-
-_ = d_money

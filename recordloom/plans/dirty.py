@@ -127,9 +127,9 @@ _TYPES = (
 TYPE = "(doc_id * doc_id + cast(floor(doc_id / 10) as bigint)) % 10"
 
 DOCS = f"""
-    SELECT doc_id, cast(floor(doc_id / 10) as bigint) AS grp, concat({_pick(_TYPES, TYPE)}, ' nº ', cast(doc_id % 90 + 1 as string), '/', CASE WHEN doc_id % 2 = 0 THEN '2024' ELSE '23' END, chr(10),
+    SELECT doc_id, cast(floor(doc_id / 10) as bigint) AS grp, concat(CASE WHEN doc_id % 3 = 0 THEN concat('PREFEITURA  MUNICIPAL DE RECIFE', chr(10)) ELSE '' END, {_pick(_TYPES, TYPE)}, ' nº ', cast(doc_id % 90 + 1 as string), '/', CASE WHEN doc_id % 2 = 0 THEN '2024' ELSE '23' END, chr(10),
             CASE WHEN doc_id % 5 = 4 THEN 'sem numero' ELSE concat('Processo nº ', lpad(cast(floor(doc_id / 10) as bigint) % 100000, 5, '0'), '.', '000123/2024-11') END, chr(10),
-            'Valor: R$ ', cast(doc_id % 900 + 100 as string), ',50. fls. ', cast(doc_id % 10 * 3 + 1 as string), chr(10), 'Brasília, ', cast(doc_id % 28 + 1 as string), ' de março de 20', cast(10 + doc_id % 15 as string), chr(10)) AS head,
+            'Valor: R$ ', cast(doc_id % 900 + 100 as string), ',50. fls. ', cast(doc_id % 10 * 3 + 1 as string), chr(10), 'Brasília, ', cast(doc_id % 28 + 1 as string), ' de março de 20', cast(10 + doc_id % 15 as string), chr(10), CASE WHEN doc_id % 4 = 0 THEN concat('Objeto: compra do lote ', cast(doc_id as string), chr(10)) ELSE '' END) AS head,
         text
     FROM {{documents}}
 """.replace("lpad(cast(floor(doc_id / 10) as bigint) % 100000, 5, '0')", "lpad(cast(cast(floor(doc_id / 10) as bigint) % 100000 as string), 5, '0')")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from recordloom.functions import ids
 from recordloom.functions import text as T
 from recordloom.operators import dossier, entity, keysync, privacy
 from recordloom.plans.dirty import duck, view
 from recordloom.plans.people import _TXT_DUCK, _texts
-from recordloom.plans.scalars import d_name
+from recordloom.plans.scalars import d_cpf, d_name
 from recordloom.plans.wholetables import _REGS, _registries
 from recordloom.tables import table
 
@@ -90,3 +91,65 @@ def sheet_continuation(spark, sf_dir):
 def part_inheritance(spark, sf_dir):
     parts = table(spark, sf_dir, "documents").select("doc_id", F.floor(C("doc_id") / 10).alias("base"), F.when(C("doc_id") % 3 == 0, C("lang")).alias("kind"))
     return dossier.inherited(parts, "base", "doc_id", "kind").select("doc_id", "kind")
+
+
+_PHONES = "SELECT k, k % 40 AS grp, CASE WHEN k % 9 = 0 THEN concat('(11) 9', lpad(cast(k % 10000 as string), 4, '0'), '-1234') ELSE concat('+55 61 9', lpad(cast(k % 10000 as string), 4, '0'), '4321') END AS tel FROM people"
+
+
+@query("dominant_area", duck("people") + f", p AS ({_PHONES}), a AS (SELECT CASE WHEN tel LIKE '(11)%' THEN '11' ELSE '61' END AS area, count(*) AS n FROM p GROUP BY 1) SELECT CASE WHEN max(n) / sum(n) >= 0.8 THEN arg_max(area, n) END AS area FROM a")
+def dominant_area(spark, sf_dir):
+    return entity.area_code(spark.sql(_PHONES.replace("FROM people", "FROM {people}"), people=view(spark, sf_dir, "people")), "tel")
+
+
+#: Of each person two sources, with a spoilt CPF for every thirteenth that a document cites rightly for every second of these, and another one's for every 29th.
+_CPFS = """SELECT p.k AS cluster, 'main' AS source, 100 AS priority, 0 AS quality, p.k AS line, p.cpf11 AS cpf FROM people p UNION ALL
+    SELECT p.k, 'branch', 80, 0, p.k, CASE WHEN p.k % 29 = 0 THEN q.cpf11 ELSE p.cpf11 END FROM people p JOIN people q ON q.k = p.k + 1"""
+_CITED = "SELECT k AS cluster, concat(substring(cpf11, 1, 10), cast((cast(substring(cpf11, 11, 1) AS int) + 9) % 10 AS string)) AS cpf, 'nota' AS origin FROM people WHERE k % 26 = 0"
+
+
+@query(
+    "golden_cpf",
+    duck("people")
+    + f""", r AS ({_CPFS}), c AS (SELECT cluster, cpf, CASE WHEN source = 'main' THEN 0 ELSE 1 END AS pos, source || ' linha ' || line AS origin FROM r UNION ALL SELECT cluster, cpf, 2, origin FROM ({_CITED})),
+        v AS (SELECT *, {d_cpf('cpf')} AS ok FROM c), o AS (SELECT cpf, arg_min(cluster, (-n, cluster)) AS owner FROM (SELECT cpf, cluster, count(*) AS n FROM v WHERE ok AND pos < 2 GROUP BY 1, 2) GROUP BY 1),
+        f AS (SELECT v.*, ok AND coalesce(owner, cluster) <> cluster AS alien FROM v LEFT JOIN o USING (cpf)),
+        g AS (SELECT cluster, arg_min(cpf, pos) FILTER (ok AND NOT alien) AS good, arg_min(origin, pos) FILTER (ok AND NOT alien) AS origin, arg_min(cpf, pos) AS anyone, arg_min(ok, pos) FILTER (pos < 2) AS first_ok, coalesce(array_to_string(list_sort(list_distinct(list(cpf) FILTER (alien))), ', '), '') AS "foreign" FROM f GROUP BY 1)
+        SELECT cluster, substring(coalesce(good, anyone), 1, 3) || '.' || substring(coalesce(good, anyone), 4, 3) || '.' || substring(coalesce(good, anyone), 7, 3) || '-' || substring(coalesce(good, anyone), 10, 2) AS cpf, "foreign",
+        CASE WHEN good IS NULL THEN 'INVÁLIDO em todas as fontes — conferir com o titular' WHEN first_ok THEN 'válido' ELSE 'corrigido: cadastro principal tinha CPF inválido; válido encontrado em ' || origin END AS cpf_status FROM g""",
+)
+def golden_cpf(spark, sf_dir):
+    base = view(spark, sf_dir, "people").select("k", "cpf11")
+    of = lambda q: spark.sql(q.replace(" people", " {people}"), people=base)
+    return entity.golden_cpf(of(_CPFS).withColumn("cpf_ok", ids.cpf_valid(C("cpf"))), of(_CITED))
+
+
+_BOOKED = """SELECT cast(o_orderkey AS string) AS pedido_id, CASE o_orderkey % 3 WHEN 0 THEN cast(o_custkey AS string) WHEN 1 THEN '' ELSE 'Fulano Ausente' END AS cliente, concat('c', cast(o_custkey AS string), '@mail.com') AS cliente_email,
+    concat('R$ ', cast(cast(floor(o_totalprice) AS bigint) AS string), ',50') AS valor, concat(cast(year(o_orderdate) AS string), '-', lpad(cast(month(o_orderdate) AS string), 2, '0'), '-', lpad(cast(day(o_orderdate) AS string), 2, '0')) AS data_venda,
+    CASE o_orderkey % 4 WHEN 0 THEN 'sim' WHEN 1 THEN 'nao' ELSE '' END AS pago, 'Pendente?' AS status, '4111 1111 1111 1234' AS cartao, o_orderpriority AS obs FROM orders"""
+
+
+@query(
+    "transaction_shape",
+    f"""WITH b AS ({_BOOKED}) SELECT pedido_id AS venda_id, CASE WHEN try_cast(cliente AS BIGINT) IS NOT NULL THEN cliente::BIGINT ELSE m.c END AS cluster, CASE WHEN try_cast(cliente AS BIGINT) IS NOT NULL THEN 'id' ELSE 'email' END AS link,
+        CASE WHEN try_cast(cliente AS BIGINT) IS NOT NULL THEN 'cliente=' || cliente ELSE 'cliente_email=' || cliente_email END AS reference, replace(replace(valor, 'R$ ', ''), ',', '.')::DOUBLE AS value, 'BRL' AS currency, data_venda AS date,
+        CASE pago WHEN 'sim' THEN 'sim' WHEN 'nao' THEN 'não' ELSE 'não informado' END AS paid, 'pendente (a confirmar)' AS status, '**** 1234' AS card, obs FROM b, LATERAL (SELECT regexp_extract(cliente_email, '[0-9]+')::BIGINT AS c) m""",
+)
+def transaction_shape(spark, sf_dir):
+    known = table(spark, sf_dir, "customer")
+    index = known.select(F.lit("id").alias("kind"), C("c_custkey").cast("string").alias("key"), F.lit(1).cast("long").alias("n"), C("c_custkey").alias("cluster"))
+    index = index.union(known.select(F.lit("email"), F.concat(F.lit("c"), C("c_custkey").cast("string"), F.lit("@mail.com")), F.lit(1).cast("long"), C("c_custkey")))
+    out = entity.transactions(spark.sql(_BOOKED.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders")), "venda", index)
+    return out.drop("items").withColumn("date", C("date").cast("string"))
+
+
+@query(
+    "correction_log",
+    duck("people")
+    + f""", m AS (SELECT k, email, replace(replace(lower(trim(email)), ' ', ''), '@@', '@') AS e FROM people)
+        SELECT k AS key, 'cpf' AS field, '***.' || substring(cpf11, 4, 3) || '.' || substring(cpf11, 7, 3) || '-**' AS raw, CASE WHEN {d_cpf('cpf11')} THEN '***.' || substring(cpf11, 4, 3) || '.' || substring(cpf11, 7, 3) || '-**' END AS corrected, CASE WHEN {d_cpf('cpf11')} THEN '' ELSE 'CPF inválido' END AS alert FROM people WHERE cpf <> cpf11 OR NOT {d_cpf('cpf11')}
+        UNION ALL SELECT k, 'city', city, strip_accents(city), '' FROM people WHERE city <> strip_accents(city)""",
+)
+def correction_log(spark, sf_dir):
+    d = ids.cpf_digits(C("cpf"))
+    fields = {"cpf": (F.when(ids.cpf_valid(d), d), F.when(~ids.cpf_valid(d), "CPF inválido")), "city": (T.plain(C("city")), F.lit(""))}
+    return entity.corrections(view(spark, sf_dir, "people").select("k", "cpf", "city"), "k", fields)

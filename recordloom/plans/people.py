@@ -143,9 +143,45 @@ _STAGE = f"CASE {TYPE} WHEN 0 THEN 2 WHEN 1 THEN 5 WHEN 2 THEN 7 WHEN 3 THEN 6 W
 _YEAR = "2010 + doc_id % 15"
 
 
-@query("doc_cards", f"SELECT doc_id AS doc, {_WHEN} AS kind, {_STAGE} AS stage, printf('%04d-03-%02d', {_YEAR}, doc_id % 28 + 1) AS date, doc_id % 900 + 100 + 0.5 AS amount, CASE WHEN {TYPE} = 3 THEN 2 END AS amendment, (doc_id % 10 * 3 + 1)::INT AS lo FROM documents")
+def _re2(pattern: str) -> str:
+    """A pattern in the syntax of DuckDB's engine, inside an SQL text."""
+    return pattern.replace("(?! social)", "").replace("'", "''")
+
+
+_ANY = "|".join(f"(?:{_re2(p)})" for _, _, p in dossier.TYPES)
+_KIND = "CASE " + " ".join(f"WHEN regexp_full_match(m, '(?i)(?:{_re2(p)})') THEN '{kind}'" for kind, _, p in dossier.TYPES) + " ELSE 'Outro' END"
+_KIND_STAGE = "CASE kind " + " ".join(f"WHEN '{kind}' THEN {stage}" for kind, stage, _ in dossier.TYPES) + " ELSE 0 END"
+_LONG = r"\b\d{1,2}[º°]?\s+de\s+[A-Za-zçÇ]+\s+de\s+\d{4}\b"
+_SPOT = lambda x, p: rf"nullif(regexp_extract({x}, '{p}', 1), '')"
+_OWN = lambda x: f"(ltrim(split_part(regexp_replace({x}, '\\s', '', 'g'), '/', 1), '0') || '/' || CASE WHEN length(split_part({x}, '/', 2)) = 2 THEN '20' ELSE '' END || trim(split_part({x}, '/', 2)))"
+
+
+@query(
+    "doc_cards",
+    duck("docs_headed")
+    + rf""", f AS (SELECT doc_id AS doc, head || text AS full_text FROM docs_headed),
+        c AS (SELECT *, coalesce(nullif(regexp_extract(substring(full_text, 1, {dossier.HEAD}), '(?i)(?:{_ANY})', 0), ''), regexp_extract(full_text, '(?i)(?:{_ANY})', 0), '') AS m FROM f),
+        k AS (SELECT *, {_KIND} AS kind FROM c),
+        a AS (SELECT *, CASE WHEN kind = 'Termo aditivo' THEN coalesce({_SPOT(f"substring(full_text, 1, {dossier.HEAD})", r"(?i)(\d+)[ºo°]?\s*(?:\(\w+\)\s*)?termo aditivo")}, {_SPOT(f"substring(full_text, 1, {dossier.HEAD})", r"(?i)termo aditivo\s*(?:n[ºo°.]?\s*|n[úu]mero\s*)?(\d+)")})::INT END AS amendment,
+            {_SPOT(f"substring(full_text, 1, {dossier.NUMBER_HEAD})", r"(?i)n[ºo°.]\s*([\d.]+\s*/\s*\d{2,4})")} AS own FROM k)
+        SELECT doc, kind, {_KIND_STAGE} AS stage, list_max([try_cast(regexp_extract(x, '(\d{{4}})$', 1) || '-' || list_position(['janeiro', 'fevereiro', 'marco', 'abril', 'maio', 'junho', 'julho', 'agosto', 'setembro', 'outubro', 'novembro', 'dezembro'], strip_accents(lower(regexp_extract(x, 'de\s+([A-Za-zçÇ]+)\s+de', 1)))) || '-' || regexp_extract(x, '^(\d+)', 1) AS DATE) FOR x IN regexp_extract_all(full_text, '(?i){_LONG}')] || [try_strptime(x, '%d/%m/%Y')::DATE FOR x IN regexp_extract_all(full_text, '\b(\d{{1,2}}/\d{{1,2}}/\d{{4}})\b', 1)])::VARCHAR AS date,
+            list_max([replace(replace(x, '.', ''), ',', '.')::DOUBLE FOR x IN regexp_extract_all(full_text, 'R\$\s*([\d.]+,\d{{2}})', 1)]) AS amount, amendment, list_min([x::INT FOR x IN regexp_extract_all(full_text, '(?i)\b(?:fls?\.|folhas?)\s*(\d{{1,5}})\b', 1)]) AS lo,
+            {_SPOT("regexp_replace(substring(full_text, 1, 3000), '[ ]+', ' ', 'g')", r"(?im)^[ \t\n]*((?:PREFEITURA|SECRETARIA|GOVERNO|CONSELHO|COMPANHIA|INSTITUTO|ESTADO)\b[^\n]{0,120})")} AS agency, {_SPOT("full_text", r"(?i)(?:^|\n)\s*(?:do\s+)?(?:objeto|assunto|ementa)\s*[:.–-]\s*([^\n]{10,400})")} AS subject,
+            CASE WHEN kind = 'Termo aditivo' THEN amendment || 'º TA' ELSE {_OWN('own')} END AS number FROM a""",
+)
 def doc_cards(spark, sf_dir):
-    return _cards(spark, sf_dir).select("doc", "kind", "stage", C("date").cast("string").alias("date"), "amount", "amendment", C("sheets.lo").alias("lo"))
+    fields = ("doc", "kind", "stage", C("date").cast("string").alias("date"), "amount", "amendment", C("sheets.lo").alias("lo"), "agency", "subject", "number")
+    return _cards(spark, sf_dir).select(*fields)
+
+
+@query(
+    "dossier_summary",
+    f"""WITH v AS (SELECT doc_id AS doc, CASE WHEN doc_id % 5 = 4 THEN doc_id ELSE min(doc_id) FILTER (doc_id % 5 <> 4) OVER (PARTITION BY doc_id // 10 % 100000) END AS dossier FROM documents),
+        s AS (SELECT dossier, count(*) AS n_docs FROM v GROUP BY 1) SELECT dossier, n_docs, row_number() OVER (ORDER BY n_docs DESC, dossier) AS number FROM s""",
+)
+def dossier_summary(spark, sf_dir):
+    cards = _cards(spark, sf_dir)
+    return dossier.summaries(dossier.dossiers(cards, dossier.reference_edges(cards, ("processo",)))).select("dossier", "n_docs", "number")
 
 
 _PROC = "lpad((doc_id // 10 % 100000)::VARCHAR, 5, '0') || '.000123/2024-11'"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recordloom.functions.text import BLANK_TABLE
+from recordloom.functions.text import BLANK_TABLE, STATES
 from recordloom.operators import keysync
 from recordloom.operators import tables as tabs
 from recordloom.plans.dirty import duck, view
@@ -47,9 +47,10 @@ def row_scrub(spark, sf_dir):
     return tabs.scrubbed(rows, ["a", "b"])
 
 
-@query("exact_rows", "SELECT l_orderkey, l_linenumber, count(*) - 1 AS removed FROM (SELECT l_orderkey, l_linenumber FROM lineitem) GROUP BY 1, 2")
+@query("exact_rows", "SELECT count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS removed, count(DISTINCT (l_orderkey, l_linenumber)) AS n_kept FROM lineitem")
 def exact_rows(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.count("*") - 1).alias("removed"))
+    kept, removed = tabs.distinct_rows(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"))
+    return removed.crossJoin(kept.agg(F.count("*").alias("n_kept")))  # one row each
 
 
 _COLUMNS = {"cpf": "cpf", "nome": "name", "email": "email", "telefone": "phone", "uf": "state", "saldo": "cast(bal AS string)"}
@@ -64,15 +65,21 @@ def _people_table(spark, sf_dir):
     "column_profile",
     duck("people")
     + f""" SELECT col AS "column", count(*) AS n_rows, count(f) AS n_filled, count(*) - count(f) AS n_empty, round(100.0 * count(f) / count(*), 1) AS pct_filled, count(DISTINCT f) AS n_distinct
-        FROM (SELECT col, {d_filled('v')} AS f FROM {_CELLS}) GROUP BY 1""",
+        , min(f) AS least, max(f) AS greatest FROM (SELECT col, {d_filled('v')} AS f FROM {_CELLS}) GROUP BY 1""",
 )
 def column_profile(spark, sf_dir):
-    return tabs.profile(tabs.cells(_people_table(spark, sf_dir), "k")).drop("least", "greatest")
+    return tabs.profile(tabs.cells(_people_table(spark, sf_dir), "k"))
+
+
+_STATE_WORDS = ", ".join(f"'{x}'" for kv in STATES.items() for x in kv)
 
 
 @query(
     "type_inference",
-    """SELECT * FROM (VALUES ('cpf', 'cpf'), ('nome', 'texto'), ('email', 'texto'), ('telefone', 'texto'), ('uf', 'uf'), ('saldo', 'valor')) t("column", kind)""",
+    duck("people")
+    + f""" SELECT col AS "column", CASE WHEN col = 'cpf' THEN 'cpf' WHEN uf > 0.95 OR (col = 'uf' AND uf > 0.7) THEN 'uf' WHEN (money > 0.9 AND marked > 0.5) OR (money > 0.6 AND col = 'saldo') THEN 'valor' WHEN number > 0.95 AND NOT zero_led THEN 'numero' ELSE 'texto' END AS kind
+        FROM (SELECT col, avg(CASE WHEN upper(strip_accents(v)) IN ({_STATE_WORDS}) THEN 1.0 ELSE 0.0 END) AS uf, avg(CASE WHEN ({d_money('v')}) IS NOT NULL THEN 1.0 ELSE 0.0 END) AS money, avg(CASE WHEN regexp_matches(v, 'R\\$|,[0-9]{{2}}$') THEN 1.0 ELSE 0.0 END) AS marked,
+            avg(CASE WHEN regexp_full_match(v, '-?[0-9]+([.,][0-9]+)?') THEN 1.0 ELSE 0.0 END) AS number, max(regexp_matches(v, '^0[0-9]')) AS zero_led FROM (SELECT col, trim(v) AS v FROM {_CELLS} WHERE v IS NOT NULL AND trim(v) <> '') GROUP BY 1)""",
 )
 def type_inference(spark, sf_dir):
     return tabs.inferred(_people_table(spark, sf_dir), "k").select("column", "kind")

@@ -172,9 +172,10 @@ def json_records(texts: DataFrame) -> DataFrame:
     fields = F.map_entries(F.from_json(t, "map<string,string>"))
     lists = F.filter(F.transform(F.coalesce(fields, F.array().cast("array<struct<key:string,value:string>>")), lambda e: F.when(F.trim(e["value"]).startswith("["), F.from_json(e["value"], "array<string>"))), lambda x: x.isNotNull())
     found = F.when(t.startswith("["), F.from_json(t, "array<string>")).otherwise(F.coalesce(F.get(lists, F.lit(0)), F.array(t)))
-    good = F.try_parse_json(t).isNotNull()
-    rows = texts.select("path", F.posexplode(F.when(good, found).otherwise(F.array(F.lit(None).cast("string")))).alias("line", "record"), F.when(~good, "not JSON").alias("error"))
-    return rows.filter(F.col("error").isNotNull() | F.trim("record").startswith("{"))
+    record = lambda r: F.struct(r.alias("record"), F.lit(None).cast("string").alias("error"))
+    wrong = F.array(F.struct(F.lit(None).cast("string").alias("record"), F.lit("not JSON").alias("error")))
+    rows = texts.select("path", F.posexplode(F.when(F.try_parse_json(t).isNotNull(), F.transform(found, record)).otherwise(wrong)).alias("line", "r"))
+    return rows.select("path", "line", "r.record", "r.error").filter(F.col("error").isNotNull() | F.trim("record").startswith("{"))
 
 
 def flattened(records: DataFrame, key: str, value: str) -> DataFrame:
