@@ -8,7 +8,7 @@ from recordloom.operators import domains, inventory, privacy
 from recordloom.operators import tables as tabs
 from recordloom.plans.dirty import duck, view
 from recordloom.plans.scalars import d_cnpj, d_money
-from recordloom.tables import table
+from recordloom.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -175,7 +175,7 @@ def pii_emails(spark, sf_dir):
 
 @query("pii_findings", None)
 def pii_findings(spark, sf_dir):
-    return privacy.findings(table(spark, sf_dir, "documents")).drop("value")
+    return privacy.findings(spread(table(spark, sf_dir, "documents"))).drop("value")
 
 
 _SCAN = "SELECT doc_id, concat('{\"a\": ', doc_id, ' token=x1') AS secrets, CASE WHEN doc_id % 3 = 0 THEN concat('p', doc_id, '@mail.com') ELSE 'nada' END AS mails, CASE WHEN doc_id % 5 = 0 THEN concat('q', doc_id, '@mail.com') END AS few, 'texto' AS plain FROM documents"
@@ -195,12 +195,12 @@ def table_content(spark, sf_dir):
 
 @query("risk_by_origin", None)
 def risk_by_origin(spark, sf_dir):
-    return privacy.risk(privacy.findings(table(spark, sf_dir, "documents")))
+    return privacy.risk(privacy.findings(spread(table(spark, sf_dir, "documents"))))
 
 
 @query("redact_text", None)
 def redact_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(privacy.redacted(C("text")), 256).alias("sha256"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.sha2(privacy.redacted(C("text")), 256).alias("sha256"))
 
 
 @query(

@@ -9,7 +9,7 @@ from recordloom.graph import components
 from recordloom.operators import dossier, entity
 from recordloom.plans.dirty import TYPE, duck, view
 from recordloom.plans.scalars import d_cpf, d_digits, d_name, d_pad
-from recordloom.tables import table, written
+from recordloom.tables import spread, table, written
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -114,7 +114,7 @@ _TXT_DUCK = _TXT.replace("'  +', ' ')", "'  +', ' ', 'g')")
 
 def _texts(spark, sf_dir):
     q = _TXT.replace("FROM docs_headed", "FROM {docs}").replace("FROM people", "FROM {people}")
-    return spark.sql(q, docs=view(spark, sf_dir, "docs_headed"), people=view(spark, sf_dir, "people"))
+    return spread(spark.sql(q, docs=view(spark, sf_dir, "docs_headed"), people=view(spark, sf_dir, "people")))
 
 
 @query(
@@ -135,7 +135,7 @@ def doc_cpf_join(spark, sf_dir):
 
 
 def _cards(spark, sf_dir):
-    return written(dossier.cards(view(spark, sf_dir, "docs_headed").withColumn("full", F.concat("head", "text")), "doc_id", "full"), "cards")
+    return written(dossier.cards(spread(view(spark, sf_dir, "docs_headed")).withColumn("full", F.concat("head", "text")), "doc_id", "full"), "cards")
 
 
 _WHEN = f"CASE {TYPE} WHEN 0 THEN 'Edital' WHEN 1 THEN 'Contrato' WHEN 2 THEN 'Nota de empenho' WHEN 3 THEN 'Termo aditivo' WHEN 4 THEN 'Nota fiscal / liquidação' WHEN 5 THEN 'Ordem bancária / pagamento' WHEN 6 THEN 'Termo de referência' WHEN 7 THEN 'Ofício' WHEN 8 THEN 'Ata de registro de preços' ELSE 'Outro' END"

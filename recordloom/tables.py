@@ -62,6 +62,12 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.count() * (row_bytes + ROW_OVERHEAD) <= limit else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if it is read in fewer parts than there are, for work that takes long per row; a large table stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, whatever the case: name, or name with underscores before it."""
     taken = {c.lower() for c in df.columns}
