@@ -13,7 +13,7 @@ from recordloom.functions.dates import read_date
 from recordloom.functions.money import amount
 from recordloom.functions.text import blank, boolean, city, email, first_filled, items, name_key, names_compatible, person_name, phone, status, text_key
 from recordloom.graph import components
-from recordloom.tables import small, written
+from recordloom.tables import free_name, small, written
 
 FIELDS = ("name", "cpf", "email", "phone", "birth", "city")
 #: Lines of one source that a record number leaves room for.
@@ -303,13 +303,13 @@ def transactions(rows: DataFrame, entity: str, index: DataFrame, month_first: bo
     used = {c for cs in roles.values() for c in cs}
     one = lambda role: first_filled(*map(F.col, roles[role])) if roles.get(role) else F.lit(None).cast("string")
     refs = roles.get("cliente_ref", [])
-    found, row = rows.withColumn("_row", F.monotonically_increasing_id()), "_row"
-    found = written(found, "transactions")
-    tried = None
+    row, given = free_name(rows, "row_number"), free_name(rows, "given_reference")
+    found = written(rows.withColumn(row, F.monotonically_increasing_id()), "transactions")
+    shape = f"{row} long, i int, cluster {dict(index.dtypes)['cluster']}, method string, note string, reference string"
+    tried = rows.sparkSession.createDataFrame([], shape)  # without a reference nothing is tried
     for i, c in enumerate(refs):
-        part = linked(found.filter(~blank(F.col(c))).select(row, F.col(c).cast("string").alias("_ref")), index, "_ref")
-        part = part.select(row, F.lit(i).alias("i"), "cluster", "method", "note", F.concat(F.lit(f"{c}="), "_ref").alias("reference"))
-        tried = part if tried is None else tried.union(part)
+        part = linked(found.filter(~blank(F.col(c))).select(row, F.col(c).cast("string").alias(given)), index, given)
+        tried = tried.union(part.select(row, F.lit(i).alias("i"), "cluster", "method", "note", F.concat(F.lit(f"{c}="), given).alias("reference")))
     best = tried.groupBy(row).agg(F.min_by(F.struct("cluster", "method", "note", "reference"), F.struct(F.col("cluster").isNull(), "i")).alias("b"))
     made = amount(one("valor"))
     paid = boolean(one("pago"))
