@@ -89,14 +89,15 @@ def decoded(content: Column) -> Column:
 
 
 def separator(text: Column) -> Column:
-    """The separator of delimited text: the one with the most and steadiest cells in its first lines."""
+    """The separator of delimited text: the one by which most of the first lines have equally many cells, two at least; of several the first."""
     lines = F.slice(F.filter(F.split(F.substring(text, 1, SNIFF_CHARS), "\r?\n"), lambda x: F.trim(x) != ""), 1, 30)
-    counted = [_votes(lines, s, i) for i, s in enumerate(SEPARATORS)]
-    return F.array_max(F.array(*counted))["s"]
+    return let(lines, lambda held: F.array_max(F.array(*(_votes(held, s, i) for i, s in enumerate(SEPARATORS))))["s"])
 
 
 def _votes(lines: Column, s: str, i: int) -> Column:
-    return F.struct(F.array_min(F.transform(lines, lambda x: F.size(F.split(x, re.escape(s))))).alias("n"), F.lit(-i).alias("i"), F.lit(s).alias("s"))
+    sizes = F.filter(F.transform(lines, lambda x: F.size(F.split(x, re.escape(s)))), lambda n: n > 1)
+    alike = let(sizes, lambda all_: F.array_max(F.transform(F.array_distinct(all_), lambda n: F.size(F.filter(all_, lambda m: m == n)))))
+    return F.struct(F.coalesce(alike, F.lit(0)).alias("n"), F.lit(-i).alias("i"), F.lit(s).alias("s"))
 
 
 def is_table(text: Column) -> Column:
