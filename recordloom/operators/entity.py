@@ -119,6 +119,17 @@ def cpf_owner(people: DataFrame, cluster: str = "cluster") -> DataFrame:
     return counted.groupBy("cpf").agg(F.min_by(cluster, F.struct(-F.col("count"), F.col(cluster))).alias(cluster))
 
 
+def source_stats(people: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """(source, n_rows, n_people, n_duplicates): lines of each source, the people they stand for, and lines beyond the first of a person."""
+    n_rows, n_people = F.count("*"), F.count_distinct(cluster)
+    return people.groupBy("source").agg(n_rows.alias("n_rows"), n_people.alias("n_people"), (n_rows - n_people).alias("n_duplicates"))
+
+
+def in_order(people: DataFrame, id_: str = "id", name: str = "name") -> DataFrame:
+    """people by number of the id, then name; ids that are no numbers, and missing names, come last."""
+    return people.orderBy(F.col(id_).try_cast("double").asc_nulls_last(), F.col(name).asc_nulls_last())
+
+
 def reference_index(people: DataFrame, cluster: str = "cluster") -> DataFrame:
     """(kind, key, n, cluster): what a transaction may name a person by, with the number of clusters it stands for."""
     key = name_key(F.col("name"))
@@ -231,6 +242,13 @@ def people_kind(path: Column) -> Column:
     return F.coalesce(*(F.when(path.rlike(p), name) for name, p in PEOPLE_KINDS), F.lit("clientes"))
 
 
+def populations(rows: DataFrame, path: str = "path") -> DataFrame:
+    """(kind, n, main): people by kind of their register; clients are the main population, without any the largest kind, the first name on ties."""
+    counted = rows.groupBy(people_kind(F.col(path)).alias("kind")).agg(F.count("*").alias("n"))
+    best = counted.agg(F.min_by("kind", F.struct(F.col("kind") != "clientes", -F.col("n"), F.col("kind"))).alias("best"))
+    return counted.join(F.broadcast(best), F.lit(True)).select("kind", "n", (F.col("kind") == F.col("best")).alias("main"))  # best is one row
+
+
 def inactive(status: Column) -> Column:
     """Whether a status says that a row is deleted or blocked."""
     return F.coalesce(status.rlike(INACTIVE), F.lit(False))

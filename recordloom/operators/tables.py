@@ -146,6 +146,11 @@ def normalised(df: DataFrame, key: str, kinds: dict[str, str]) -> tuple[DataFram
     return tidy.dropDuplicates(list(made)), problems
 
 
+def counted(problems: DataFrame) -> DataFrame:
+    """(column, problem, n): how often each problem of normalised() occurs in each column."""
+    return problems.groupBy("column", "problem").agg(F.count("*").alias("n"))
+
+
 def distinct_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """df without repeated rows, and one row with the number removed."""
     kept = df.dropDuplicates()

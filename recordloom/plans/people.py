@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recordloom.functions import ids
@@ -73,14 +74,31 @@ def entity_blocked(spark, sf_dir):
     return entity.clusters(_people(spark, sf_dir))[1]
 
 
+@query("people_by_source", _REC + " SELECT source, count(*) AS n_rows, count(DISTINCT cpf) AS n_people, count(*) - count(DISTINCT cpf) AS n_duplicates FROM r GROUP BY 1")
+def people_by_source(spark, sf_dir):
+    return entity.source_stats(_by_cpf(spark, sf_dir))
+
+
+_ORIGIN = "CASE c_mktsegment WHEN 'BUILDING' THEN 'feira/' WHEN 'MACHINERY' THEN 'rh/' WHEN 'FURNITURE' THEN 'folha_2024/' ELSE 'cadastro/' END"
+
+
+@query(
+    "populations",
+    "SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'leads' WHEN 'MACHINERY' THEN 'colaboradores' WHEN 'FURNITURE' THEN 'colaboradores' ELSE 'clientes' END AS kind, count(*) AS n, kind = 'clientes' AS main FROM customer GROUP BY 1",
+)
+def populations(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.expr(_ORIGIN), F.lit("lista.csv")).alias("path"))
+    return entity.populations(rows)
+
+
 @query(
     "entity_components",
-    """WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey + 5 AS b FROM customer WHERE c_custkey % 7 < 3 UNION SELECT c_custkey + 5, c_custkey FROM customer WHERE c_custkey % 7 < 3),
-    r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a) SELECT node, min(seen) AS component FROM r GROUP BY 1""",
+    "SELECT c_custkey AS node, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS component FROM customer QUALIFY count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) > 1",
 )
 def entity_components(spark, sf_dir):
-    people = view(spark, sf_dir, "people").select("k")
-    return components(people.filter("k % 7 < 3").select(C("k").alias("src"), (C("k") + 5).alias("dst")))
+    """Long chains: each customer hangs on the next one of its nation and segment."""
+    after = F.lead("c_custkey").over(Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey"))
+    return components(table(spark, sf_dir, "customer").select(C("c_custkey").alias("src"), after.alias("dst")).filter("dst is not null"))
 
 
 _REF = "CASE k % 5 WHEN 0 THEN upper(concat('p', cast(k AS string), '@mail.com')) WHEN 1 THEN cpf11 WHEN 2 THEN cast(k AS string) WHEN 3 THEN name ELSE concat('Fulano ', cast(k AS string)) END"

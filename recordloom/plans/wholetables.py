@@ -107,6 +107,11 @@ def problem_log(spark, sf_dir):
     return tabs.normalised(_people_table(spark, sf_dir), "k", _KINDS)[1]
 
 
+@query("problem_counts", f'SELECT "column", problem, count(*) AS n FROM ({SQL["problem_log"]}) GROUP BY 1, 2')
+def problem_counts(spark, sf_dir):
+    return tabs.counted(tabs.normalised(_people_table(spark, sf_dir), "k", _KINDS)[1])
+
+
 _REG_A = "SELECT k, cpf, name, bal FROM people WHERE k % 3 <> 0"
 _REG_B = "SELECT k, replace(cpf11, '.', '') AS cpf, CASE WHEN k % 8 = 0 THEN concat(name, ' Neto') ELSE upper(name) END AS name, bal FROM people WHERE k % 4 <> 0"
 _REG_C = "SELECT k * 2 AS k, cpf11 AS cpf, CASE WHEN k % 9 = 0 THEN 'outro' ELSE name END AS name, bal FROM people WHERE k % 5 < 2 UNION ALL SELECT k * 2 + 1, cpf11, NULL, 1.5 FROM people WHERE k % 10 = 0"

@@ -136,3 +136,13 @@ def test_dictionary_hides_marked_examples(spark):
     profile = spark.createDataFrame([("cpf", "529"), ("obs", "ok")], "column string, example string")
     marked = spark.createDataFrame([("cpf", "CPF")], "column string, kind string")
     assert {r.column: r.example for r in privacy.dictionary(profile, marked).collect()} == {"cpf": "[oculto]", "obs": "ok"}
+
+
+def test_people_by_source_order_and_population(spark):
+    rows = spark.createDataFrame([("a", 1, "10", "Bia"), ("a", 1, "9", "Ana"), ("a", 2, None, "Caio"), ("b", 2, "x1", None), ("b", 3, "x1", "Davi")], "source string, cluster long, id string, name string")
+    assert {r.source: (r.n_rows, r.n_people, r.n_duplicates) for r in entity.source_stats(rows).collect()} == {"a": (3, 2, 1), "b": (2, 2, 0)}
+    assert [r.name for r in entity.in_order(rows).collect()] == ["Ana", "Bia", "Caio", "Davi", None]
+    kinds = lambda *paths: {r.kind: (r.n, r.main) for r in entity.populations(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    assert kinds("feira.csv", "feira.csv", "base.csv") == {"leads": (2, False), "clientes": (1, True)}
+    assert kinds("feira.csv", "rh/x.csv") == {"leads": (1, False), "colaboradores": (1, True)}
+    assert kinds() == {}
