@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import decontam, exact, langid, lines, ngram_join, packing, secret_scan, sharding, suffix, toxicity
+from recordloom.llm import decontam, exact, interaction, langid, lexical, lines, ngram_join, packing, pieces, secret_scan, sharding, suffix, toxicity
 from recordloom.tables import table
 
 
@@ -63,6 +63,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("offending", F.array_join(F.transform("sentences", span), ",")).drop("sentences")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the number of its pieces, and digests of their ids and of the decoded text."""
+    import public_tokenizers
+
+    model = pieces.model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
+    out = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    said = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents that score highest for each benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source, order of the five filters and step: what is kept, removed, redundant and lost."""
+    counts = interaction.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return interaction.audit(counts, "ABCD" + interaction.COPY)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +97,9 @@ QUERIES = {
         op8_secret_scan,
         op9_exact_dedup,
         op10_toxicity,
+        op11_sentencepiece,
+        op12_lexical_search,
+        op13_filter_audit,
     )
 }
 
@@ -117,4 +141,54 @@ SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)
     """,
+    "op12_lexical_search": r"""
+        WITH t AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM documents
+        ), i AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark
+        ), d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1
+        ), s AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM d
+        ), p AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM i) GROUP BY 1, 2
+        ), w AS (
+            SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term, n_docs
+        ), r AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+            FROM i JOIN p USING (term) JOIN w USING (term) JOIN d USING (doc_id), s GROUP BY 1, 2
+        )
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM r WHERE score > 0
+        QUALIFY rank <= 50
+    """,
+    "op13_filter_audit": r"""
+        WITH t AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), g AS (
+            SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1
+        ), m AS (
+            SELECT part, [len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+                          regexp_matches(text, '[#$%&*|]'), doc_id > min(doc_id) OVER (PARTITION BY text)] AS fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+            FROM t LEFT JOIN g USING (doc_id)
+        ), c AS (
+            SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY 1, 2
+        ), l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+        ), o AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+        ), z AS (
+            SELECT p.part, o.filter_order, s.step::INT AS step, strpos('ABCDE', substr(filter_order, s.step::INT, 1)) AS f
+            FROM (SELECT DISTINCT part FROM c) p, o, (SELECT unnest(range(1, 6)) AS step) s
+        ), e AS (
+            SELECT part, filter_order, n, good, toxic, fails, list_aggregate(list_transform(range(1, 6), lambda k: CASE WHEN fails[strpos('ABCDE', substr(filter_order, k::INT, 1))] THEN k ELSE 6 END), 'min') AS goes
+            FROM c, o
+        ), r AS (
+            SELECT z.part, z.filter_order, z.step, z.f,
+                   sum(n) FILTER (goes > step) AS kept, sum(n) FILTER (goes = step) AS removed, sum(n) FILTER (goes < step AND fails[f]) AS redundant,
+                   sum(n) FILTER (fails[f] AND len(list_filter(fails, lambda v: v)) = 1) AS unique_fails, sum(good) FILTER (goes = step) AS good_lost, sum(toxic) FILTER (goes = step) AS toxic_lost
+            FROM z JOIN e USING (part, filter_order) GROUP BY ALL
+        )
+        SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+               coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+               coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley
+        FROM r
+    """,
 }
