@@ -3,7 +3,8 @@
 Where no piece crosses from other characters into a space marker, a text is cut before each run of markers, and its pieces are those of its chunks one
 after the other. Texts are gathered in blocks of bounded size. A block becomes its distinct chunks and, for each text, the places of its chunks among
 them. The chunks of all blocks are dealt by their hash; each part of that table of distinct chunks segments a chunk when it first meets it. The ids come
-back to their block, and are set in by position. A chunk reaches the table once a block at most, so a frequent word makes no large group.
+back to their block, and are set in by position. A chunk reaches the table once a block at most, so a frequent word makes no large group. Blocks are made
+twice from the texts, once for the chunks and once for the places, both compressed, which takes less room than to store them.
 """
 
 from __future__ import annotations
@@ -62,12 +63,21 @@ def segmented(sp: sentencepiece.SentencePieceProcessor, some: list[str]) -> list
 
 
 def packed(numbers: np.ndarray) -> bytes:
-    """Whole numbers as four planes of bytes, the lowest first: what compresses well lies together."""
-    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Whole numbers as four planes of bytes, the lowest first (what compresses well lies together), compressed."""
+    return pressed(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.ascontiguousarray(np.frombuffer(unpressed(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def pressed(data: bytes) -> bytes:
+    """Bytes compressed, after their length."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unpressed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
 
 
 def _schema(docs: DataFrame, kept: list[str]) -> T.StructType:
@@ -75,33 +85,35 @@ def _schema(docs: DataFrame, kept: list[str]) -> T.StructType:
 
 
 def _blocks(kept: list[str], text: str, parts: int, block_chars: int):
-    """Rows of two kinds for each block: a text with the places of its chunks in the block's list, and with a bucket the chunks that fall into it."""
+    """Rows of two kinds for each block: under the block's key a text with the places of its chunks in the block's list, and under a key below 0, which
+    stands for a part of the table, the block's chunks that fall there with their places."""
 
     def block(batches: list[pa.RecordBatch], spots: list[bytes], table: dict[str, int], number: int) -> Iterator[pa.RecordBatch]:
-        docs = pa.Table.from_batches(batches).select(kept).combine_chunks()
-        own = [pa.array([number] * len(spots), pa.int64()), pa.nulls(len(spots), pa.int32()), pa.array(spots, pa.binary()), pa.nulls(len(spots), pa.string())]
-        names = [*kept, "block", "bucket", "spots", "chunks"]
-        yield pa.RecordBatch.from_arrays([*(c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in docs.columns), *own], names)
+        docs = pa.Table.from_batches(batches).select(kept)
+        own = [pa.array([number] * len(spots), pa.int64()), pa.array([number] * len(spots), pa.int64()), pa.array(spots, pa.binary()), pa.nulls(len(spots), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*(c.chunk(0) if c.num_chunks == 1 else pa.concat_arrays(c.chunks) for c in docs.columns), *own], [*kept, "key", "block", "spots", "chunks"])
         found = list(table)
-        bucket = np.fromiter((crc32(c.encode()) % parts for c in found), np.int64, len(found))
-        order = np.argsort(bucket, kind="stable")
-        used, first = np.unique(bucket[order], return_index=True)
+        part = np.fromiter((crc32(c.encode()) % parts for c in found), np.int64, len(found))
+        order = np.argsort(part, kind="stable")
+        used, first = np.unique(part[order], return_index=True)
         shares = np.split(order, first[1:]) if len(found) else []
-        n = len(used)
-        own = [pa.array([number] * n, pa.int64()), pa.array(used, pa.int32()), pa.array([packed(s) for s in shares], pa.binary()), pa.array([" ".join(found[i] for i in s.tolist()) for s in shares], pa.string())]
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(n, c.type) for c in docs.columns), *own], names)
+        said = [pressed(" ".join(found[i] for i in s.tolist()).encode()) for s in shares]
+        own = [pa.array(-1 - used, pa.int64()), pa.array([number] * len(used), pa.int64()), pa.array([packed(np.diff(s, prepend=0)) for s in shares], pa.binary()), pa.array(said, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(used), c.type) for c in docs.columns), *own], [*kept, "key", "block", "spots", "chunks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, blocks = TaskContext.get().partitionId(), 0
         held, spots, table, chars = [], [], {}, 0
         for batch in batches:
-            held.append(batch)
-            for t in batch[text].to_pylist():
+            first = 0
+            for i, t in enumerate(batch[text].to_pylist()):
                 spots.append(packed(np.array([table.setdefault(c, len(table)) for c in chunks(t)], np.int64)))
                 chars += len(t or "")
-            if chars >= block_chars:
-                yield from block(held, spots, table, (part << 32) + blocks)
-                held, spots, table, chars, blocks = [], [], {}, 0, blocks + 1
+                if chars >= block_chars:  # at a row, so that blocks don't depend on how rows came in batches
+                    yield from block([*held, batch.slice(first, i + 1 - first)], spots, table, (part << 32) + blocks)
+                    held, spots, table, chars, blocks, first = [], [], {}, 0, blocks + 1, i + 1
+            if first < batch.num_rows:
+                held.append(batch.slice(first))
         if spots:
             yield from block(held, spots, table, (part << 32) + blocks)
 
@@ -114,13 +126,13 @@ def _segment(model: bytes):
         for batch in batches:
             sizes, ids = [], []
             for said in batch["chunks"].to_pylist():
-                some = said.split(" ")
+                some = unpressed(said).decode().split(" ")
                 new = [c for c in some if c not in known]
                 known.update(zip(new, (array("I", x).tobytes() for x in segmented(sp, new)) if new else ()))
                 found = [known[c] for c in some]
                 sizes.append(packed(np.fromiter(map(len, found), np.int64, len(found)) >> 2))
                 ids.append(packed(np.frombuffer(b"".join(found), np.uint32)))
-            yield pa.RecordBatch.from_arrays([batch["block"], batch["spots"], pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["block", "spots", "sizes", "ids"])
+            yield pa.RecordBatch.from_arrays([batch["block"], batch["spots"], pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["key", "spots", "sizes", "ids"])
 
     return run
 
@@ -128,6 +140,7 @@ def _segment(model: bytes):
 def _join(kept: list[str], out: str):
     def run(docs: pa.Table, dealt: pa.Table) -> pa.Table:
         shares = [tuple(map(unpacked, x)) for x in zip(*(dealt[c].to_pylist() for c in ("spots", "sizes", "ids")))]
+        shares = [(np.cumsum(spots), sizes, ids) for spots, sizes, ids in shares]
         spots, sizes, ids = (np.concatenate([np.zeros(0, np.int64), *(s[k] for s in shares)]).astype(np.int64) for k in range(3))
         size, first = np.zeros(len(spots), np.int64), np.zeros(len(spots), np.int64)
         size[spots], first[spots] = sizes, np.cumsum(sizes) - sizes
@@ -155,16 +168,17 @@ def encode(docs: DataFrame, model: bytes, block_chars: int = BLOCK_CHARS, part_b
     text = next(c for c in docs.columns if c.lower() == "text")
     inner = {c: f"kept{i}" for i, c in enumerate(kept)}  # names that clash with none of ours
     slim = docs.select(*[F.col(f"`{c}`").alias(inner[c]) for c in kept], F.col(f"`{text}`").alias("text"))
-    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    if "Exchange" in slim._jdf.queryExecution().executedPlan().toString():
+        slim = written(slim, "texts")  # rows of a shuffle may come in another order when a lost part is made again, and blocks would differ
+    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // part_bytes))
     columns = list(inner.values())
     schema = _schema(slim, columns)
-    made = T.StructType([*schema, *T._parse_datatype_string("block long, bucket int, spots binary, chunks string")])
-    blocks = written(slim.mapInArrow(_blocks(columns, "text", parts, block_chars), made), "blocks")
-    dealt = blocks.filter("bucket IS NOT NULL").select("block", "bucket", "spots", "chunks").repartition(parts, "bucket")
-    dealt = dealt.mapInArrow(_segment(model), "block long, spots binary, sizes binary, ids binary")
-    rows = blocks.filter("bucket IS NULL").drop("bucket", "chunks")
-    out = rows.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(_join(columns, "ids"), T.StructType([*schema, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    made = T.StructType([*schema, *T._parse_datatype_string("key long, block long, spots binary, chunks binary")])
+    blocks = slim.mapInArrow(_blocks(columns, "text", parts, block_chars), made).repartition(2 * parts, "key")
+    dealt = blocks.filter("key < 0").select("block", "spots", "chunks").mapInArrow(_segment(model), "key long, spots binary, sizes binary, ids binary")
+    rows = blocks.filter("key >= 0").drop("block", "chunks")
+    out = rows.groupBy("key").cogroup(dealt.groupBy("key")).applyInArrow(_join(columns, "ids"), T.StructType([*schema, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
     return out.select(*[F.col(inner[c]).alias(c) for c in kept], "ids")
 
 

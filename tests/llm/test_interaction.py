@@ -22,8 +22,8 @@ def masks(docs):
 
 
 def brute(docs, labels):
-    good = {i for i, q, _ in labels if q == 1}
-    toxic = {i for i, _, x in labels if x == 1}
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, x in labels if x == 1 and i is not None}
     out, parts = [], {}
     for i, part, mask in masks(docs):
         parts.setdefault(part, []).append((i, mask))
