@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from recordloom.functions import ids
 from recordloom.functions.dates import read_date
 from recordloom.functions.money import amount
 from recordloom.functions.text import blank, boolean, city, email, first_filled, items, name_key, names_compatible, person_name, phone, status, text_key
-from recordloom.graph import components
+from recordloom.operators import cluster
 from recordloom.tables import free_name, small, written
 
 FIELDS = ("name", "cpf", "email", "phone", "birth", "city")
@@ -41,62 +40,22 @@ def records(sources: list[tuple[str, int, DataFrame]]) -> DataFrame:
 def evidence(people: DataFrame) -> DataFrame:
     """(phase, ord, a, b): candidate links, each record to the first with the same key, in the order in which they are tried."""
 
-    def star(phase: int, *key: Column, where: Column | None = None) -> DataFrame:
+    def star(phase: int, *key: Column, where: Column | None = None, by_group: bool = False) -> DataFrame:
         rows = people if where is None else people.filter(where)
         rows = rows.select("rid", F.struct(*key).alias("key"), "name")
         first = rows.groupBy("key").agg(F.min(F.struct("rid", "name")).alias("first"))
-        return rows.join(first, "key").filter(F.col("rid") != F.col("first.rid")).select(F.lit(phase).alias("phase"), F.col("rid").alias("ord"), F.col("first.rid").alias("a"), F.col("rid").alias("b"), F.col("first.name").alias("na"), "name")
+        return rows.join(first, "key").filter(F.col("rid") != F.col("first.rid")).select(F.lit(phase).alias("phase"), F.col("first.rid" if by_group else "rid").alias("ord"), F.col("first.rid").alias("a"), F.col("rid").alias("b"), F.col("first.name").alias("na"), "name")
 
     full = F.size(F.split(name_key(F.col("name")), " ")) >= 2
     out = star(1, F.col("source"), F.col("id"), where=F.col("id").isNotNull())
-    out = out.union(star(2, F.col("id"), where=F.col("id").isNotNull()).filter(names_compatible(F.col("na"), F.col("name"))))
+    out = out.union(star(2, F.col("id"), where=F.col("id").isNotNull(), by_group=True).filter(names_compatible(F.col("na"), F.col("name"))))
     out = out.union(star(3, F.col("cpf"), where=F.col("cpf_ok"))).union(star(4, F.col("email"), where=F.col("email").isNotNull()))
     return out.union(star(5, name_key(F.col("name")), where=F.col("name").isNotNull() & full)).select("phase", "ord", "a", "b")
 
 
-def _replay(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one component: links in their order, each refused if the groups it would join exclude each other."""
-    nodes = rows[rows.kind == "node"]
-    parent = {r: r for r in nodes.rid}
-    held = {r.rid: ({r.source: {r.id}} if r.id is not None else {}, {r.cpf} if r.cpf_ok else set()) for r in nodes.itertuples()}
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    blocked = []
-    for e in rows[rows.kind == "edge"].sort_values(["phase", "ord", "a", "b"]).itertuples():
-        a, b = sorted((root(int(e.a)), root(int(e.b))))
-        if a == b:
-            continue
-        (ids_a, cpfs_a), (ids_b, cpfs_b) = held[a], held[b]
-        if any(ids_a[s] != ids_b[s] for s in ids_a.keys() & ids_b.keys()):
-            blocked.append((int(e.a), int(e.b), "ids diferentes na mesma fonte"))
-        elif e.phase == 5 and cpfs_a and cpfs_b and not cpfs_a & cpfs_b:
-            blocked.append((int(e.a), int(e.b), "homônimos com CPFs diferentes"))
-        else:
-            parent[b] = a
-            held[a] = ({s: ids_a.get(s, set()) | ids_b.get(s, set()) for s in ids_a.keys() | ids_b.keys()}, cpfs_a | cpfs_b)
-    out = [(r, root(r), None, None) for r in nodes.rid] + [(a, None, b, why) for a, b, why in blocked]
-    return pd.DataFrame(out, columns=["rid", "cluster", "other", "blocked"]).astype({"rid": "int64", "cluster": "Int64", "other": "Int64"})
-
-
-def clusters(people: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rid, cluster) of every record, and the refused links (a, b, reason).
-
-    Candidate links are fixed before any is accepted, so components of all candidates don't touch each other: each one replays its links in
-    their order, with the exclusions, in a task of its own.
-    """
-    links = evidence(people)
-    comp = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    empty = lambda kind: F.lit(None).cast(kind)
-    nodes = people.join(comp, F.col("rid") == F.col("node")).select("component", F.lit("node").alias("kind"), "rid", "source", "id", "cpf", "cpf_ok", empty("int").alias("phase"), empty("long").alias("ord"), empty("long").alias("a"), empty("long").alias("b"))
-    edges = links.join(comp, F.col("a") == F.col("node")).select("component", F.lit("edge").alias("kind"), empty("long").alias("rid"), empty("string").alias("source"), empty("string").alias("id"), empty("string").alias("cpf"), empty("boolean").alias("cpf_ok"), "phase", "ord", "a", "b")
-    made = nodes.union(edges).groupBy("component").applyInPandas(lambda rows: _replay(rows.drop(columns="component")), "rid long, cluster long, other long, blocked string")
-    alone = people.join(comp, F.col("rid") == F.col("node"), "left_anti").select("rid", F.col("rid").alias("cluster"))
-    return made.filter("blocked is null").select("rid", "cluster").union(alone), made.filter("blocked is not null").select(F.col("rid").alias("a"), F.col("other").alias("b"), F.col("blocked").alias("reason"))
+def clusters(people: DataFrame, finish: int = cluster.FINISH) -> tuple[DataFrame, DataFrame]:
+    """(rid, cluster) of every record, and the refused links (a, b, reason): the evidence in its order, under the exclusions of cluster.constrained()."""
+    return cluster.constrained(people, evidence(people), finish)
 
 
 def golden(people: DataFrame, fields: tuple[str, ...] = FIELDS, cluster: str = "cluster") -> DataFrame:
