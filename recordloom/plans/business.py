@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
+from recordloom.functions import ids
 from recordloom.operators import domains, inventory, privacy
 from recordloom.operators import tables as tabs
 from recordloom.plans.dirty import duck, view
@@ -178,6 +181,90 @@ def pii_findings(spark, sf_dir):
     return privacy.findings(spread(table(spark, sf_dir, "documents"))).drop("value")
 
 
+#: Rules that DuckDB's patterns can say too: no look around, ASCII classes.
+PLAIN = (
+    privacy.Rule("Chave de API", "credencial", r"AKIA[0-9A-Z]{16}", flags=""),
+    privacy.Rule("Senha/segredo em texto puro", "credencial", r"[^\s,;]+", before=r"(?:senha|password|secret|token)\s*[:=]\s*", flags="(?i)"),
+    privacy.Rule("E-mail", "pessoal", r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]*[A-Za-z0-9_]", flags=""),
+    privacy.Rule("Cartão de crédito", "financeiro", r"[0-9]{13,19}", flags="", check=ids.card_valid),
+    privacy.Rule("Endereço IP", "pessoal", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", flags=""),
+    privacy.Rule("Criança/adolescente", "crianca", r"(?:menor de idade|adolescente)", flags="(?i)"),
+)
+
+
+def _sql_rules() -> str:
+    """Pages, and each rule's matches with their places: what stands between two matches, and the matches, summed up."""
+    one = """SELECT {i} AS rule, doc_id, page, txt, unnest(regexp_split_to_array(txt, '{p}')) AS gap, unnest(list_append(regexp_extract_all(txt, '{p}', 0), NULL)) AS whole,
+        unnest(list_append(regexp_extract_all(txt, '{p}', 1), NULL)) AS before, unnest(list_append(regexp_extract_all(txt, '{p}', 2), NULL)) AS value,
+        generate_subscripts(regexp_split_to_array(txt, '{p}'), 1) AS n FROM pages WHERE regexp_matches(txt, '{p}')"""
+    found = " UNION ALL ".join(one.format(i=i, p=r.pattern) for i, r in enumerate(PLAIN))
+    kinds = ", ".join(f"({i}, '{r.kind}', '{r.category}')" for i, r in enumerate(PLAIN))
+    luhn = "list_sum(list_transform(range(0, length(value)), lambda i: CASE WHEN i % 2 = 1 THEN CASE WHEN 2 * substr(value, length(value) - i::INT, 1)::INT > 9 THEN 2 * substr(value, length(value) - i::INT, 1)::INT - 9 ELSE 2 * substr(value, length(value) - i::INT, 1)::INT END ELSE substr(value, length(value) - i::INT, 1)::INT END)) % 10 = 0"
+    return f"""WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+        rows AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM cut),
+        pages AS (SELECT doc_id, ((n - 1) // 20 + 1)::INT AS page, string_agg(line, chr(10) ORDER BY n) AS txt FROM rows GROUP BY ALL),
+        found AS ({found}), kinds(rule, kind, category) AS (VALUES {kinds}),
+        placed AS (SELECT *, (sum(length(gap) + coalesce(length(whole), 0)) OVER (PARTITION BY rule, doc_id, page ORDER BY n) - length(whole) + length(before))::INT AS start FROM found),
+        good AS (SELECT *, (start + length(value))::INT AS stop FROM placed JOIN kinds USING (rule) WHERE whole IS NOT NULL AND (kind <> 'Cartão de crédito' OR (regexp_full_match(value, '[0-9]{{13,19}}') AND {luhn})))"""
+
+
+_PLACED = _sql_rules()
+
+
+def _paged(spark, sf_dir):
+    """Texts whose pages have twenty lines."""
+    lines = F.split("text", "\n")
+    page = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 20).cast("int")), lambda i: F.array_join(F.slice(lines, i * 20 + 1, 20), "\n"))
+    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.array_join(page, "\f").alias("text"))
+
+
+@query(
+    "findings_placed",
+    _PLACED + """, first AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, kind, lower(value) ORDER BY rule, start) AS i FROM good),
+        over AS (SELECT a.rule, a.doc_id, a.page, a.start, arg_min(b.kind, (b.start - b.stop, b.rule)) AS best, min((b.start - b.stop, b.rule, b.start)) AS w FROM good a JOIN good b USING (doc_id, page) WHERE a.start < b.stop AND b.start < a.stop GROUP BY ALL)
+        SELECT doc_id AS origin, page, start AS begin, stop AS finish, kind, category, CASE WHEN best <> kind THEN best END AS inside FROM first JOIN over USING (rule, doc_id, page, start) WHERE i = 1""",
+)
+def findings_placed(spark, sf_dir):
+    """The first place of each value on each page of twenty lines."""
+    found = privacy.findings(spread(_paged(spark, sf_dir)), PLAIN)
+    return found.select("origin", "page", C("start").alias("begin"), C("end").alias("finish"), "kind", "category", C("within").alias("inside"))
+
+
+@query(
+    "findings_context",
+    _PLACED + " SELECT DISTINCT doc_id AS origin, page, kind, true AS hidden FROM good",
+)
+def findings_context(spark, sf_dir):
+    """Whether each finding's value is hidden in its context, by page and kind."""
+    found = privacy.findings(spread(_paged(spark, sf_dir)), PLAIN)
+    return found.groupBy("origin", "page", "kind").agg(F.every((C("context") != "") & ~F.contains("context", "value")).alias("hidden"))
+
+
+@query(
+    "risk_by_category",
+    _PLACED + """, first AS (SELECT DISTINCT doc_id, page, kind, category, lower(value) AS v FROM good),
+        c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (category = 'pessoal') AS p, count(*) FILTER (category = 'crianca') AS k, max(CASE category WHEN 'credencial' THEN 3 WHEN 'financeiro' THEN 3 WHEN 'crianca' THEN 2 ELSE 1 END) AS l,
+              array_to_string(list_sort(list_distinct(list(kind))), ', ') AS kinds FROM first GROUP BY 1)
+        SELECT d.doc_id AS origin, CASE l WHEN 3 THEN 'CRÍTICO' WHEN 2 THEN 'ALTO' WHEN 1 THEN 'MÉDIO' ELSE 'BAIXO' END AS level, coalesce(n, 0) AS n_findings, coalesce(p, 0) AS n_personal, 0 AS n_sensitive,
+               coalesce(k, 0) AS n_children, coalesce(kinds, '') AS kinds FROM documents d LEFT JOIN c USING (doc_id)""",
+)
+def risk_by_category(spark, sf_dir):
+    """Risk and counts by category of every document, those without findings too."""
+    origins = table(spark, sf_dir, "documents").select(C("doc_id").alias("origin"))
+    return privacy.risk(privacy.findings(spread(_paged(spark, sf_dir)), PLAIN), origins)
+
+
+@query(
+    "redact_plain",
+    "SELECT doc_id, sha256("
+    + functools.reduce(lambda t, r: f"regexp_replace({t}, '({r.before})({r.value})({r.after})', '\\1{r.marker}\\3', '{'gi' if r.flags else 'g'}')", [r for r in PLAIN if not r.check], "text")
+    + ") AS sha256 FROM documents",
+)
+def redact_plain(spark, sf_dir):
+    """Texts with markers, by the rules without a check."""
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.sha2(privacy.redacted(C("text"), [r for r in PLAIN if not r.check]), 256).alias("sha256"))
+
+
 _SCAN = "SELECT doc_id, concat('{\"a\": ', doc_id, ' token=x1') AS secrets, CASE WHEN doc_id % 3 = 0 THEN concat('p', doc_id, '@mail.com') ELSE 'nada' END AS mails, CASE WHEN doc_id % 5 = 0 THEN concat('q', doc_id, '@mail.com') END AS few, 'texto' AS plain FROM documents"
 
 
