@@ -27,7 +27,7 @@ from recordloom.tables import written
 
 MARK = "▁"
 #: Characters of the texts of a block (a longer text is a block alone), and bytes of text for each part of the table of chunks.
-BLOCK_CHARS, PART_BYTES = 16 << 20, 32 << 20
+BLOCK_CHARS, PART_BYTES = 8 << 20, 16 << 20
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -190,7 +190,9 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = processor(model)
         for batch in batches:
-            texts = pa.array([sp.decode(ids) if ids else "" for ids in batch[kept.index("ids")].to_pylist()], pa.string())
+            ids = batch[kept.index("ids")]
+            ends, flat = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), ids.flatten().to_numpy(zero_copy_only=False)
+            texts = pa.array((sp.decode(flat[a:b].tolist()) if a < b else "" for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())), pa.string())  # one list of numbers at a time
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*kept, "text"])
 
     return encoded.mapInArrow(run, T.StructType([*_schema(encoded, kept), T.StructField("text", T.StringType())]))
