@@ -185,10 +185,16 @@ def inherited(parts: DataFrame, base: str, number: str, *fields: str) -> DataFra
     return parts.withColumns({f: F.first(f, ignorenulls=True).over(w) for f in fields})
 
 
+def part_of(name: Column) -> Column:
+    """(base, n) of a file name that tells a part of a file, else null."""
+    shape = r"(?i)^(.*?)[\s_\-.]*(?:parte|part|vol(?:ume)?|anexo|cont(?:inua[çc][ãa]o)?)[\s_\-.]*(\d+)$"
+    n = F.regexp_extract(name, shape, 2).try_cast("int")
+    return F.when(n.isNotNull(), F.struct(F.lower(F.regexp_extract(name, shape, 1)).alias("base"), n.alias("n")))
+
+
 def part_edges(names: DataFrame) -> DataFrame:
     """(src, dst) of consecutive parts of one file, from (doc, name)."""
-    shape = r"(?i)^(.*?)[\s_\-.]*(?:parte|part|vol(?:ume)?|anexo|cont(?:inua[çc][ãa]o)?)[\s_\-.]*(\d+)$"
-    rows = names.select("doc", F.lower(F.regexp_extract("name", shape, 1)).alias("base"), F.regexp_extract("name", shape, 2).try_cast("int").alias("n")).filter("n is not null")
+    rows = names.select("doc", part_of(F.col("name")).alias("part")).filter("part is not null").select("doc", "part.*")
     w = Window.partitionBy("base").orderBy("n")
     return rows.select(F.col("doc").alias("src"), F.lead("doc").over(w).alias("dst"), "base", "n", F.lead("n").over(w).alias("next")).filter("dst is not null")
 
@@ -215,16 +221,41 @@ def summaries(placed: DataFrame) -> DataFrame:
     return size.join(before, "n_docs").withColumn("number", F.col("before") + rank).join(top, "dossier", "left").select("dossier", "number", "n_docs", "main")
 
 
+def holes(ranges: DataFrame, *group: str) -> DataFrame:
+    """(group, first, last): what is missing between the ranges (lo, hi) of a group, as ranges themselves, so a number of any size costs one row."""
+    w = Window.partitionBy(*group).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranges.select(*group, F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")).distinct()
+    before = F.max("hi").over(w)
+    return rows.withColumn("before", before).filter("lo > before + 1").select(*group, (F.col("before") + 1).alias("first"), (F.col("lo") - 1).alias("last"))
+
+
 def missing_numbers(rows: DataFrame, group: str, number: str) -> DataFrame:
-    """(group, missing): numbers from 1 to the largest of each group that don't occur."""
-    held = rows.filter(F.col(number).isNotNull()).groupBy(group).agg(F.collect_set(number).alias("have"), F.max(number).alias("top"))
-    return held.select(group, F.explode(F.array_except(F.sequence(F.lit(1), "top"), "have")).alias("missing"))
+    """(group, first, last): ranges of numbers from 1 to the largest of each group that don't occur; null numbers and those under 1 don't count."""
+    n = F.col(number).cast("long")
+    held = rows.filter(n >= 1).select(group, n.alias("lo"), n.alias("hi"))
+    zero = held.select(group, F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi")).distinct()
+    return holes(held.union(zero), group)
 
 
 def sheet_gaps(rows: DataFrame, group: str) -> DataFrame:
     """(group, first, last): sheets missing between the ranges (lo, hi) of a group."""
-    before = F.max("hi").over(Window.partitionBy(group).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("_before", before).filter("lo > _before + 1").select(group, (F.col("_before") + 1).alias("first"), (F.col("lo") - 1).alias("last"))
+    return holes(rows, group)
+
+
+def number_gaps(placed: DataFrame, name: str | None = None) -> DataFrame:
+    """(dossier, kind, place, first, last): amendments, parts of a file and sheets that a dossier lacks.
+
+    Amendments and parts count from 1; sheets are compared inside one file in parts, or else inside the first process that a document cites. name is a
+    column of file names without extension; without it there are no parts.
+    """
+    part = part_of(F.col(name)) if name else F.lit(None).cast("struct<base:string,n:int>")
+    rows = placed.select("dossier", "amendment", "sheets", part.alias("part"), F.get(F.filter("refs", lambda r: r["kind"] == "processo")[0]["found"], F.lit(0)).alias("process"))
+    one = lambda kind, n: rows.filter(n >= 1).select("dossier", F.lit(kind).alias("kind"), F.lit("").alias("place"), n.cast("long").alias("lo"), n.cast("long").alias("hi"))
+    counted = one("aditivo", F.col("amendment")).union(one("parte", F.col("part.n")))
+    zero = counted.select("dossier", "kind", "place", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi")).distinct()
+    place = F.coalesce(F.concat(F.lit("arquivo "), F.col("part.base")), F.concat(F.lit("processo "), F.col("process")))
+    leaves = rows.filter(F.col("sheets").isNotNull() & place.isNotNull()).select("dossier", F.lit("folhas"), place, F.col("sheets.lo").cast("long"), F.col("sheets.hi").cast("long"))
+    return holes(counted.union(zero).union(leaves), "dossier", "kind", "place")
 
 
 def stage_gaps(placed: DataFrame) -> DataFrame:

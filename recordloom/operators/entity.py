@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
 
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +17,7 @@ from recordloom.functions.dates import read_date
 from recordloom.functions.money import amount
 from recordloom.functions.text import blank, boolean, city, email, first_filled, items, name_key, names_compatible, person_name, phone, status, text_key
 from recordloom.operators import cluster
-from recordloom.tables import free_name, small, written
+from recordloom.tables import free_name, written
 
 FIELDS = ("name", "cpf", "email", "phone", "birth", "city")
 #: Lines of one source that a record number leaves room for.
@@ -118,22 +123,49 @@ def linked(transactions: DataFrame, index: DataFrame, ref: str) -> DataFrame:
     return rows.select(*transactions.columns, F.when(one, F.col("_c")).alias("cluster"), F.when(one, F.col("_kind")).alias("method"), note.alias("note"))
 
 
-def mentions(texts: DataFrame, people: DataFrame) -> DataFrame:
-    """(doc, name_key): full names of two words or more, however many, that stand in a text.
+#: Bytes of names that one automaton takes; of more there are several, each of which reads the texts once.
+NAME_BYTES = 4 << 20
+_AUTOMATA: dict[str, ahocorasick.Automaton] = {}
 
-    Only words that open a name are kept, each with as many words after it as names that open so have; an equi join with the names follows.
+
+def _automaton(key: str, names: list[str]) -> ahocorasick.Automaton:
+    """The automaton of a part of the names, made once in a worker."""
+    if key not in _AUTOMATA:
+        _AUTOMATA.clear()
+        made = ahocorasick.Automaton()
+        for n in names:
+            made.add_word(f" {n} ", n)
+        made.make_automaton()
+        _AUTOMATA[key] = made
+    return _AUTOMATA[key]
+
+
+def _named(key: str, names: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _automaton(key, names.value)
+        for batch in batches:
+            held = [sorted({name for _, name in found.iter(text)}) for text in batch["key"].to_pylist()]
+            place = pa.array([i for i, some in enumerate(held) for _ in some], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["doc"].take(place), pa.array([n for some in held for n in some], pa.string())], ["doc", "name_key"])
+
+    return run
+
+
+def mentions(texts: DataFrame, people: DataFrame, name_bytes: int = NAME_BYTES) -> DataFrame:
+    """(doc, name_key): full names of two words or more, however many, that stand in a text (doc, text), each once.
+
+    The names are dealt to automata of a bounded size; a text runs through one once and gives no more rows than it holds names. Null texts hold none.
     """
+    spark = texts.sparkSession
     keys = written(people.select(text_key(F.col("name")).alias("name_key")).filter("name_key like '% %'").distinct(), "names")
-    n_words = F.size(F.split("name_key", " "))
-    opening = keys.groupBy(F.substring_index("name_key", " ", 1).alias("first")).agg(F.collect_set(n_words).alias("sizes"))
-    opening = written(opening, "openings")
-    longest = keys.agg(F.max(n_words)).first()[0] or 0
-    rows = texts.select("doc", F.split(text_key(F.col("text")), " ").alias("w"))
-    spots = F.transform("w", lambda first, i: F.struct(first.alias("first"), F.slice("w", i + 1, longest).alias("ahead")))
-    spots = rows.select("doc", F.explode(spots).alias("s")).select("doc", "s.first", "s.ahead").join(small(opening, 64), "first")
-    fits = F.filter("sizes", lambda n: n <= F.size("ahead"))
-    made = spots.select("doc", F.explode(F.transform(fits, lambda n: F.array_join(F.slice("ahead", 1, n), " "))).alias("name_key"))
-    return made.distinct().join(keys, "name_key", "left_semi")
+    n = -(-(keys.agg(F.sum(F.octet_length("name_key") + 2)).first()[0] or 0) // name_bytes)
+    rows = texts.filter("text is not null").select("doc", F.concat(F.lit(" "), text_key(F.col("text")), F.lit(" ")).alias("key"))
+    rows, shape = written(rows, "texts") if n > 1 else rows, f"doc {dict(texts.dtypes)['doc']}, name_key string"
+    out = spark.createDataFrame([], shape)
+    for i in range(n):
+        part = [r.name_key for r in keys.filter(F.pmod(F.xxhash64("name_key"), F.lit(n)) == i).collect()]  # of bounded size
+        out = out.union(rows.mapInArrow(_named(uuid.uuid4().hex, spark.sparkContext.broadcast(part)), shape))
+    return out.distinct()
 
 
 # The names of columns by role, roles of people and of transactions, words of kinds of people and of inactive rows.

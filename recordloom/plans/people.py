@@ -248,7 +248,7 @@ def dossier_gaps(spark, sf_dir):
 @query("missing_amendments", "SELECT grp, m AS missing FROM (SELECT doc_id // 10 AS grp, list(doc_id * 3 % 13 + 1) AS have, max(doc_id * 3 % 13 + 1) AS top FROM documents GROUP BY 1), LATERAL (SELECT unnest(range(1, top + 1)) AS m) WHERE NOT list_contains(have, m)")
 def missing_amendments(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").selectExpr("cast(floor(doc_id / 10) as bigint) AS grp", "doc_id * 3 % 13 + 1 AS number")
-    return dossier.missing_numbers(rows, "grp", "number")
+    return dossier.missing_numbers(rows, "grp", "number").select("grp", F.explode(F.sequence("first", "last")).alias("missing"))
 
 
 @query(
@@ -264,3 +264,31 @@ def sheet_gaps(spark, sf_dir):
 def file_parts(spark, sf_dir):
     names = table(spark, sf_dir, "documents").selectExpr("doc_id AS doc", "concat('rel', cast(doc_id % 20 as string), '_parte', cast(cast(floor(doc_id / 20) as bigint) as string)) AS name")
     return dossier.part_edges(names).select("src", "dst")
+
+
+#: A file in parts for each process: its documents say which amendment they are and which sheets they have, in words of their own.
+_LEAF = "concat('Processo nº 23000.', lpad(cast({grp} AS string), 6, '0'), '/2024-11', chr(10), 'Fls. ', cast({lo} AS string), ' a folhas ', cast({lo} + doc_id % 4 AS string), chr(10), CASE WHEN doc_id % 3 <> 1 THEN concat(cast({n} AS string), 'º Termo Aditivo', chr(10)) ELSE '' END, coalesce(text, ''))"
+_LEAF_SPARK = _LEAF.format(grp="doc_id div 10", lo="(doc_id % 10 * 5 + 1)", n="CASE WHEN doc_id % 97 = 3 THEN 2000000000 ELSE doc_id * 7 % 11 END")
+_LEAF_DUCK = _LEAF.format(grp="doc_id // 10", lo="(doc_id % 10 * 5 + 1)", n="CASE WHEN doc_id % 97 = 3 THEN 2000000000 ELSE doc_id * 7 % 11 END")
+
+
+@query(
+    "dossier_holes",
+    rf"""WITH t AS (SELECT doc_id AS doc, {_LEAF_DUCK} AS body FROM documents),
+        k AS (SELECT doc, body, coalesce(nullif(regexp_extract(body[:{dossier.HEAD}], '(?i)(?:{_ANY})', 0), ''), regexp_extract(body, '(?i)(?:{_ANY})', 0)) AS m FROM t),
+        c AS (SELECT doc, ltrim(split_part(regexp_extract(body, 'Processo nº ([0-9./-]+)', 1), '/', 1), '0') || '/2024-11' AS process,
+                     CASE WHEN {_KIND} = 'Termo aditivo' THEN try_cast(nullif(regexp_extract(body[:{dossier.HEAD}], '(?i)\b(\d+)[ºo°]?\s*(?:\(\w+\)\s*)?termo aditivo', 1), '') AS INT) END AS amendment,
+                     list_transform(regexp_extract_all(body, '(?i)\b(?:fls?\.|folhas?)\s*(\d{{1,5}})\b', 1), lambda x: x::INT) AS s FROM k),
+        d AS (SELECT *, min(doc) OVER (PARTITION BY process) AS dossier FROM c),
+        r AS (SELECT dossier, 'aditivo' AS kind, '' AS place, amendment::BIGINT AS lo, amendment::BIGINT AS hi FROM d WHERE amendment >= 1
+              UNION SELECT dossier, 'aditivo', '', 0, 0 FROM d WHERE amendment >= 1
+              UNION SELECT dossier, 'parte', '', doc // 10 % 3 + doc % 7, doc // 10 % 3 + doc % 7 FROM d WHERE doc % 2 = 0 AND doc // 10 % 3 + doc % 7 >= 1 UNION SELECT dossier, 'parte', '', 0, 0 FROM d WHERE doc % 2 = 0 AND doc // 10 % 3 + doc % 7 >= 1
+              UNION SELECT dossier, 'folhas', CASE WHEN doc % 2 = 0 THEN 'arquivo autos' || (doc // 10) ELSE 'processo ' || process END, list_min(s), list_max(s) FROM d WHERE len(s) > 0),
+        w AS (SELECT *, max(hi) OVER (PARTITION BY dossier, kind, place ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r)
+        SELECT dossier, kind, place, before + 1 AS begin, lo - 1 AS finish FROM w WHERE lo > before + 1""",
+)
+def dossier_holes(spark, sf_dir):
+    """Amendments, parts and sheets that each dossier lacks, from the texts and file names; one in 97 says a number of two thousand millions."""
+    docs = spark.sql(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat('autos', doc_id div 10, '_parte', doc_id div 10 % 3 + doc_id % 7) ELSE concat('doc', doc_id, 'x') END AS name, {_LEAF_SPARK} AS full FROM {{docs}}", docs=table(spark, sf_dir, "documents"))
+    cards = written(dossier.cards(spread(docs), "doc_id", "full").join(docs.select(C("doc_id").alias("doc"), "name"), "doc"), "cards")
+    return dossier.number_gaps(dossier.dossiers(cards, dossier.reference_edges(cards, ("processo",))), "name").select("dossier", "kind", "place", C("first").alias("begin"), C("last").alias("finish"))
