@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from recordloom.sources import files
-from recordloom.tables import table
+from recordloom.sources import files, office
+from recordloom.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -175,3 +177,116 @@ def sql_dump_rows(spark, sf_dir):
     dumps = table(spark, sf_dir, "supplier").groupBy(_FILE("s_suppkey").alias("f")).agg(F.concat(F.lit("INSERT INTO f (id, nome, nota) VALUES "), F.array_join(F.collect_list(row), ", "), F.lit(";")).alias("t"))
     cells = files.opened(dumps.select(F.concat("f", F.lit(".sql")).alias("path"), F.encode("t", "UTF-8").alias("content")), "sql")
     return cells.groupBy("column").agg(F.count("*").alias("n"), F.count("value").alias("n_values"))
+
+
+_SHEET = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{}</sheetData></worksheet>'
+_BOOK = '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="vendas" sheetId="1" r:id="a"/><sheet name="rascunho" sheetId="2" state="hidden" r:id="b"/></sheets></workbook>'
+_RELS = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="a" Target="worksheets/s1.xml"/><Relationship Id="b" Target="/xl/worksheets/s2.xml"/></Relationships>'
+
+
+def _workbook(rows: list) -> bytes:
+    """A title, a header, rows with a shared product formula and a running sum, a row of sums, and a hidden draft; no formula has a result."""
+    text = lambda at, s: f'<c r="{at}" t="inlineStr"><is><t>{s}</t></is></c>'
+    body = [f'<row r="1">{text("A1", "Relatório de vendas")}</row>']
+    body.append('<row r="3">' + "".join(text(f"{c}3", s) for c, s in zip("ABCDEF", ("Pedido", "Linha", "Qtd", "Preço", "Total", "Acumulado"))) + "</row>")
+    for r, x in enumerate(rows, 4):
+        product = '<f t="shared" ref="E4:E9" si="0">C4*(D4+0)</f>' if r == 4 else '<f t="shared" si="0"/>'
+        running = "E4" if r == 4 else f"F{r - 1}+E{r}"
+        body.append(f'<row r="{r}">' + "".join(f'<c r="{c}{r}"><v>{v}</v></c>' for c, v in zip("ABCD", x)) + f'<c r="E{r}">{product}</c><c r="F{r}"><f>{running}</f></c></row>')
+    last = len(rows) + 3
+    body.append(f'<row r="{last + 1}"><c r="C{last + 1}"><f>SUM(C4:C{last})</f></c><c r="E{last + 1}"><f>SUM($E$4:$E${last})</f></c></row>')
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", _BOOK)
+        z.writestr("xl/_rels/workbook.xml.rels", _RELS)
+        z.writestr("xl/worksheets/s1.xml", _SHEET.format("".join(body)))
+        z.writestr("xl/worksheets/s2.xml", _SHEET.format(f'<row r="2">{text("B2", "rever")}<c r="C2"><f>C2+1</f></c></row>'))
+    return held.getvalue()
+
+
+def _books(spark, sf_dir):
+    """A workbook for the lines of a thousand order keys."""
+    row = F.struct("l_orderkey", "l_linenumber", C("l_quantity").cast("long").alias("q"), F.round(C("l_extendedprice") * 100).cast("long").alias("p"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(_FILE("l_orderkey").alias("path")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, rows in zip(batch.path, batch.rows):
+                yield pd.DataFrame({"path": [f"{path}.xlsx"], "content": [_workbook([(r["l_orderkey"], r["l_linenumber"], r["q"], r["p"]) for r in rows])]})
+
+    return rows.repartition(2 * spark.sparkContext.defaultParallelism, "path").mapInPandas(run, "path string, content binary")
+
+
+_LINES = "SELECT l_orderkey // 1000 || '.xlsx' AS path, l_orderkey AS pedido, l_linenumber AS linha, l_quantity::BIGINT AS qtd, round(l_extendedprice * 100)::BIGINT AS preco, row_number() OVER w + 3 AS line FROM lineitem WINDOW w AS (PARTITION BY l_orderkey // 1000 ORDER BY l_orderkey, l_linenumber, l_quantity::BIGINT, round(l_extendedprice * 100)::BIGINT)"
+
+
+@query(
+    "sheet_formulas",
+    f"""WITH r AS ({_LINES}), s AS (SELECT *, qtd * preco AS total, sum(qtd * preco) OVER (PARTITION BY path ORDER BY line) AS acumulado FROM r)
+        SELECT path, line, "column", value FROM (SELECT path, line, pedido::BIGINT AS pedido, linha::BIGINT AS linha, qtd, preco, total::BIGINT AS total, acumulado::BIGINT AS acumulado FROM s) UNPIVOT (value FOR "column" IN (pedido, linha, qtd, preco, total, acumulado))""",
+)
+def sheet_formulas(spark, sf_dir):
+    """Cells of workbooks whose products and running sums have no stored result; the row of sums is gone."""
+    cells, _ = office.sheet_tables(office.sheets(_books(spark, sf_dir)))
+    return cells.select("path", "line", "column", C("value").cast("long").alias("value"))
+
+
+@query(
+    "sheet_info",
+    "SELECT l_orderkey // 1000 || '.xlsx' AS path, 'vendas' AS part, false AS hidden, false AS draft, 3 AS header_line, 'Relatório de vendas' AS title, 2 * count(*) AS n_computed FROM lineitem GROUP BY 1 UNION ALL SELECT DISTINCT l_orderkey // 1000 || '.xlsx', 'rascunho', true, true, NULL, NULL, 0 FROM lineitem",
+)
+def sheet_info(spark, sf_dir):
+    """Where the header of each sheet is, what stands above, and which sheets are hidden or drafts."""
+    return office.sheet_tables(office.sheets(_books(spark, sf_dir)))[1].withColumn("title", F.when(~C("draft"), C("title")))
+
+
+@query(
+    "page_tables",
+    """WITH w AS (SELECT page_id, list_transform(range(1, 5), lambda i: coalesce(regexp_extract_all(html, '<a href="/([A-Za-z]+)', 1)[i], '-')) AS x FROM pages)
+        SELECT page_id, 1 AS "table", line::INT AS line, i::INT AS i, CASE i WHEN 2 THEN 'Página' ELSE 'Links' END AS "column", CASE i WHEN 2 THEN page_id::VARCHAR || ' & co' WHEN 0 THEN x[[1, 1, 4][line]] WHEN 1 THEN CASE line WHEN 3 THEN NULL ELSE x[line + 1] END END AS value
+        FROM w, (SELECT unnest([1, 2, 3]) AS line), (SELECT unnest([0, 1, 2]) AS i)""",
+)
+def page_tables(spark, sf_dir):
+    """A table of each page's first links, with cells over several rows and columns and end tags left out."""
+    links = F.regexp_extract_all("html", F.lit('<a href="/([A-Za-z]+)'), F.lit(1))
+    word = lambda n: F.coalesce(F.get(links, F.lit(n)), F.lit("-"))
+    page = C("page_id").cast("string")
+    said = F.concat(
+        F.lit("<TABLE class=x><tr><th colspan='2'>Links</th><th>P&aacute;gina</th></tr><tr><td rowspan=2><b>"), word(0), F.lit("</b><td>\n "), word(1), F.lit("<script>var a = 1;</script><td>"), page, F.lit(" &amp; co</tr><tr><td>"), word(2), F.lit("</td><td>"), page,
+        F.lit("\n&amp; co<tr><td>"), word(3), F.lit("<td></td><td>"), page, F.lit(" &amp; <i>co</i></td></tr></TABLE><table><tr><td>too small</td></tr></table>"),
+    )
+    return office.document_tables(table(spark, sf_dir, "pages").select("page_id", F.concat("html", said).alias("html")), "html", "page_id", "html")
+
+
+def _packed(kind: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for text in batch.text:
+                if kind == "docx":
+                    said = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' for x in (text or "").split("\n"))
+                    held = io.BytesIO()
+                    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{said}</w:body></w:document>')
+                    out.append(held.getvalue())
+                else:
+                    said = re.sub(r"([\\{}])", r"\\\1", text or "")
+                    said = re.sub("[^\x00-\x7f]", lambda m: "".join(f"\\u{int.from_bytes(m[0].encode('utf-16-le')[i : i + 2], 'little', signed=True)}?" for i in range(0, len(m[0].encode("utf-16-le")), 2)), said)
+                    out.append((r"{\rtf1\ansi{\fonttbl{\f0 Arial;}}\f0 " + said.replace("\n", "\\par\n") + "}").encode("latin-1"))
+            yield pd.DataFrame({"doc_id": batch.doc_id, "content": out})
+
+    return run
+
+
+@query("docx_text", "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents")
+def docx_text(spark, sf_dir):
+    """Every text out of a word-processor document again."""
+    made = spread(table(spark, sf_dir, "documents")).select("doc_id", "text").mapInPandas(_packed("docx"), "doc_id long, content binary")
+    return office.document_text(made, "docx", "doc_id", "content").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query("rtf_text", "SELECT doc_id, sha256(trim(coalesce(text, ''), chr(10))) AS sha256 FROM documents")
+def rtf_text(spark, sf_dir):
+    """Every text out of an RTF file again, without line breaks at its ends."""
+    made = spread(table(spark, sf_dir, "documents")).select("doc_id", "text").mapInPandas(_packed("rtf"), "doc_id long, content binary")
+    return office.document_text(made, "rtf", "doc_id", "content").select("doc_id", F.sha2("text", 256).alias("sha256"))

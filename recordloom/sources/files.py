@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.base import let
 from recordloom.functions.text import header
+from recordloom.sources import office
+from recordloom.tables import written
 
 # The limits of archive expansion, and how far its levels go.
 MAX_BYTES, MAX_FILES, MAX_LEVELS = 500 << 20, 5000, 3
@@ -259,20 +261,22 @@ def _dump(content: bytes) -> Iterator[tuple[str, int, str, str | None]]:
 
 
 def _sheets(content: bytes) -> Iterator[tuple[str, int, str, str | None]]:
-    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iterfind(".//m:t", ns)) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iterfind("m:si", ns)]
-        targets = {r.get("Id"): r.get("Target").removeprefix("/xl/") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        id_ = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iterfind("m:sheets/m:sheet", ns):
-            name = sheet.get("name")
-            for row in ElementTree.fromstring(z.read(f"xl/{targets[sheet.get(id_)]}")).iterfind(".//m:row", ns):
-                for c in row.iterfind("m:c", ns):
-                    v, inline = c.find("m:v", ns), c.find(".//m:t", ns)
-                    value = inline.text if inline is not None else None if v is None else shared[int(v.text)] if c.get("t") == "s" else v.text
-                    yield name, int(row.get("r")), re.sub(r"\d", "", c.get("r")), value
+    for sheet, _, row, col, value, _ in office.grid(content):
+        yield sheet, row, office.column_letters(col), value
+
+
+def _docx(content: bytes) -> Iterator[tuple[str, int, str, str | None]]:
+    paragraphs, tables = office.docx_text(content)
+    yield "document", 0, "text", "\n".join(paragraphs)
+    for n, rows in enumerate(tables, 1):
+        head, lines = office.valid_table(rows) or ([], [])
+        for line, row in enumerate(lines, 1):
+            for column, value in zip(head, row):
+                yield f"table {n}", line, column, value or None
+
+
+def _rtf(content: bytes) -> Iterator[tuple[str, int, str, str | None]]:
+    yield "document", 0, "text", office.rtf_text(content)
 
 
 def _mail(content: bytes) -> Iterator[tuple[str, int, str, str | None]]:
@@ -295,22 +299,24 @@ def _leaves(element: ElementTree.Element, path: tuple[str, ...] = ()) -> Iterato
 
 
 def _xml(content: bytes) -> Iterator[tuple[str, int, str, str | None]]:
-    """Rows are the children of the root with its most common child tag (the first of those that tie); part is that tag."""
+    """Rows are the children of the root with its most common child tag (the first of those that tie); part is that tag. A name that a row has again gets a number."""
     root = ElementTree.fromstring(content)  # reads the declared encoding
     many: dict[str, int] = {}
     for child in root:
         many[child.tag] = many.get(child.tag, 0) + 1
     tag = max(many, key=many.__getitem__, default=None)
     for line, child in enumerate(c for c in root if c.tag == tag):
-        for column, value in dict(_leaves(child)).items():
-            yield tag, line, column, value
+        seen: dict[str, int] = {}
+        for column, value in _leaves(child):
+            seen[column] = n = seen.get(column, 0) + 1
+            yield tag, line, column if n == 1 else f"{column}_{n}", value
 
 
-READERS = {"sqlite": _sqlite, "sql": _dump, "xlsx": _sheets, "eml": _mail, "xml": _xml}
+READERS = {"sqlite": _sqlite, "sql": _dump, "xlsx": _sheets, "eml": _mail, "xml": _xml, "docx": _docx, "rtf": _rtf}
 # The kind of a file by its extension; SQLite is known by its first bytes.
 KINDS = {
     "csv": "table", "tsv": "table", "txt": "table or prose", "json": "json", "jsonl": "lines", "ndjson": "lines", "xml": "xml", "sql": "sql", "xlsx": "xlsx", "xlsm": "xlsx",
-    "eml": "eml", "html": "page", "htm": "page", "md": "prose", "log": "prose",
+    "docx": "docx", "rtf": "rtf", "eml": "eml", "html": "page", "htm": "page", "md": "prose", "log": "prose",
 }
 SQLITE_MARK = b"SQLite format 3\0".hex().upper()
 
@@ -331,8 +337,14 @@ def kind_of(path: Column, content: Column) -> Column:
 def read(files: DataFrame) -> DataFrame:
     """(path, part, line, column, value, error): the cells of files (path, content) of every kind that has a reader, each file by its own kind.
 
-    A file that can't be read, or has no reader, gives one row with an error and doesn't stop the others. Documents give one cell, text.
+    Archives are read as what they hold. A file that can't be read, is null, empty or a table without rows, or has no reader, gives one row with an error and
+    doesn't stop the others. Documents give one cell, text, and the cells of their tables.
     """
+    zipped = F.lower("path").endswith(".zip")
+    held = written(expanded(files.filter(zipped)).filter(F.col("error").isNotNull() | ~zipped), "members")  # so that archives are opened once
+    failed, files = held.filter("error IS NOT NULL"), files.filter(~zipped).select("path", "content").union(held.filter("error IS NULL").select("path", "content"))
+    void = F.when(F.col("content").isNull(), "no content").when(F.octet_length("content") == 0, "empty file")
+    missing, files = files.filter(void.isNotNull()).select("path", void.alias("error")), files.filter(void.isNull())
     files = files.select("path", "content", kind_of(F.col("path"), F.col("content")).alias("kind"))
     of = lambda *kinds: files.filter(F.col("kind").isin(*kinds))
     texts = lambda *kinds: of(*kinds).select("path", decoded(F.col("content")).alias("text"), "kind")
@@ -351,4 +363,6 @@ def read(files: DataFrame) -> DataFrame:
     out = out.union(shaped(texts("page", "prose").select("path", F.lit(0).alias("line"), F.lit("text").alias("column"), page.alias("value"))))
     for kind in READERS:
         out = out.union(opened(of(kind), kind))
-    return out.union(wrong(files.filter("kind is null"), F.lit("no reader for this kind of file")))
+    out = out.union(wrong(files.filter("kind is null"), F.lit("no reader for this kind of file")))
+    bare = texts("table").filter(F.size(F.filter(_records(F.col("text")), lambda r: F.trim(r) != "")) < 2)
+    return out.union(wrong(bare, F.lit("no rows"))).union(wrong(failed, F.col("error"))).union(wrong(missing, F.col("error")))
