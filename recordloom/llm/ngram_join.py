@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recordloom.graph import components
 from recordloom.llm import words
@@ -231,13 +232,9 @@ def links(sets: DataFrame) -> DataFrame:
     return found
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
-
-    Texts are lower-cased in A-Z, words split at ASCII white space; fewer than five words make one shingle, none (or a null text) an empty set
-    that links with nothing. Rows of one doc_id are one node; a row with a null doc_id links with nothing and has a null component. An empty
-    table gives an empty result; other columns are ignored.
-    """
+def _placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, key, comp, label) for each row of docs: its set, the component of sets that it is in, if there are others in it, and the smallest doc_id of
+    that component, else its own."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(MIN_FRAGMENTS, total // FRAGMENT_BYTES)
     slim = docs.select(F.col("doc_id").cast("long"), "text")
@@ -256,17 +253,61 @@ def near_groups(docs: DataFrame) -> DataFrame:
     found = links(sets)
     forget(sets, kept)
     found = written(named.join(found, F.col("sid") == F.col("node")).select("key", "low", "component"), "linked")
-    lowest = found.groupBy("component").agg(F.min("low").alias("component_id"))
-    linked = found.join(lowest, "component").select("key", "component_id")
-    known = linked.union(classes.filter("many > 1").join(linked, "key", "left_anti").select("key", "low"))
+    lowest = found.groupBy("component").agg(F.min("low").alias("label"))
+    linked = found.join(lowest, "component").select("key", F.concat(F.lit("c"), F.col("component").cast("string")).alias("comp"), "label")
+    known = linked.union(classes.filter("many > 1").join(linked, "key", "left_anti").select("key", F.hex("key"), "low"))
     known = written(known, "known")
     forget(classes, named, found)
-    return listed.join(known, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
-    )
+    placed = listed.join(known, "key", "left").select("doc_id", "n", "key", "comp", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("label"))
+    placed = written(placed.withColumn("comp", F.when(F.col("doc_id").isNotNull(), F.col("comp"))), "placed")
+    forget(rows, known)
+    return placed
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
+
+    Texts are lower-cased in A-Z, words split at ASCII white space; fewer than five words make one shingle, none (or a null text) an empty set
+    that links with nothing. Rows of one doc_id are one node; a row with a null doc_id links with nothing and has a null component. An empty
+    table gives an empty result; other columns are ignored.
+    """
+    placed = _placed(docs)
+    torn = placed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    torn = written(torn.select("doc_id"), "torn")  # documents whose rows are in several components, which they join
+    label = F.col("label")
+    if not torn.isEmpty():
+        joined = components(pick(placed, torn, "doc_id").select(F.col("doc_id").alias("src"), label.alias("dst")))
+        placed, label = placed.join(joined, label == F.col("node"), "left"), F.coalesce("component", "label")
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), label.alias("component_id"))
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = pa.array([key for _, key in words.keyed_sets(batch["text"])], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names[: batch.num_columns], KEY])
+
+
+#: The column that holds the key of a row's set while rows of one id are told apart.
+KEY = "_set_key"
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id. Rows with a null doc_id stay."""
-    found = written(near_groups(docs), "near")
-    return pick(docs, found.filter("component_id <> doc_id"), "doc_id", keep=False)
+    """docs with one document of each component of near copies: the one with the smallest doc_id.
+
+    Texts are judged, not ids: of two texts under one doc_id the one that a smaller document is near goes, the other stays. Rows with the same doc_id and the
+    same set of shingles stay or go together. Rows with a null doc_id, and null, empty and wordless texts, stay. The columns stay as they are.
+    """
+    placed = _placed(docs).filter("doc_id is not null")
+    best = placed.filter("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "key")).alias("best"))
+    gone = F.coalesce(F.struct("doc_id", "key") != F.col("best"), F.lit(False))
+    judged = written(placed.join(best, "comp", "left").select("doc_id", "key", gone.alias("gone")), "judged")
+    ids = written(judged.groupBy("doc_id").agg(F.every("gone").alias("whole"), F.some("gone").alias("some")).filter("some"), "gone")
+    out = pick(docs, ids.filter("whole"), "doc_id", keep=False)
+    parted = ids.filter("NOT whole").select("doc_id")
+    if parted.isEmpty():
+        return out
+    shape = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField(KEY, T.BinaryType())])
+    mixed = pick(out, parted, "doc_id").mapInArrow(_keyed, shape)
+    drop = judged.filter("gone").select(F.col("doc_id").alias("_gone_id"), F.col("key").alias("_gone_key")).distinct()
+    kept = mixed.join(drop, (F.col("doc_id") == F.col("_gone_id")) & (F.col(KEY) == F.col("_gone_key")), "left_anti").drop(KEY)
+    return pick(out, parted, "doc_id", keep=False).union(kept)

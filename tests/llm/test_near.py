@@ -59,3 +59,38 @@ def test_a_large_group_of_near_copies(spark, block, monkeypatch):
     got = ngram_join.near_groups(spark.createDataFrame([(i, t) + (None,) * 11 for i, t in rows], SCHEMA)).collect()
     want = brute(rows)
     assert all((r.n_shingles, r.component_id) in want[r.doc_id] for r in got)
+
+
+def test_rows_of_one_id_are_one_node_and_no_text_is_lost(spark):
+    rng = random.Random(9)
+    a, b, c = (words(rng, 40) for _ in range(3))
+    rows = [(0, a), (1, a + " x"), (1, b), (2, b + " y"), (3, c), (3, c), (4, words(rng, 30)), (4, None), (None, a), (5, b), (6, c + " z"), (6, words(rng, 9))]
+    docs = spark.createDataFrame([(i, t) + (None,) * 11 for i, t in rows], SCHEMA)
+    want = brute(rows)
+    for r in ngram_join.near_groups(docs).collect():
+        assert (r.component_id is None) if r.doc_id is None else (r.n_shingles, r.component_id) in want[r.doc_id]
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.without_near_copies(docs).collect()), key=str)
+    assert kept == sorted([(0, a), (1, b), (3, c), (3, c), rows[6], rows[7], rows[8], rows[11]], key=str)
+
+
+def test_every_text_has_a_near_copy_left(spark):
+    rng = random.Random(12)
+    bases = [words(rng, 30) for _ in range(12)]
+    rows = []
+    for _ in range(150):
+        w = rng.choice(bases).split()
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(30)] = "x" + words(rng, 1)
+        rows.append((rng.randint(0, 60), " ".join(w)))
+    docs = spark.createDataFrame([(i, t) + (None,) * 11 for i, t in rows], SCHEMA)
+    want = brute(rows)
+    assert all((r.n_shingles, r.component_id) in want[r.doc_id] for r in ngram_join.near_groups(docs).collect())
+    kept = {(r.doc_id, r.text) for r in ngram_join.without_near_copies(docs).collect()}
+    texts = dict(enumerate(sorted({t for _, t in rows})))
+    parts = brute(texts.items())
+    component = {t: next(iter(parts[k]))[1] for k, t in texts.items()}
+    assert {component[t] for _, t in kept} == set(component.values())
+    best = {}
+    for i, t in rows:
+        best[component[t]] = min(best.get(component[t], i), i)
+    assert all(i == best[component[t]] for i, t in kept)
