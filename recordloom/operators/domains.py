@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import ids, money
 from recordloom.functions.text import blank, boolean, name_key, plain
-from recordloom.tables import free_name
+from recordloom.tables import free_name, written
 
 # Words of stock movements and payment statuses.
 ENTRY, EXIT = r"^(entr|compra|devol|in$|e$)", r"^(said|venda|baixa|out$|s$)"
@@ -62,12 +62,24 @@ def sales(rows: DataFrame) -> DataFrame:
     rank = 10 * manual + missing time + missing fields. A row with another prefix than the most common, but number, amount and client of a row with that
     prefix, is a duplicate; later rows of an accepted code are booked already; rows with a problem are orphans; the rest is accepted, with the
     channel filled from later rows of the code.
+
+    Rows may have two more columns: ambiguous (the reference fits several clients: accepted without one, with an alert) and currency (any but BRL is a
+    problem). problem is the first one, problems lists all; alert also tells a booked row whose amount is another than the accepted one's.
     """
+    for name, kind in (("ambiguous", "boolean"), ("currency", "string")):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast(kind))
+    vague = F.coalesce("ambiguous", F.lit(False))
+    problems = F.array_compact(
+        F.array(
+            F.when(~F.coalesce("client_ok", F.lit(False)) & ~vague, "cliente desconhecido"), F.when(F.col("sold_at").isNull(), "sem data"), F.when(F.col("cents").isNull(), "sem valor"),
+            F.when(F.coalesce("currency", F.lit("BRL")) != "BRL", F.concat(F.lit("moeda "), "currency", F.lit(" sem cotação"))),
+        )
+    )
     prefix, number = F.regexp_extract("code", "^([A-Za-z]*)", 1), F.regexp_extract("code", "([0-9]+)$", 1)
     main = rows.groupBy(prefix.alias("p")).count().orderBy(F.desc("count"), "p").limit(1)
     rank = 10 * F.col("manual") + F.col("sold_at").isNull().cast("int") + F.col("channel").isNull().cast("int")
-    problem = F.when(~F.coalesce("client_ok", F.lit(False)), "cliente desconhecido").when(F.col("sold_at").isNull(), "sem data").when(F.col("cents").isNull(), "sem valor")
-    made = rows.withColumn("prefix", prefix).withColumn("number", number).withColumn("rank", rank).withColumn("problem", problem)
+    made = rows.withColumn("prefix", prefix).withColumn("number", number).withColumn("rank", rank).withColumn("problems", problems).withColumn("problem", F.get("problems", F.lit(0)))
     made = made.crossJoin(F.broadcast(main.select(F.col("p").alias("main"))))  # one row
     originals = made.filter("prefix = main").groupBy(F.col("number").alias("_n"), F.col("cents").alias("_c"), F.col("client").alias("_k")).agg(F.min("code").alias("twin_of"))
     twins = made.join(originals, (F.col("number") == F.col("_n")) & (F.abs(F.col("cents") - F.col("_c")) < 1) & (F.col("client") == F.col("_k")) & (F.col("cents") == F.col("_c")), "left")
@@ -76,9 +88,13 @@ def sales(rows: DataFrame) -> DataFrame:
     valid = ~twin & F.col("problem").isNull()
     flagged = twins.withColumn("twin", twin).withColumn("valid", valid)
     flagged = flagged.withColumn("taken", F.coalesce(F.max(F.col("valid").cast("int")).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    flagged = flagged.withColumn("later", F.first("channel", ignorenulls=True).over(ordered.rowsBetween(1, Window.unboundedFollowing)))
+    booked = F.first(F.when(F.col("valid"), F.col("cents")), ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    flagged = flagged.withColumn("booked", booked).withColumn("later", F.first("channel", ignorenulls=True).over(ordered.rowsBetween(1, Window.unboundedFollowing)))
     verdict = F.when(F.col("twin"), "DUPLICATA").when(F.col("taken") == 1, "JÁ LANÇADA").when(F.col("problem").isNotNull(), "ÓRFÃ").otherwise("ACEITA")
+    differs = (verdict == "JÁ LANÇADA") & (F.abs(F.coalesce("cents", F.lit(0)) - F.coalesce("booked", F.lit(0))) >= 1)
+    alert = F.when(differs, F.concat(F.lit("valor diferente ("), "cents", F.lit(" × "), "booked", F.lit(")"))).when((verdict == "ACEITA") & vague, "cliente AMBÍGUO — não atribuído").otherwise("")
     return flagged.select(
+        F.array_join("problems", "; ").alias("problems"), F.coalesce(alert, F.lit("valor diferente")).alias("alert"), F.when(~vague, F.col("client")).alias("assigned"),
         "code", "source", "client", "cents", "sold_at", "rank", verdict.alias("verdict"), F.when(F.col("twin"), F.col("twin_of")).alias("twin_of"), F.coalesce("problem", F.lit("")).alias("problem"), F.coalesce("channel", "later").alias("channel")
     )
 
@@ -97,7 +113,7 @@ SORTED = 1 << 16
 
 def median(rows: DataFrame, c: Column) -> float | None:
     """The exact median of a column without nulls: quantiles narrow the range until what lies in it is few, so no task holds all values."""
-    held = rows.select(c.cast("double").alias("v")).filter("v is not null")
+    held = written(rows.select(c.cast("double").alias("v")).filter("v is not null"), "values")  # each round reads this one column, not the input again
     n, below = held.count(), 0
     while n:
         m = held.count()
@@ -120,8 +136,8 @@ def outliers(rows: DataFrame, amount: str, times: float = 50, at_least: int = 10
 
 
 def in_cents(rows: DataFrame, total: str, qty: str, price: str) -> DataFrame:
-    """One row: whether a column of totals holds cents, by the median of total / (qty * price) and the share of whole numbers."""
-    ratio = median(rows, F.col(total) / (F.col(qty) * F.col(price)))
+    """One row: whether a column of totals holds cents, by the median of total / (qty * price), where that isn't 0, and the share of whole numbers."""
+    ratio = median(rows, F.try_divide(F.col(total), F.col(qty) * F.col(price)))
     whole = F.avg(F.col(total).cast("string").rlike(r"^\d+(\.0)?$").cast("double"))
     return rows.agg(whole.alias("whole")).select(F.lit(ratio).cast("double").alias("ratio"), "whole", F.coalesce(F.lit(ratio).between(95, 105) & (F.col("whole") > 0.95), F.lit(False)).alias("cents"))
 

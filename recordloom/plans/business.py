@@ -77,7 +77,29 @@ def _sales(spark, sf_dir):
 
 @query("sales_dedup", _JUDGED + " SELECT code, source, client, cents, rank, verdict, twin_of, problem, channel FROM v")
 def sales_dedup(spark, sf_dir):
-    return _sales(spark, sf_dir).drop("sold_at")
+    return _sales(spark, sf_dir).select("code", "source", "client", "cents", "rank", "verdict", "twin_of", "problem", "channel")
+
+
+_DOUBT = "CASE WHEN number::BIGINT % 13 = 0 THEN true END AS ambiguous, CASE number::BIGINT % 19 WHEN 0 THEN 'USD' WHEN 1 THEN 'BRL' END AS currency"
+
+
+@query(
+    "sales_alerts",
+    _JUDGED.split(", j AS (")[0] + f""", j AS (SELECT *, coalesce(ambiguous, false) AS vague FROM (SELECT s.*, c.c_custkey IS NOT NULL AS client_ok, regexp_extract(code, '^([A-Za-z]*)', 1) AS prefix, regexp_extract(code, '([0-9]+)$', 1) AS number, {_DOUBT},
+        10 * manual + (sold_at IS NULL)::INT + (channel IS NULL)::INT AS rank FROM sales_raw s LEFT JOIN customer c ON s.client = c.c_custkey)),
+    p AS (SELECT *, concat_ws('; ', CASE WHEN NOT client_ok AND NOT vague THEN 'cliente desconhecido' END, CASE WHEN sold_at IS NULL THEN 'sem data' END, CASE WHEN cents IS NULL THEN 'sem valor' END, CASE WHEN currency <> 'BRL' THEN 'moeda ' || currency || ' sem cotação' END) AS problems FROM j),
+    o AS (SELECT DISTINCT number, cents, client FROM p WHERE prefix = 'PV'),
+    t AS (SELECT p.*, prefix <> 'PV' AND o.number IS NOT NULL AS twin FROM p LEFT JOIN o USING (number, cents, client)),
+    w AS (SELECT *, first_value(CASE WHEN NOT twin AND problems = '' THEN cents END IGNORE NULLS) OVER (PARTITION BY code ORDER BY rank, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS booked FROM t)
+    SELECT code, source, CASE WHEN NOT vague THEN client END AS assigned, problems, CASE WHEN twin THEN 'DUPLICATA' WHEN booked IS NOT NULL THEN 'JÁ LANÇADA' WHEN problems <> '' THEN 'ÓRFÃ' ELSE 'ACEITA' END AS verdict,
+        CASE WHEN NOT twin AND booked <> cents THEN 'valor diferente (' || cents || ' × ' || booked || ')' WHEN NOT twin AND booked IS NULL AND problems = '' AND vague THEN 'cliente AMBÍGUO — não atribuído' ELSE '' END AS alert FROM w""",
+)
+def sales_alerts(spark, sf_dir):
+    """Verdicts with all problems, other currencies, ambiguous clients and booked rows of another amount."""
+    known = table(spark, sf_dir, "customer").select(C("c_custkey").alias("client"), F.lit(True).alias("client_ok"))
+    number = F.regexp_extract("code", "([0-9]+)$", 1).cast("long")
+    rows = view(spark, sf_dir, "sales_raw").withColumns({"ambiguous": F.when(number % 13 == 0, True), "currency": F.when(number % 19 == 0, "USD").when(number % 19 == 1, "BRL")})
+    return domains.sales(rows.join(known, "client", "left")).select("code", "source", "assigned", "problems", "verdict", "alert")
 
 
 @query("twin_orders", _JUDGED + " SELECT code, twin_of, client, cents FROM v WHERE verdict = 'DUPLICATA'")

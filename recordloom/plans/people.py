@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import ids
 from recordloom.graph import components
-from recordloom.operators import dossier, entity
+from recordloom.operators import crosscheck, dossier, entity
 from recordloom.plans.dirty import TYPE, duck, view
 from recordloom.plans.scalars import d_cpf, d_digits, d_name, d_pad
 from recordloom.tables import spread, table, written
@@ -146,10 +146,7 @@ def name_mentions(spark, sf_dir):
 
 @query("doc_cpf_join", duck("docs_headed", "people") + f", x AS ({_TXT_DUCK}), f AS (SELECT doc, unnest(regexp_extract_all(text, 'CPF ([0-9]{{11}})', 1)) AS cpf FROM x) SELECT cpf, count(DISTINCT doc) AS n_docs, array_to_string(list_sort(list_distinct(list(doc))), ',') AS docs FROM f WHERE {d_cpf('cpf')} AND cpf IN (SELECT cpf11 FROM people) GROUP BY 1")
 def doc_cpf_join(spark, sf_dir):
-    found = _texts(spark, sf_dir).select("doc", F.explode(F.regexp_extract_all("text", F.lit("CPF ([0-9]{11})"), F.lit(1))).alias("cpf")).filter(ids.cpf_valid(C("cpf")))
-    known = view(spark, sf_dir, "people").select(C("cpf11").alias("cpf"))
-    docs = F.array_join(F.transform(F.array_sort(F.collect_set("doc")), lambda d: d.cast("string")), ",")
-    return found.join(known, "cpf", "left_semi").groupBy("cpf").agg(F.count_distinct("doc").alias("n_docs"), docs.alias("docs"))
+    return crosscheck.cited(_texts(spark, sf_dir), view(spark, sf_dir, "people").select(C("cpf11").alias("cpf")), "cpf")
 
 
 def _cards(spark, sf_dir):
@@ -292,3 +289,30 @@ def dossier_holes(spark, sf_dir):
     docs = spark.sql(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat('autos', doc_id div 10, '_parte', doc_id div 10 % 3 + doc_id % 7) ELSE concat('doc', doc_id, 'x') END AS name, {_LEAF_SPARK} AS full FROM {{docs}}", docs=table(spark, sf_dir, "documents"))
     cards = written(dossier.cards(spread(docs), "doc_id", "full").join(docs.select(C("doc_id").alias("doc"), "name"), "doc"), "cards")
     return dossier.number_gaps(dossier.dossiers(cards, dossier.reference_edges(cards, ("processo",))), "name").select("dossier", "kind", "place", C("first").alias("begin"), C("last").alias("finish"))
+
+
+#: A line for each document: somebody's name and a number of seven kinds, then the text.
+_CITED = """SELECT doc_id AS doc, nome, CASE doc_id % 7 WHEN 0 THEN '123.456.789-09' WHEN 1 THEN outro WHEN 2 THEN proprio WHEN 3 THEN '529.982.247-25' WHEN 4 THEN '111.444.777-00' WHEN 5 THEN concat('(11) 91234-', lpad(cast(doc_id % 100 AS string), 4, '0')) ELSE 'nenhum' END AS num, text
+    FROM (SELECT d.doc_id, d.text, trim(regexp_replace(n.name, '  +', ' '{g})) AS nome, n.cpf11 AS proprio, m.cpf11 AS outro FROM {docs} d JOIN {people} n ON n.k = d.doc_id % 100 JOIN {people} m ON m.k = d.doc_id % 100 + 1)"""
+
+
+@query(
+    "doc_conflicts",
+    duck("people") + f""", x AS ({_CITED.format(docs="documents", people="people", g=", 'g'")}),
+        y AS (SELECT doc, num, regexp_replace(num, '[^0-9]', '', 'g') AS d, doc % 7 = 5 AS ring, ' ' || trim(regexp_replace(lower(strip_accents('Cliente ' || nome || ', documento ' || num || ' compareceu.')), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM x WHERE doc % 7 <> 6),
+        k AS (SELECT trim(regexp_replace(lower(strip_accents({d_name('name')})), '[^a-z0-9]+', ' ', 'g')) AS name_key, max(k) AS id, arg_max(cpf11, k) AS cpf, arg_max(phone, k) AS phone FROM people WHERE name IS NOT NULL GROUP BY 1),
+        n AS (SELECT y.*, k.id, k.cpf, right(regexp_replace(k.phone, '[^0-9]', '', 'g'), 9) AS nine, k.phone FROM y JOIN k ON contains(t, ' ' || name_key || ' ') WHERE name_key LIKE '% %'),
+        g AS (SELECT doc, array_to_string(list_sort(list(id)), ', ') AS person, list(id) AS ids FROM n GROUP BY 1),
+        o AS (SELECT cpf11 AS d, max(k) AS owner FROM people GROUP BY 1)
+        SELECT y.doc, 1 AS line, coalesce(person, '') AS person, 'cpf' AS field, '***.456.789-**' AS found, '' AS registered, '{crosscheck.TEST}' AS situation FROM y LEFT JOIN g USING (doc) WHERE d = '12345678909'
+        UNION SELECT y.doc, 1, person, 'cpf', '***.' || d[4:6] || '.' || d[7:9] || '-**', '***.' || d[4:6] || '.' || d[7:9] || '-**', '{crosscheck.OTHERS}' FROM y JOIN g USING (doc) JOIN o USING (d) WHERE NOT ring AND NOT list_contains(ids, owner)
+        UNION SELECT n.doc, 1, id::VARCHAR, 'cpf', '***.' || d[4:6] || '.' || d[7:9] || '-**', '***.' || cpf[4:6] || '.' || cpf[7:9] || '-**', CASE WHEN {d_cpf('d')} THEN '{crosscheck.DIFFERENT}' ELSE '{crosscheck.INVALID}' END FROM n LEFT JOIN o USING (d) WHERE NOT ring AND owner IS NULL AND cpf <> d
+        UNION SELECT doc, 1, id::VARCHAR, 'telefone', '(**) *****-' || right(d, 4), coalesce(CASE WHEN length(regexp_replace(phone, '[^0-9]', '', 'g')) >= 8 THEN '(**) *****-' || right(nine, 4) END, phone), '{crosscheck.OTHER_PHONE}' FROM n WHERE ring AND nine <> '' AND nine <> right(d, 9)""",
+)
+def doc_conflicts(spark, sf_dir):
+    """What documents say about people whom a line names, against the register."""
+    rows = spark.sql(_CITED.format(docs="{docs}", people="{people}", g=""), docs=table(spark, sf_dir, "documents"), people=view(spark, sf_dir, "people"))
+    texts = rows.select("doc", F.concat(F.lit("Cliente "), "nome", F.lit(", documento "), "num", F.lit(" compareceu.\n"), "text").alias("text"))
+    people = view(spark, sf_dir, "people").select(C("k").alias("id"), "name", C("cpf11").alias("cpf"), "phone")
+    return crosscheck.conflicts(spread(texts), people).filter("line = 1")
+

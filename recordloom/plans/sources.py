@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
@@ -12,8 +13,8 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from recordloom.sources import files, office
-from recordloom.tables import spread, table
+from recordloom.sources import files, office, records, sinks
+from recordloom.tables import shared_dir, spread, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -290,3 +291,35 @@ def rtf_text(spark, sf_dir):
     """Every text out of an RTF file again, without line breaks at its ends."""
     made = spread(table(spark, sf_dir, "documents")).select("doc_id", "text").mapInPandas(_packed("rtf"), "doc_id long, content binary")
     return office.document_text(made, "rtf", "doc_id", "content").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query(
+    "record_schemas",
+    """SELECT (event_id // 1000)::VARCHAR AS path, count(*) AS n_records, count(DISTINCT event_id % 3 = 0) AS n_schemas,
+        CASE WHEN count(*) FILTER (event_id % 1999 = 5) > 0 THEN 'event_id: número, texto; user_id: número' END AS mixed_ids,
+        'OBJECT<event_id: ' || CASE WHEN count(*) FILTER (event_id % 1999 = 5) = 0 THEN 'BIGINT' WHEN count(*) FILTER (event_id % 1999 <> 5) > 0 THEN 'VARIANT' ELSE 'STRING' END || CASE WHEN count(*) FILTER (event_id % 3 = 0) > 0 THEN ', extra: ARRAY<STRING>' ELSE '' END || ', kind: STRING, user_id: BIGINT>' AS schema
+        FROM events GROUP BY 1""",
+)
+def record_schemas(spark, sf_dir):
+    """Files of JSON lines: sets of fields, the schema of all, and ids that are numbers here and texts there."""
+    key = C("event_id").cast("string")
+    one = F.concat(
+        F.lit('{"event_id": '), F.when(C("event_id") % 1999 == 5, F.concat(F.lit('"E'), key, F.lit('"'))).otherwise(key), F.lit(', "user_id": '), C("user_id").cast("string"), F.lit(', "kind": "'), "event_type", F.lit('"'),
+        F.when(C("event_id") % 3 == 0, F.lit(', "extra": ["a"]}')).otherwise(F.lit("}")),
+    )
+    texts = table(spark, sf_dir, "events").groupBy(_FILE("event_id").alias("path")).agg(F.array_join(F.collect_list(one), "\n").alias("text"))
+    return records.schemas(files.json_lines(texts)[0], "path")
+
+
+@query(
+    "package_manifest",
+    'SELECT \'clientes\' AS "table", count(*) AS n_rows, 3 AS n_columns, count(*) AS n_read, count(*) FILTER (c_custkey % 3 <> 0) AS n_filled FROM customer UNION ALL SELECT \'pedidos\', count(*), 3, count(*), count(*) FILTER (o_orderkey % 5 <> 0) FROM orders',
+)
+def package_manifest(spark, sf_dir):
+    """A package with a partitioned table: what the manifest says beside what is read back; a password column stays out."""
+    people = table(spark, sf_dir, "customer").select(C("c_custkey").alias("id"), C("c_name").alias("nome"), F.when(C("c_custkey") % 3 != 0, C("c_mktsegment")).alias("obs"), F.lit("x").alias("senha"))
+    orders = table(spark, sf_dir, "orders").select(C("o_orderkey").alias("id"), F.when(C("o_orderkey") % 5 != 0, C("o_custkey")).alias("obs"), F.year("o_orderdate").alias("ano"))
+    path = f"{shared_dir(spark)}/package-{uuid.uuid4().hex}"
+    told = sinks.package({"clientes": people, "pedidos": orders}, path, "parquet", {"pedidos": ("ano",)})
+    back = sinks.summary({n: spark.read.parquet(f"{path}/{n}") for n in ("clientes", "pedidos")}).select("table", C("n_rows").alias("n_read"))
+    return told.join(back, "table").select("table", "n_rows", "n_columns", "n_read", F.element_at("filled", "obs").alias("n_filled"))
