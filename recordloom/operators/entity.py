@@ -240,6 +240,65 @@ def populations(rows: DataFrame, path: str = "path") -> DataFrame:
     return counted.join(F.broadcast(best), F.lit(True)).select("kind", "n", (F.col("kind") == F.col("best")).alias("main"))  # best is one row
 
 
+CONSENT = r"consent|optin|opt_in|aceite|autoriza"
+
+
+def side_registry(rows: DataFrame, path: str = "path") -> DataFrame:
+    """(kind, name, email, phone, consent, may_contact) of leads and staff, by the roles of their columns, apart from clients and never merged with them.
+
+    The first column whose name tells of consent counts; without one both are null. What isn't known to be a yes may not be contacted. Columns of a role are
+    tried in their order; a missing one gives null. Registers of clients are left out.
+    """
+    _, roles = table_kind([c for c in rows.columns if c != path])
+    one = lambda role: first_filled(*(F.col(f"`{c}`").cast("string") for c in roles[role])) if roles.get(role) else F.lit(None).cast("string")
+    told = next((c for c in rows.columns if re.search(CONSENT, c)), None)
+    yes = boolean(F.col(f"`{told}`").cast("string")) if told else None
+    consent = F.when(yes, "sim").when(~yes, "não").otherwise("não informado") if told else F.lit(None).cast("string")
+    may = F.when(F.coalesce(yes, F.lit(False)), "sim").otherwise("NÃO (sem consentimento registrado — LGPD art. 7º, I)") if told else F.lit(None).cast("string")
+    kind = people_kind(F.col(path))
+    return rows.filter(kind != "clientes").select(
+        kind.alias("kind"), person_name(one("nome")).alias("name"), email(one("email"))["value"].alias("email"), phone(one("telefone"), keep_short=True)["value"].alias("phone"), consent.alias("consent"), may.alias("may_contact"),
+    )
+
+
+def assigned_roles(columns: list[str]) -> dict[str, str]:
+    """(role: column), at most one column a role and one role a column: the most pairs, and of these the best by name.
+
+    A column that has a name of the role scores highest, by the place of that name in the role's list; one with a number at its end a little less; one that has
+    a name of the role as a part least. Columns take turns in finding a role, and make room where another role serves them too.
+    """
+    score: dict[str, dict[str, float]] = {}
+    for c in columns:
+        base = re.sub(r"_\d+$", "", c)
+        for role, names in ROLES.items():
+            if base in names:
+                score.setdefault(c, {})[role] = 3 - names.index(base) / len(names) - (0.5 if base != c else 0)
+            elif part := [n for n in names if len(n) > 3 and n in base.split("_")]:
+                score.setdefault(c, {})[role] = 1 - names.index(part[0]) / len(names)
+    held: dict[str, str] = {}
+
+    def place(c: str, tried: set[str]) -> bool:
+        for role in sorted(score[c], key=lambda r: (-score[c][r], r)):
+            if role not in tried:
+                tried.add(role)
+                if role not in held or place(held[role], tried):
+                    held[role] = c
+                    return True
+        return False
+
+    for c in sorted(score, key=lambda c: (-max(score[c].values()), columns.index(c))):
+        place(c, set())
+    return held
+
+
+def mapped_columns(rows: DataFrame, roles: dict[str, str]) -> DataFrame:
+    """rows with the columns of roles (role: column) under the first name of their role, where their own name tells none and that name is free, so that any
+    table has the names that the operators know."""
+    taken = {c.lower() for c in rows.columns}
+    named = {column: ROLES[role][0] for role, column in roles.items() if role_of(column) is None and ROLES[role][0] not in taken}
+    return rows.select(*[F.col(f"`{c}`").alias(named.get(c, c)) for c in rows.columns])
+
+
 def inactive(status: Column) -> Column:
     """Whether a status says that a row is deleted or blocked."""
     return F.coalesce(status.rlike(INACTIVE), F.lit(False))

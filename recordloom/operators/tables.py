@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions import dates, ids, money
-from recordloom.functions.text import BLANK_TABLE, blank, filled, state
+from recordloom.functions.text import BLANK_TABLE, blank, filled, repaired, state
 
 # Hints for types in column names, and the words that open a total row.
 HINTS = {
@@ -65,6 +65,47 @@ def profile(long: DataFrame) -> DataFrame:
     )
 
 
+def described(df: DataFrame, key: str, kinds: dict[str, str]) -> DataFrame:
+    """A row for each column of df but key, in the words of a data dictionary: column, kind, n_filled, n_empty, pct_filled, n_distinct, example, least, greatest, total.
+
+    example has the first three different values in the order of key, joined by commas. Values of the kinds valor and numero are compared and added as numbers,
+    those of data as days; other kinds have neither least, greatest nor total. Values that don't fit their kind don't count there.
+    """
+    long = cells(df, key).withColumn("value", filled(F.col("value"), BLANK_TABLE))
+    kind = F.create_map(*(x for c in df.columns if c != key for x in (F.lit(c), F.lit(kinds.get(c, "texto")))))[F.col("column")]
+    long = long.withColumn("kind", kind)
+    number = F.when(F.col("kind") == "valor", money.money(F.col("value")).cast("decimal(28,4)")).when(F.col("kind") == "numero", F.translate("value", ",", ".").try_cast("decimal(28,4)"))
+    day = F.when(F.col("kind") == "data", dates.to_date(F.col("value")))
+    text = lambda n, d: F.coalesce(n.cast("double").cast("string"), d.cast("string"))
+    found = long.groupBy("column", "kind").agg(
+        F.count("value").alias("n_filled"), (F.count("*") - F.count("value")).alias("n_empty"), F.round(100.0 * F.count("value") / F.count("*"), 1).alias("pct_filled"), F.count_distinct("value").alias("n_distinct"),
+        text(F.min(number), F.min(day)).alias("least"), text(F.max(number), F.max(day)).alias("greatest"), F.sum(number).cast("double").alias("total"),
+    )
+    first = long.filter("value is not null").groupBy("column", "value").agg(F.min("key").alias("at"))
+    place = F.row_number().over(Window.partitionBy("column").orderBy("at", "value"))
+    some = first.withColumn("place", place).filter("place <= 3").groupBy("column").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("some"))
+    shown = F.array_join(F.transform("some", lambda x: x["value"]), ", ")
+    return found.join(some, "column", "left").select("column", "kind", "n_filled", "n_empty", "pct_filled", "n_distinct", F.coalesce(shown, F.lit("")).alias("example"), "least", "greatest", "total")
+
+
+def tidied(df: DataFrame) -> DataFrame:
+    """df scrubbed, its texts with broken letters mended, and without the columns that hold nothing at all."""
+    texts = [c for c, kind in df.dtypes if kind == "string"]
+    mended = df.withColumns({c: repaired(F.col(f"`{c}`")) for c in texts})
+    rows = scrubbed(mended)
+    held = rows.agg(*[F.count(filled(F.col(f"`{c}`").cast("string"), BLANK_TABLE)).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
+    return rows.select(*[F.col(f"`{c}`") for i, c in enumerate(df.columns) if held[f"c{i}"]])
+
+
+def tally(**kinds: DataFrame) -> DataFrame:
+    """(what, kind, n): how often each kind occurs in tables of remarks that have a column kind, given by what they are (problems, findings, conflicts, assumptions)."""
+    out = None
+    for what, df in kinds.items():
+        part = df.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "kind", "n")
+        out = part if out is None else out.union(part)
+    return out
+
+
 def shares(long: DataFrame) -> DataFrame:
     """Per column the shares of values that fit each type, over all values that aren't blank."""
     v = F.trim(F.col("value"))
@@ -157,4 +198,4 @@ def distinct_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, df.groupBy(*df.columns).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("removed"))
 
 
-__all__ = ["blank", "cells", "clean", "distinct_rows", "hinted", "inferred", "kind_of", "normalised", "profile", "scrubbed", "shares", "unique_headers"]
+__all__ = ["blank", "cells", "clean", "described", "distinct_rows", "hinted", "inferred", "kind_of", "normalised", "profile", "scrubbed", "shares", "tally", "tidied", "unique_headers"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recordloom.functions import ids
 from recordloom.functions import text as T
 from recordloom.operators import dossier, entity, keysync, privacy
+from recordloom.operators import tables as tabs
 from recordloom.plans.dirty import duck, view
 from recordloom.plans.people import _TXT_DUCK, _texts
 from recordloom.plans.scalars import d_cpf, d_name
@@ -135,13 +136,75 @@ _BOOKED = """SELECT cast(o_orderkey AS string) AS pedido_id, CASE o_orderkey % 3
         CASE pago WHEN 'sim' THEN 'sim' WHEN 'nao' THEN 'não' ELSE 'não informado' END AS paid, 'pendente (a confirmar)' AS status, '**** 1234' AS card, obs FROM b, LATERAL (SELECT regexp_extract(cliente_email, '[0-9]+')::BIGINT AS c) m""",
 )
 def transaction_shape(spark, sf_dir):
+    return _shaped(spark, sf_dir)
+
+
+#: Other names of the columns, which only a part of them tells.
+_OTHER_NAMES = {"pedido_id": "codigo_pedido", "valor": "valor_bruto", "data_venda": "data_lancamento", "pago": "foi_quitado_ja", "status": "situacao_atual", "cartao": "cartao_usado"}
+
+
+def _shaped(spark, sf_dir, names=None):
     known = table(spark, sf_dir, "customer")
     index = known.select(F.lit("id").alias("kind"), C("c_custkey").cast("string").alias("key"), F.lit(1).cast("long").alias("n"), C("c_custkey").alias("cluster"))
     index = index.union(known.select(F.lit("email"), F.concat(F.lit("c"), C("c_custkey").cast("string"), F.lit("@mail.com")), F.lit(1).cast("long"), C("c_custkey")))
-    out = entity.transactions(spark.sql(_BOOKED.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders")), "venda", index)
+    rows = spark.sql(_BOOKED.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+    if names:
+        rows = rows.withColumnsRenamed(names)
+        rows = entity.mapped_columns(rows, entity.assigned_roles(rows.columns))
+    out = entity.transactions(rows, "venda", index)
     return out.drop("items").withColumn("date", C("date").cast("string"))
 
 
+@query("mapped_transactions", SQL["transaction_shape"])
+def mapped_transactions(spark, sf_dir):
+    """The transactions of transaction_shape from a table with other column names."""
+    return _shaped(spark, sf_dir, _OTHER_NAMES)
+
+
+_DICT = "SELECT c_custkey AS k, CASE WHEN c_custkey % 6 = 0 THEN ' - ' ELSE c_mktsegment END AS area, concat('R$ ', replace(cast(cast(abs(c_acctbal) AS decimal(18,2)) AS string), '.', ',')) AS saldo, concat(lpad(cast(c_custkey % 28 + 1 AS string), 2, '0'), '/03/', cast(2000 + c_custkey % 20 AS string)) AS desde, cast(c_nationkey AS string) AS nacao FROM customer"
+
+
+@query(
+    "column_dictionary",
+    f"""WITH d AS ({_DICT}), l AS (SELECT k, 'area' AS "column", 'texto' AS kind, CASE WHEN area <> ' - ' THEN area END AS v, NULL::DECIMAL(18,2) AS n, NULL::DATE AS day FROM d
+            UNION ALL SELECT k, 'saldo', 'valor', saldo, replace(replace(saldo, 'R$ ', ''), ',', '.')::DECIMAL(18,2), NULL FROM d UNION ALL SELECT k, 'desde', 'data', desde, NULL, strptime(desde, '%d/%m/%Y')::DATE FROM d UNION ALL SELECT k, 'nacao', 'numero', nacao, nacao::DECIMAL(18,2), NULL FROM d),
+        f AS (SELECT "column", v, row_number() OVER (PARTITION BY "column" ORDER BY min(k), v) AS i FROM l WHERE v IS NOT NULL GROUP BY 1, 2), x AS (SELECT "column", string_agg(v, ', ' ORDER BY i) AS example FROM f WHERE i <= 3 GROUP BY 1)
+        SELECT "column", kind, count(v) AS n_filled, count(*) - count(v) AS n_empty, round(100.0 * count(v) / count(*), 1) AS pct_filled, count(DISTINCT v) AS n_distinct, any_value(example) AS example, coalesce(min(n)::DOUBLE::VARCHAR, min(day)::VARCHAR) AS least, coalesce(max(n)::DOUBLE::VARCHAR, max(day)::VARCHAR) AS greatest, sum(n)::DOUBLE AS total
+        FROM l JOIN x USING ("column") GROUP BY 1, 2""",
+)
+def column_dictionary(spark, sf_dir):
+    """A data dictionary: examples, and least, greatest and total of numbers and days."""
+    rows = spark.sql(_DICT.replace("FROM customer", "FROM {customer}"), customer=table(spark, sf_dir, "customer"))
+    return tabs.described(rows, "k", {"saldo": "valor", "desde": "data", "nacao": "numero"})
+
+
+@query(
+    "hidden_examples",
+    f"""WITH d AS ({_DICT}), l AS (SELECT 'area' AS "column", k, CASE WHEN area <> ' - ' THEN area END AS v FROM d UNION ALL SELECT 'saldo', k, saldo FROM d UNION ALL SELECT 'desde', k, desde FROM d UNION ALL SELECT 'nacao', k, nacao FROM d),
+        f AS (SELECT "column", v, row_number() OVER (PARTITION BY "column" ORDER BY min(k), v) AS i FROM l WHERE v IS NOT NULL GROUP BY 1, 2)
+        SELECT "column", CASE "column" WHEN 'saldo' THEN '[oculto]' ELSE string_agg(v, ', ' ORDER BY i) FILTER (i <= 3) END AS shown, count(*) AS n_distinct FROM f GROUP BY 1""",
+)
+def hidden_examples(spark, sf_dir):
+    """The same dictionary without the examples of a column that is marked as personal."""
+    marked = spark.createDataFrame([("saldo",)], "column string")
+    return privacy.dictionary(column_dictionary(spark, sf_dir), marked).select("column", C("example").alias("shown"), "n_distinct")
+
+
+@query(
+    "remark_counts",
+    """SELECT 'problems' AS what, CASE WHEN c_custkey % 4 = 0 THEN 'CEP inválido' ELSE 'UF inválida' END AS kind, count(*) AS n FROM customer WHERE c_custkey % 4 < 2 GROUP BY 2
+        UNION ALL SELECT 'conflicts', 'nation', count(*) FROM (SELECT c_mktsegment FROM customer GROUP BY 1 HAVING count(DISTINCT c_nationkey) > 1) UNION ALL SELECT 'assumptions', 'moeda BRL assumida', count(*) FROM orders WHERE o_orderkey % 3 = 0""",
+)
+def remark_counts(spark, sf_dir):
+    """How often problems, conflicts and assumptions occur, by kind."""
+    rows = table(spark, sf_dir, "customer")
+    dirty = rows.select("c_custkey", F.when(C("c_custkey") % 4 == 0, "abc").otherwise("70000-123").alias("cep"), F.when(C("c_custkey") % 4 == 1, "QQ").otherwise("DF").alias("uf"))
+    _, problems = tabs.normalised(dirty, "c_custkey", {"cep": "cep", "uf": "uf"})
+    people = rows.select(C("c_mktsegment").alias("cluster"), F.lit("base").alias("source"), C("c_nationkey").alias("nation"))
+    assumed = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.lit("moeda BRL assumida").alias("kind"))
+    return tabs.tally(problems=problems.withColumnRenamed("problem", "kind"), conflicts=entity.conflicts(people, ("nation",)).withColumnRenamed("field", "kind"), assumptions=assumed)
+
+
 @query(
     "correction_log",
     duck("people")

@@ -316,3 +316,30 @@ def doc_conflicts(spark, sf_dir):
     people = view(spark, sf_dir, "people").select(C("k").alias("id"), "name", C("cpf11").alias("cpf"), "phone")
     return crosscheck.conflicts(spread(texts), people).filter("line = 1")
 
+
+_LEADS = "SELECT k, CASE k % 5 WHEN 0 THEN 'feira/leads.csv' WHEN 1 THEN 'rh/folha.csv' ELSE 'cadastro/base.csv' END AS path, name AS nome, email AS e_mail, CASE k % 4 WHEN 0 THEN 'Sim' WHEN 1 THEN 'n' WHEN 2 THEN '' ELSE 'talvez' END AS consentimento FROM people"
+
+
+@query(
+    "side_registries",
+    duck("people") + f""", l AS ({_LEADS}) SELECT CASE k % 5 WHEN 0 THEN 'leads' ELSE 'colaboradores' END AS kind, {d_name('nome')} AS name, CASE WHEN e_mail LIKE '%@%' AND NOT contains(e_mail, ' ') THEN replace(lower(e_mail), '@@', '@') END AS email,
+        CASE k % 4 WHEN 0 THEN 'sim' WHEN 1 THEN 'não' ELSE 'não informado' END AS consent, CASE k % 4 WHEN 0 THEN 'sim' ELSE 'NÃO (sem consentimento registrado — LGPD art. 7º, I)' END AS may_contact FROM l WHERE k % 5 < 2""",
+)
+def side_registries(spark, sf_dir):
+    """Leads and staff with what their consent allows."""
+    rows = spark.sql(_LEADS.replace("FROM people", "FROM {people}"), people=view(spark, sf_dir, "people"))
+    return entity.side_registry(rows.drop("k")).drop("phone")
+
+
+@query(
+    "dossier_main",
+    _BY_PROCESS + f""", r AS (SELECT doc_id AS doc, 'processo' AS kind, CASE WHEN doc_id < 10 THEN '.000123/2024-11' ELSE ltrim(split_part({_PROC}, '/', 1), '0') || '/2024-11' END AS value FROM documents WHERE doc_id % 5 <> 4
+            UNION ALL SELECT doc_id, 'contrato', {_NO} FROM documents WHERE {TYPE} = 1 UNION ALL SELECT doc_id, 'licitacao', {_NO} FROM documents WHERE {TYPE} = 0 UNION ALL SELECT doc_id, 'ata srp', {_NO} FROM documents WHERE {TYPE} = 8),
+        n AS (SELECT dossier, kind || ' ' || value AS label, count(*) AS n FROM r JOIN d USING (doc) GROUP BY 1, 2),
+        p AS (SELECT *, row_number() OVER (PARTITION BY dossier ORDER BY n DESC, label) AS i FROM n)
+        SELECT dossier, string_agg(label, '; ' ORDER BY i) AS main FROM p WHERE i <= 2 GROUP BY 1""",
+)
+def dossier_main(spark, sf_dir):
+    """The two references that a dossier's documents cite most."""
+    cards = _cards(spark, sf_dir)
+    return dossier.summaries(dossier.dossiers(cards, dossier.reference_edges(cards, ("processo",)))).filter("main is not null").select("dossier", "main")
