@@ -1,13 +1,16 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
-Both models are of order one over the characters of identifiers, trained from a bounded sample of documents that the patterns label: what a pattern
-marks is a random string, and the other strings are ordinary unless they look like the marked ones. A run whose log-likelihood ratio is over a
-threshold is reported beside the patterns' own spans. Marked strings that the random model hasn't seen set the threshold, whatever share of the runs is over it.
+The models are of order one over the characters of identifiers, and trained from labelled strings. Random strings have a model for each alphabet that secrets
+come in; it learns from what the patterns mark in a bounded sample of documents, and from strings drawn with a fixed seed, since the marked ones may all be of
+one alphabet. The other strings of the sample are ordinary, unless they look like random ones. A run whose log-likelihood ratio for any alphabet is over
+that alphabet's threshold is reported beside the patterns' own spans. Random strings that the models haven't seen set the thresholds, whatever share of the
+runs is over them. Runs of digits alone, and of few different characters, are no secrets.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -31,6 +34,13 @@ KINDS = ("assign", "access", "hex", "markov")
 MIN_RUN = 16
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
 SAMPLE_DOCS, SAMPLE_STRINGS, SHARE, MARGIN, ROUNDS, FOLDS = 20000, 20000, 0.99, 3.0, 20, 5
+#: The alphabets, and the drawn strings of each and their length; a marked string counts for the first alphabet that has all its characters.
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+ALPHABETS = {
+    "hex": _DIGITS + "abcdef", "HEX": _DIGITS + "ABCDEF", "base36": _LOWER + _DIGITS, "BASE36": _UPPER + _DIGITS, "base62": _UPPER + _LOWER + _DIGITS, "url": _UPPER + _LOWER + _DIGITS + "_-", "base64": _UPPER + _LOWER + _DIGITS + "+/=",
+    "any": _UPPER + _LOWER + _DIGITS + "+/_=-",
+}
+DRAWN, DRAWN_CHARS, MIN_DISTINCT = 500, 48, 6
 #: Characters of a string that the models learn from; the scan itself judges whole strings.
 SAMPLE_CHARS = 256
 WORD = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_]{7,15}(?![A-Za-z0-9_])")
@@ -126,47 +136,69 @@ class Steps:
         return np.bincount(self.owner, log.ravel()[self.at], self.n)
 
 
+def judged(s: str) -> bool:
+    """Whether a run can be a secret at all."""
+    return not s.isdigit() and len(set(s)) >= MIN_DISTINCT
+
+
+def random_strings(marked: list[str]) -> dict[str, list[str]]:
+    """The labelled random strings of each alphabet: marked ones, then drawn ones."""
+    out: dict[str, list[str]] = {name: [] for name in ALPHABETS}
+    for s in marked:
+        name = next((n for n, chars in ALPHABETS.items() if set(s) <= set(chars)), None)
+        if name and judged(s):
+            out[name].append(s)
+    for name, chars in ALPHABETS.items():
+        rng = random.Random(name)
+        out[name] += ["".join(rng.choice(chars) for _ in range(DRAWN_CHARS)) for _ in range(DRAWN)]
+    return out
+
+
 class Judge:
-    """The two models and the threshold of their log-likelihood ratio, which grows with the length of a run.
+    """The models and the thresholds of their log-likelihood ratios, which grow with the length of a run.
 
-    Secrets that no pattern marks are among the unmarked strings. Those over the threshold leave the ordinary model, which moves the threshold, until
+    Secrets that no pattern marks are among the unmarked strings. Those over a threshold leave the ordinary model, which moves the thresholds, until
     none changes sides. Each string is judged here by models of the other ones.
     """
 
     def __init__(self, secret: list[str], ordinary: list[str]):
-        self.able = bool(secret) and bool(ordinary)
-        unseen, seen = secret[: len(secret) // 5] or secret, Steps(secret[len(secret) // 5 :])
-        # The shortest runs are the hardest to tell, so that pieces of their length set the threshold.
-        pieces = Steps([s[i : i + MIN_RUN] for s in unseen for i in range(0, len(s) - MIN_RUN + 1, MIN_RUN)])
-        steps, random = Steps(ordinary), Markov(seen.pairs(np.ones(seen.n, bool))).log
+        self.able = bool(ordinary)
+        models, pieces = [], []
+        for strings in random_strings(secret).values():
+            unseen, seen = strings[::5], Steps([s for i, s in enumerate(strings) if i % 5])
+            models.append(Markov(seen.pairs(np.ones(seen.n, bool))).log)
+            # The shortest runs are the hardest to tell, so that pieces of their length set the threshold.
+            pieces.append(Steps([s[i : i + MIN_RUN] for s in unseen for i in range(0, len(s) - MIN_RUN + 1, MIN_RUN)]))
+        steps = Steps(ordinary)
         fold, over = np.arange(steps.n) % FOLDS, np.zeros(steps.n, bool)
+        able = np.array([judged(s) and len(s) >= MIN_RUN for s in ordinary], bool)
         for _ in range(ROUNDS):
             parts = [steps.pairs(~over & (fold == f)) for f in range(FOLDS)]
-            self.log = random - Markov(sum(parts)).log
-            self.rate = float(np.quantile(pieces.sums(self.log), 1 - SHARE, method="lower")) / (MIN_RUN - 1) if pieces.n else 0.0
+            plain = Markov(sum(parts)).log
+            self.logs = [m - plain for m in models]
+            self.rates = [float(np.quantile(p.sums(log), 1 - SHARE, method="lower")) / (MIN_RUN - 1) for p, log in zip(pieces, self.logs)]
             before, over = over, np.zeros(steps.n, bool)
             for f in range(FOLDS):
-                ratios = steps.sums(random - Markov(sum(parts) - parts[f]).log)
-                over |= (fold == f) & (ratios > np.maximum(MARGIN, self.rate * steps.lengths))
+                others = Markov(sum(parts) - parts[f]).log
+                for m, rate in zip(models, self.rates):
+                    over |= able & (fold == f) & (steps.sums(m - others) > np.maximum(MARGIN, rate * steps.lengths))
             if (over == before).all():
                 break
 
-    def threshold(self, length: int) -> float:
-        return max(MARGIN, self.rate * (length - 1))
-
-    def ratio(self, s: str) -> float:
+    def ratios(self, s: str) -> list[float]:
+        """By how much the log-likelihood ratio of each alphabet is over its threshold."""
         code = codes(s)
-        return float(self.log[code[:-1], code[1:]].sum())
+        return [float(log[code[:-1], code[1:]].sum()) - max(MARGIN, rate * (len(s) - 1)) for log, rate in zip(self.logs, self.rates)]
 
     def marks(self, s: str) -> bool:
-        return self.able and self.ratio(s) > self.threshold(len(s))
+        return self.able and judged(s) and max(self.ratios(s)) > 0
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_strings: int = SAMPLE_STRINGS) -> Judge:
     """Models from a sample of docs, chosen by a hash of doc_id and text, so that it doesn't depend on the order of rows.
 
     sample_docs documents (about), sample_strings strings of each label and SAMPLE_CHARS of each string bound what is collected. Null texts hold no
-    strings; without strings of both labels, as in an empty table, the models mark nothing.
+    strings; without ordinary strings, as in an empty table, the models mark nothing.
     """
     share = sample_docs / max(1, docs.count())
     chosen = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share * (1 << 20)).select("text")
@@ -204,7 +236,7 @@ def _scan(judge):
 def scan(docs: DataFrame, **options) -> DataFrame:
     """One row for each row of docs: doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans (kind:start:end, in code points).
 
-    Null text counts as empty and has no spans. Runs that touch a pattern's span are not judged again. Without labelled strings the models mark nothing.
+    Null text counts as empty and has no spans. Runs that touch a pattern's span are not judged again. Without ordinary strings to learn from the models mark nothing.
     Repeated rows get equal results; an empty table gives an empty result; other columns are ignored.
     """
     slim = docs.select(F.col("doc_id").cast("long"), "text")
