@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.tables import forget, small, written
+from recordloom.tables import forget, free_name, small, written
 
 BYTE_LIMIT, HASH_BITS, STEP = 8 << 20, 60, 12
 
@@ -67,9 +67,15 @@ def _named(docs: DataFrame, limit: int) -> DataFrame:
     return out.select("rid", "doc_id", "shard", F.col("depth").cast("int"), "n_bytes", (F.col("n_bytes") > limit).alias("oversize"))
 
 
-def write_shards(docs: DataFrame, path: str, limit: int = BYTE_LIMIT) -> None:
-    """Write docs to path as Parquet, a folder for each shard; each row goes to its own shard of shards()."""
-    rows = written(docs.drop("shard").withColumn("_rid", F.monotonically_increasing_id()), "rows")  # the row numbers stay as they are
-    at = _named(rows, limit).select(F.col("rid").alias("_rid"), "shard")
-    rows.join(at, "_rid").drop("_rid").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int = BYTE_LIMIT) -> str:
+    """Write docs to path as Parquet, a folder for each shard, and return the name of the folders' column: "shard", or with underscores before it if docs has one.
+
+    Each row goes to its own shard of shards(). A folder is named "s" and the bits, since bits alone would be read back as a number ("01" as "1"). All columns
+    of docs stay as they are.
+    """
+    rid, folder, row = (free_name(docs, name) for name in ("row_number", "shard", "placed_row"))
+    rows = written(docs.withColumn(rid, F.monotonically_increasing_id()), "rows")  # the row numbers stay as they are
+    at = _named(rows.select(F.col(rid).alias("_rid"), "doc_id", "text"), limit).select(F.col("rid").alias(row), F.concat(F.lit("s"), "shard").alias(folder))
+    rows.join(at, F.col(rid) == F.col(row)).drop(rid, row).write.partitionBy(folder).parquet(path)
     forget(rows)
+    return folder

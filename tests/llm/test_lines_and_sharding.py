@@ -66,3 +66,12 @@ def test_written_shards_of_a_hot_id_fit(spark, tmp_path):
     assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted((r.doc_id or 0, r.text) for r in docs.collect())
     held = out.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("n_bytes")).collect()
     assert max(r.n_bytes for r in held) <= 1000
+
+
+def test_shards_are_read_back_under_their_names(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "x" * 100, i) for i in range(64)], "doc_id long, text string, shard int").withColumn("_rid", F.lit("kept"))
+    folder = sharding.write_shards(docs, str(tmp_path / "out"), limit=700)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    want = {r.doc_id: "s" + r.shard for r in sharding.shards(docs.drop("_rid"), limit=700).collect()}
+    assert folder == "_shard" and len(set(want.values())) > 8
+    assert {r.doc_id: (r["_shard"], r["shard"], r["_rid"]) for r in out.collect()} == {i: (s, i, "kept") for i, s in want.items()}
