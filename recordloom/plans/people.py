@@ -343,3 +343,17 @@ def dossier_main(spark, sf_dir):
     """The two references that a dossier's documents cite most."""
     cards = _cards(spark, sf_dir)
     return dossier.summaries(dossier.dossiers(cards, dossier.reference_edges(cards, ("processo",)))).filter("main is not null").select("dossier", "main")
+
+
+@query(
+    "entity_cluster_open",
+    (duck("people") + f""", a AS ({_A}), b AS ({_B}), c AS ({_C}), u AS (SELECT line, cpf, email FROM a UNION ALL SELECT line + 1099511627776, cpf, email FROM b UNION ALL SELECT line + 2 * 1099511627776, cpf, email FROM c),
+        n AS (SELECT line AS rid, {d_pad(d_digits('cpf'), 11)} AS d, CASE WHEN email LIKE '%@%' AND NOT contains(email, ' ') THEN replace(lower(email), '@@', '@') END AS email FROM u),
+        k AS (SELECT rid, 'c' || d AS key FROM n WHERE {d_cpf('d')} UNION ALL SELECT rid, 'e' || email FROM n WHERE email IS NOT NULL),
+        e AS (SELECT DISTINCT x.rid AS a, y.rid AS b FROM k x JOIN k y USING (key)), r AS (SELECT rid AS node, rid AS seen FROM n UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a)
+        SELECT node AS rid, min(seen) AS cluster FROM r GROUP BY 1""").replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def entity_cluster_open(spark, sf_dir):
+    """Clusters of records that have neither ids nor names, so that nothing excludes: those linked by CPF and e-mail."""
+    people = _people(spark, sf_dir).withColumns({"id": F.lit(None).cast("string"), "name": F.lit(None).cast("string")})
+    return entity.clusters(people)[0]
