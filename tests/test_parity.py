@@ -23,7 +23,7 @@ def rows(names, found):
     return sorted((tuple(plain(r[names.index(n)]) for n in sorted(names)) for r in found), key=str)
 
 
-@pytest.mark.parametrize("name", ["payment_reconcile", "sales_dedup", "stock_ledger", "cpf_checksum", "amount_parse", "date_read", "keysync_outer", "column_profile", "file_inventory", "csv_cells", "doc_references", "dossier_gaps", "doc_cards", "encodings", "json_records", "hidden_csv", "xml_rows", "read_any", "table_content", "golden_cpf", "transaction_shape", "correction_log", "sku_resolution", "name_mentions", "people_by_source", "populations", "entity_components", "problem_counts"])
+@pytest.mark.parametrize("name", ["payment_reconcile", "sales_dedup", "stock_ledger", "cpf_checksum", "amount_parse", "date_read", "keysync_outer", "column_profile", "file_inventory", "csv_cells", "doc_references", "dossier_gaps", "doc_cards", "encodings", "json_records", "hidden_csv", "xml_rows", "read_any", "table_content", "golden_cpf", "transaction_shape", "correction_log", "sku_resolution", "name_mentions", "people_by_source", "populations", "entity_components", "problem_counts", "findings_placed", "findings_context", "risk_by_category", "redact_plain", "dossier_holes", "dossier_main", "page_tables", "sheet_formulas", "sheet_info", "docx_text", "rtf_text", "record_schemas", "package_manifest", "sales_alerts", "doc_conflicts", "column_dictionary", "hidden_examples", "remark_counts", "side_registries", "mapped_transactions", "entity_cluster_open"])
 def test_queries_match_their_sql(spark, duck, name):
     df = catalog.QUERIES[name](spark, SF)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
