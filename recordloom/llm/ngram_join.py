@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from recordloom.graph import components
 from recordloom.llm import words
-from recordloom.tables import forget, pick, written
+from recordloom.tables import forget, pick, small, written
 
 #: Text bytes for each fragment of the first step, fragments of the last, and members of an n-gram's list that are paired in one task.
 FRAGMENT_BYTES, MIN_FRAGMENTS, PAIR_FRAGMENTS, BLOCK = 16 << 20, 64, 4, 512
@@ -298,9 +298,10 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     same set of shingles stay or go together. Rows with a null doc_id, and null, empty and wordless texts, stay. The columns stay as they are.
     """
     placed = _placed(docs).filter("doc_id is not null")
-    best = placed.filter("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "key")).alias("best"))
-    gone = F.coalesce(F.struct("doc_id", "key") != F.col("best"), F.lit(False))
-    judged = written(placed.join(best, "comp", "left").select("doc_id", "key", gone.alias("gone")), "judged")
+    near = placed.filter("comp is not null")
+    best = written(near.groupBy("comp").agg(F.min(F.struct("doc_id", "key")).alias("best")), "best")
+    gone = near.join(small(best, 80), "comp").select("doc_id", "key", (F.struct("doc_id", "key") != F.col("best")).alias("gone"))
+    judged = written(placed.filter("comp is null").select("doc_id", "key", F.lit(False).alias("gone")).union(gone), "judged")  # rows without a component meet no join
     ids = written(judged.groupBy("doc_id").agg(F.every("gone").alias("whole"), F.some("gone").alias("some")).filter("some"), "gone")
     out = pick(docs, ids.filter("whole"), "doc_id", keep=False)
     parted = ids.filter("NOT whole").select("doc_id")
