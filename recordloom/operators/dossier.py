@@ -229,7 +229,7 @@ def holes(ranges: DataFrame, *group: str) -> DataFrame:
     return rows.withColumn("before", before).filter("lo > before + 1").select(*group, (F.col("before") + 1).alias("first"), (F.col("lo") - 1).alias("last"))
 
 
-def missing_numbers(rows: DataFrame, group: str, number: str) -> DataFrame:
+def missing_ranges(rows: DataFrame, group: str, number: str) -> DataFrame:
     """(group, first, last): ranges of numbers from 1 to the largest of each group that don't occur; null numbers and those under 1 don't count."""
     n = F.col(number).cast("long")
     held = rows.filter(n >= 1).select(group, n.alias("lo"), n.alias("hi"))
@@ -237,6 +237,16 @@ def missing_numbers(rows: DataFrame, group: str, number: str) -> DataFrame:
     return holes(held.union(zero), group)
 
 
+#: Numbers of a range that are made at once where each one is a row.
+RUN = 100_000
+
+
+def missing_numbers(rows: DataFrame, group: str, number: str) -> DataFrame:
+    """(group, missing): the numbers of missing_ranges(), each a row."""
+    runs = missing_ranges(rows, group, number).select(group, "last", F.explode(F.sequence("first", "last", F.lit(RUN))).alias("first"))
+    return runs.select(group, F.explode(F.sequence("first", F.least("last", F.col("first") + RUN - 1))).alias("missing"))
+
+
 def sheet_gaps(rows: DataFrame, group: str) -> DataFrame:
     """(group, first, last): sheets missing between the ranges (lo, hi) of a group."""
     return holes(rows, group)

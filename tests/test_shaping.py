@@ -10,8 +10,10 @@ from recordloom.sources import files, records, sinks
 
 def test_gaps_of_any_numbers(spark):
     rows = [("a", 0), ("b", 2_100_000_000), ("b", 1), ("c", 3), ("c", None), ("d", None), ("e", -4), ("e", 2)]
-    got = dossier.missing_numbers(spark.createDataFrame(rows, "g string, n long"), "g", "n")
-    assert sorted(map(tuple, got.collect())) == [("b", 2, 2_099_999_999), ("c", 1, 2), ("e", 1, 1)]
+    rows = spark.createDataFrame(rows, "g string, n long")
+    assert sorted(map(tuple, dossier.missing_ranges(rows, "g", "n").collect())) == [("b", 2, 2_099_999_999), ("c", 1, 2), ("e", 1, 1)]
+    assert sorted(map(tuple, dossier.missing_numbers(rows.filter("n < 9"), "g", "n").collect())) == [("c", 1), ("c", 2), ("e", 1)]
+    assert [r[0] for r in dossier.missing_numbers(rows, "g", "n").filter("g = 'b' AND missing % 1000 = 0").select("missing").limit(3).collect()] == [1000, 2000, 3000]
     sheets = spark.createDataFrame([("a", 1, 10), ("a", 2, 3), ("a", 12, 12), ("a", 12, 12)], "g string, lo int, hi int")
     assert [tuple(r) for r in dossier.sheet_gaps(sheets, "g").collect()] == [("a", 11, 11)]
 
