@@ -240,6 +240,7 @@ def populations(rows: DataFrame, path: str = "path") -> DataFrame:
     return counted.join(F.broadcast(best), F.lit(True)).select("kind", "n", (F.col("kind") == F.col("best")).alias("main"))  # best is one row
 
 
+# Fixed value: words in the names of columns that tell of consent.
 CONSENT = r"consent|optin|opt_in|aceite|autoriza"
 
 

@@ -266,13 +266,7 @@ def _sheets(content: bytes) -> Iterator[tuple[str, int, str, str | None]]:
 
 
 def _docx(content: bytes) -> Iterator[tuple[str, int, str, str | None]]:
-    paragraphs, tables = office.docx_text(content)
-    yield "document", 0, "text", "\n".join(paragraphs)
-    for n, rows in enumerate(tables, 1):
-        head, lines = office.valid_table(rows) or ([], [])
-        for line, row in enumerate(lines, 1):
-            for column, value in zip(head, row):
-                yield f"table {n}", line, column, value or None
+    yield "document", 0, "text", "\n".join(office.docx_text(content)[0])
 
 
 def _rtf(content: bytes) -> Iterator[tuple[str, int, str, str | None]]:
@@ -363,6 +357,8 @@ def read(files: DataFrame) -> DataFrame:
     out = out.union(shaped(texts("page", "prose").select("path", F.lit(0).alias("line"), F.lit("text").alias("column"), page.alias("value"))))
     for kind in READERS:
         out = out.union(opened(of(kind), kind))
+    tables = office.document_tables(of("docx"), "docx", "path", "content")
+    out = out.union(tables.select("path", F.concat(F.lit("table "), F.col("table").cast("string")), F.col("line").cast("long"), "column", "value", F.lit(None).cast("string")))
     out = out.union(wrong(files.filter("kind is null"), F.lit("no reader for this kind of file")))
     bare = texts("table").filter(F.size(F.filter(_records(F.col("text")), lambda r: F.trim(r) != "")) < 2)
     return out.union(wrong(bare, F.lit("no rows"))).union(wrong(failed, F.col("error"))).union(wrong(missing, F.col("error")))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import DataFrame, Observation
@@ -12,6 +11,8 @@ from recordloom.operators.privacy import column_class
 
 #: The table of a package that tells what is in it.
 MANIFEST = "manifest"
+#: Fixed value: characters that names of sheets can't have.
+REFUSED = "[]:*?/\\"
 
 
 def without_secrets(df: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
@@ -55,7 +56,7 @@ def package(tables: dict[str, DataFrame], path: str, form: str = "csv", partitio
 
 def readable(name: str, taken: set[str], limit: int = 28) -> str:
     """A name for a table or sheet of a package: no characters that files refuse, at most limit characters, with a number if it is taken already."""
-    base = re.sub(r"[\[\]:*?/\\]", "_", name)[:limit] or "aba"
+    base = "".join("_" if c in REFUSED else c for c in name)[:limit] or "aba"
     made, n = base, 1
     while made.lower() in {t.lower() for t in taken}:
         n += 1
