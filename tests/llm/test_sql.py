@@ -13,7 +13,8 @@ def test_queries_match_their_sql(spark, name):
     import duckdb
 
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for name_ in ("documents", "benchmark", "labels"):
+        db.execute(f"CREATE VIEW {name_} AS SELECT * FROM '{SF}/{name_}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     want = db.execute(queries.SQL[name])
     columns = [c[0] for c in want.description]
