@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,30 +96,31 @@ def _segment_rows(least: int, length: int, gram: int):
     return run
 
 
+def _fields(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The row of each struct in a column of lists, where a null list is empty, and their fields; no struct becomes a Python object."""
+    many = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column), dtype=np.int64), many), [f.to_numpy(zero_copy_only=False) for f in column.flatten().flatten()]
+
+
 def _cut_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, held = [], 0
-            for text, parts in zip(batch["text"].cast(pa.binary()), batch["parts"]):
-                text = text.as_buffer()
-                for p in parts.as_py():
-                    end = min(p["start"] + p["n"] + length - 1, text.size)
-                    rows.append((p["anchor"], p["digest"], p["many"], p["n"], text.slice(p["start"], end - p["start"]).to_pybytes()))
-                    held += len(rows[-1][-1])
-                    if held >= CHUNK_BYTES:
-                        yield _cut(rows)
-                        rows, held = [], 0
-            if rows:
-                yield _cut(rows)
+            of, (start, n, anchor, digest, many) = _fields(batch["parts"])
+            texts = batch["text"].cast(pa.binary()).to_pylist()
+            end = np.minimum(start.astype(np.int64) + n + length - 1, np.array([len(t) for t in texts], np.int64)[of])
+            held = np.cumsum(end - start)
+            at = 0
+            while at < len(of):
+                stop = int(np.searchsorted(held, (held[at - 1] if at else 0) + CHUNK_BYTES)) + 1
+                part = slice(at, stop)
+                cut = [texts[i][a:b] for i, a, b in zip(of[part].tolist(), start[part].tolist(), end[part].tolist())]
+                columns = [pa.array(c[part]) for c in (anchor, digest, many, n)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(cut, pa.binary())], ["anchor", "digest", "many", "n", "text"])
+                at = stop
 
     return run
 
 
-def _cut(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["anchor", "digest", "many", "n", "text"])
-
-
 class _Text:
     """Segments laid end to end, each followed by eight zero bytes."""
 
@@ -129,10 +131,10 @@ class _Text:
         self.last_start = self.first + np.array(starts, np.int64) - 1
         self.bytes = np.frombuffer((b"\0" * 8).join(segments) + b"\0" * 16, np.uint8)
         self.owner = np.repeat(np.arange(len(segments), dtype=np.int32), size + 8)
-        self.word = np.ndarray((len(self.bytes) - 7,), ">u8", self.bytes, strides=(1,))
+        self.word = np.ndarray((len(self.bytes) - 7,), ">u8", self.bytes, strides=(1,)).astype(np.uint64)  # the eight bytes from each place on
 
     def words_at(self, at: np.ndarray) -> np.ndarray:
-        return self.word[np.minimum(at, len(self.word) - 1)].astype(np.uint64)
+        return self.word[np.minimum(at, len(self.word) - 1)]
 
 
 def _smaller_than_next(t: _Text) -> np.ndarray:
@@ -144,33 +146,40 @@ def _smaller_than_next(t: _Text) -> np.ndarray:
     return step[np.minimum.accumulate(decided[::-1])[::-1]] > 0
 
 
-def _sorted_directly(t: _Text, at: np.ndarray) -> np.ndarray:
-    """Suffixes in order: seven bytes and the number of bytes that are left at most, again and again for those that tie."""
+def _sorted_directly(t: _Text, at: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Suffixes in the order of their first `most` bytes (or more): seven bytes and the number of bytes that are left at most, again and again for those that tie."""
+    seven = ~np.uint64(0xFF)
 
-    def key(places: np.ndarray, depth: int) -> np.ndarray:
-        left = np.clip(t.end[t.owner[places]] - places - depth, 0, 7)
-        return np.where(left > 0, (t.words_at(places + depth) >> np.uint64(8) << np.uint64(8)) | left.astype(np.uint64), np.uint64(0))
+    def key(places: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
+        return (t.word[places + depth] & seven) | np.minimum(left - depth, 7).view(np.uint64)  # at the end of a segment all bytes are zero
 
-    keys = key(at, 0)
-    rank = np.argsort(keys, kind="stable")
-    order, keys = at[rank], keys[rank]
-    slots, group, depth = np.arange(len(at)), np.zeros(len(at), np.int64), 0
+    left = t.end[t.owner[at]] - at
+    keys = key(at, left, 0)
+    rank = np.argsort(keys)
+    order, keys, left = at[rank], keys[rank], left[rank]
+    places, slots, group, depth = order, np.arange(len(at)), np.zeros(len(at), np.int64), 0
     while len(slots):
-        new = np.r_[True, (keys[1:] != keys[:-1]) | (group[1:] != group[:-1])]
-        group = np.cumsum(new)
-        tied = np.bincount(group)[group] > 1
-        tied &= (keys & np.uint64(0xFF)) == 7
-        slots, group, depth = slots[tied], group[tied], depth + 7
-        if not len(slots):
+        new = np.ones(len(slots) + 1, bool)
+        new[1:-1] = (keys[1:] != keys[:-1]) | (group[1:] != group[:-1])
+        tied = np.flatnonzero(~(new[:-1] & new[1:]) & ((keys & ~seven) == 7))
+        depth += 7
+        if not len(tied) or most and depth >= most:
             break
-        keys = key(order[slots], depth)
-        rank = np.lexsort((keys, group))
-        order[slots], keys = order[slots][rank], keys[rank]
+        slots, group, places, left = slots[tied], np.cumsum(new[:-1])[tied], places[tied], left[tied]
+        keys = key(places, left, depth)
+        differ = np.flatnonzero((keys[1:] != keys[:-1]) & (group[1:] == group[:-1]))
+        if len(differ):  # groups that are equal so far, as most are while a repeat lasts, need no sorting
+            mixed = np.zeros(int(group[-1]) + 1, bool)
+            mixed[group[differ]] = True
+            mixed = np.flatnonzero(mixed[group])
+            rank = mixed[np.lexsort((keys[mixed], group[mixed]))]
+            places[mixed], keys[mixed], left[mixed] = places[rank], keys[rank], left[rank]
+            order[slots[mixed]] = places[mixed]
     return order
 
 
-def suffix_array(t: _Text) -> np.ndarray:
-    """Starts of all segments in the order of their suffixes, by two-stage sorting."""
+def suffix_array(t: _Text, most: int | None = None) -> np.ndarray:
+    """Starts of all segments in the order of their suffixes, by two-stage sorting; with `most` suffixes that share that many bytes stand together in any order."""
     small_ones = _smaller_than_next(t)
     n = len(small_ones)
     next_small = np.minimum.accumulate(np.where(small_ones, np.arange(n), n)[::-1])[::-1]
@@ -179,7 +188,7 @@ def suffix_array(t: _Text) -> np.ndarray:
     taken[t.first] += 1
     taken[upto + 1] -= 1
     taken = np.cumsum(taken[:-1]) > 0
-    direct = _sorted_directly(t, np.flatnonzero(taken & small_ones))
+    direct = _sorted_directly(t, np.flatnonzero(taken & small_ones), most)
     limits = np.searchsorted(t.bytes[direct], np.arange(257))
     opening = np.zeros(n, bool)
     opening[t.first] = True
@@ -223,14 +232,16 @@ def repeated_starts(segments: list[bytes], starts: list[int], many: list[int], l
     With `shorter` also those whose string of that many bytes does; the third of a range says whether it is of the length itself.
     """
     t = _Text(segments, starts)
-    order = suffix_array(t)
+    order = suffix_array(t, length)
     x, y = order[:-1], order[1:]
-    common = np.zeros(len(x), np.int64)  # adjacent common prefixes, up to length
+    common = np.full(len(x), length, np.int64)  # adjacent common prefixes, up to length
     active = np.arange(len(x))
     for depth in range(0, length, 8):
         a, b = t.words_at(x[active] + depth), t.words_at(y[active] + depth)
-        common[active] = depth + _equal_bytes(a, b)
-        active = active[a == b]
+        same = a == b
+        ends = np.flatnonzero(~same)
+        common[active[ends]] = depth + _equal_bytes(a[ends], b[ends])
+        active = active[same]
     common = np.minimum(common, np.minimum(t.end[t.owner[x]] - x, t.end[t.owner[y]] - y))
     out: list[list[tuple[int, int, bool]]] = [[] for _ in segments]
     for size in {length, shorter or length}:
@@ -336,38 +347,45 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_classes
     return out
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
+def _merged(of: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The unions of the ranges [s, e) of each text: the numbers of the texts, the starts and the ends, in order."""
+    a, b = (of << 32) + s, (of << 32) + e
+    order = np.argsort(a)
+    a, b = a[order], np.maximum.accumulate(b[order])
+    opens = np.ones(len(a) + 1, bool)
+    opens[1:-1] = a[1:] > b[:-1]
+    a, b = a[opens[:-1]], b[opens[1:]]
+    return a >> 32, a & 0xFFFFFFFF, b & 0xFFFFFFFF
+
+
+def _ranges(of: np.ndarray, s: np.ndarray, e: np.ndarray, rows: int) -> pa.Array:
+    first = np.r_[0, np.cumsum(np.bincount(of, minlength=rows))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(first), pa.StructArray.from_arrays([pa.array(s), pa.array(e)], ["s", "e"]))
 
 
 def _strip_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, runs, kept, passages = [], [], [], []
-        for text, spans in zip(batch["text"].cast(pa.binary()).to_pylist(), batch["spans"].to_pylist()):
-            text = text or b""
-            gone = _merged([(x["s"], x["e"]) for x in spans or () if x["whole"]])
-            ends = [0, *(e for _, e in gone)]
-            rest = b"".join(text[a:b] for a, b in zip(ends, [*(s for s, _ in gone), len(text)]))
-            sizes.append(len(text))
-            runs.append([{"s": s, "e": e} for s, e in gone])
-            passages.append([{"s": s, "e": e} for s, e in _merged([(x["s"], x["e"]) for x in spans or ()]) if len(text[s:e].split()) > PASSAGE_WORDS])
-            kept.append(rest)
-        ranges = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+        texts = [t or b"" for t in batch["text"].cast(pa.binary()).to_pylist()]
+        rows, sizes = len(texts), np.array([len(t) for t in texts], np.int64)
+        of, (s, e, whole) = _fields(batch["spans"])
+        whole = whole.astype(bool)
+        gone, runs = _merged(of[whole], s[whole], e[whole]), _merged(of, s, e)
+        long = np.array([len(texts[i][a:b].split()) > PASSAGE_WORDS for i, a, b in zip(*(x.tolist() for x in runs))], bool)
+        pieces: dict[int, list[bytes]] = {}
+        last: dict[int, int] = {}
+        for i, a, b in zip(*(x.tolist() for x in gone)):
+            pieces.setdefault(i, []).append(texts[i][last.get(i, 0) : a])
+            last[i] = b
+        kept = [b"".join([*pieces[i], t[last[i] :]]) if i in last else t for i, t in enumerate(texts)]
         yield pa.RecordBatch.from_arrays(
             [
                 batch["doc_id"],
-                pa.array(sizes, pa.int64()),
-                pa.array([n - len(k) for n, k in zip(sizes, kept)], pa.int64()),
-                pa.array([len(r) for r in runs], pa.int64()),
-                pa.array(runs, ranges),
-                pa.array(passages, ranges),
-                pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
+                pa.array(sizes),
+                pa.array(sizes - np.array([len(k) for k in kept], np.int64)),
+                pa.array(np.bincount(gone[0], minlength=rows)),
+                _ranges(*gone, rows),
+                _ranges(*(x[long] for x in runs), rows),
+                pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
                 pa.array(kept, pa.binary()),
             ],
             ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "passages", "kept_sha256", "kept"],
