@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 from recordloom.functions.base import let
 from recordloom.functions.text import header
 from recordloom.sources import office
-from recordloom.tables import written
+from recordloom.tables import spread, written
 
 # The limits of archive expansion, and how far its levels go.
 MAX_BYTES, MAX_FILES, MAX_LEVELS = 500 << 20, 5000, 3
 #: Characters in which a separator is looked for, and rows in which a header is.
 SNIFF_CHARS, HEADER_ROWS = 20_000, 15
 SEPARATORS = (";", ",", "\t", "|")
+#: Rows, and bytes of files, from which on what was read of small files is handed on.
+FRAME_ROWS, FRAME_BYTES = 10_000, 8 << 20
 #: The characters that code page 1252 has where Latin-1 has control characters, and these.
 C1 = tuple("".join(chars) for chars in zip(*((chr(b), bytes([b]).decode("cp1252")) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))))
 CELLS = "path string, part string, line long, column string, value string, error string"
@@ -145,19 +147,29 @@ def delimited(texts: DataFrame) -> DataFrame:
     The header is the first of the leading rows that has three fifths of the most filled cells, two at least, all of them short and none of them a
     number, or else the first row; names are canonical and unique by place.
     """
-    sep = separator(F.col("text"))
-    rows = texts.withColumn("sep", sep).select("path", "sep", F.posexplode(_records(F.col("text"))).alias("line", "row")).filter(F.trim("row") != "")
-    rows = rows.select("path", "line", _cells(F.col("row"), F.col("sep")).alias("cells"))
-    held = F.filter("cells", lambda c: c != "")
-    named = F.forall(held, lambda c: (F.char_length(c) <= 60) & ~c.rlike(r"^[\d.,\s-]+$"))
-    leading = rows.filter(F.col("line") < HEADER_ROWS).select("path", "line", "cells", F.size(held).alias("n"), named.alias("named"))
-    most = leading.groupBy("path").agg(F.max("n").alias("most"))
-    fits = (F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("most") * 0.6))) & F.col("named")
-    heads = leading.join(most, "path").groupBy("path").agg(F.min(F.struct((~fits).alias("worse"), F.col("line").alias("head"), F.col("cells").alias("names"))).alias("h"))
-    cells = rows.join(heads, "path").filter("line > h.head").select("path", "line", "h.names", F.posexplode("cells").alias("i", "value"))
+    rows = F.filter(F.transform(_records(F.col("text")), lambda r, i: F.struct(i.alias("line"), r.alias("row"))), lambda x: F.trim(x["row"]) != "")
+    split = texts.select("path", separator(F.col("text")).alias("sep"), rows.alias("rows"))
+    split = split.select("path", "sep", _head(F.col("rows"), F.col("sep")).alias("h"), F.explode("rows").alias("r")).filter("r.line > h.head")
+    cells = split.select("path", "r.line", "h.names", F.posexplode(_cells(F.col("r.row"), F.col("sep"))).alias("i", "value"))
     return cells.select("path", "line", F.coalesce(header(F.get("names", F.col("i"))), F.concat(F.lit("coluna_"), F.col("i") + 1)).alias("column"), F.nullif("value", F.lit("")).alias("value"))
 
 
+def _head(rows: Column, sep: Column) -> Column:
+    """(worse, head, names) of the header among the rows (line, row) of a text; null if no row is leading."""
+
+    def shaped(x: Column) -> Column:
+        held = lambda cells: F.filter(cells, lambda c: c != "")
+        named = lambda cells: F.forall(held(cells), lambda c: (F.char_length(c) <= 60) & ~c.rlike(r"^[\d.,\s-]+$"))
+        return let(_cells(x["row"], sep), lambda cells: F.named_struct(F.lit("line"), x["line"], F.lit("cells"), cells, F.lit("n"), F.size(held(cells)), F.lit("named"), named(cells)))
+
+    def best(leading: Column) -> Column:
+        most = F.array_max(F.transform(leading, lambda x: x["n"]))
+        fits = lambda x: (x["n"] >= F.greatest(F.lit(2), F.ceil(most * 0.6))) & x["named"]
+        return F.array_min(F.transform(leading, lambda x: F.named_struct(F.lit("worse"), ~fits(x), F.lit("head"), x["line"], F.lit("names"), x["cells"])))
+
+    return let(F.transform(F.filter(rows, lambda x: x["line"] < HEADER_ROWS), shaped), best)
+
+
 def json_lines(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(path, line, record as variant) of JSON lines, and (path, broken) with the numbers of lines that can't be read."""
     rows = texts.select("path", F.posexplode(F.split("text", "\r?\n")).alias("line", "row")).filter(F.trim("row") != "")
@@ -217,13 +229,20 @@ def html_text(html: Column) -> Column:
 def _reader(read: Callable[[bytes], Iterator[tuple[str, int, str, str | None]]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["path", "part", "line", "column", "value", "error"]
+        frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"line": "Int64"})
         for batch in batches:
+            rows, size = [], 0
             for path, content in zip(batch.path, batch.content):
                 try:
-                    rows = [(path, *r, None) for r in read(bytes(content))]
+                    found = [(path, *r, None) for r in read(bytes(content))]
                 except Exception as e:
-                    rows = [(path, None, None, None, None, f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(rows, columns=names).astype({"line": "Int64"})
+                    found = [(path, None, None, None, None, f"{type(e).__name__}: {e}")]
+                rows += found
+                size += len(content)
+                if len(rows) >= FRAME_ROWS or size >= FRAME_BYTES:
+                    yield frame(rows)
+                    rows, size = [], 0
+            yield frame(rows)
 
     return run
 
@@ -337,11 +356,17 @@ def read(files: DataFrame) -> DataFrame:
     zipped = F.lower("path").endswith(".zip")
     held = written(expanded(files.filter(zipped)).filter(F.col("error").isNotNull() | ~zipped), "members")  # so that archives are opened once
     failed, files = held.filter("error IS NOT NULL"), files.filter(~zipped).select("path", "content").union(held.filter("error IS NULL").select("path", "content"))
-    void = F.when(F.col("content").isNull(), "no content").when(F.octet_length("content") == 0, "empty file")
-    missing, files = files.filter(void.isNotNull()).select("path", void.alias("error")), files.filter(void.isNull())
-    files = files.select("path", "content", kind_of(F.col("path"), F.col("content")).alias("kind"))
+    void = lambda c: F.when(c.isNull(), "no content").when(F.octet_length(c) == 0, "empty file")
+
+    def told(path: Column, c: Column) -> Column:
+        kind = F.when(void(c).isNull(), kind_of(path, c))
+        return let(kind, lambda k: F.named_struct(F.lit("void"), void(c), F.lit("kind"), k, F.lit("text"), F.when(~k.isin(*READERS), decoded(c)), F.lit("content"), F.when(k.isin(*READERS), c)))
+
+    files = spread(files).select("path", let(F.col("content"), lambda c: told(F.col("path"), c)).alias("f")).select("path", "f.*")
+    files = written(files, "kinds", "kind")  # so that each file is told and decoded once, and a reader meets its own kinds only
+    missing, files = files.filter("void IS NOT NULL").select("path", F.col("void").alias("error")), files.filter("void IS NULL")
     of = lambda *kinds: files.filter(F.col("kind").isin(*kinds))
-    texts = lambda *kinds: of(*kinds).select("path", decoded(F.col("content")).alias("text"), "kind")
+    texts = lambda *kinds: of(*kinds).select("path", "text", "kind")
     none = lambda name: F.lit(None).cast("string").alias(name)
     shaped = lambda df: df.select("path", none("part"), F.col("line").cast("long").alias("line"), "column", "value", none("error"))
     out = shaped(delimited(texts("table")))

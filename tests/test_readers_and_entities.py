@@ -146,3 +146,22 @@ def test_people_by_source_order_and_population(spark):
     assert kinds("feira.csv", "feira.csv", "base.csv") == {"leads": (2, False), "clientes": (1, True)}
     assert kinds("feira.csv", "rh/x.csv") == {"leads": (1, False), "colaboradores": (1, True)}
     assert kinds() == {}
+
+
+def test_each_file_is_made_and_told_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("binary")
+    def content(text):
+        made.add(1)
+        return text.encode()
+
+    some = [("a.csv", "id;nome\n1;Ana\n"), ("b.txt", "uma linha"), ("c.json", '{"a": {"b": 1}}'), ("d.xml", "<a><r><t>1</t></r></a>"), ("e.html", "<p>x</p>"), ("f.bin", "?")]
+    rows = spark.createDataFrame(some, "path string, text string").select("path", content("text").alias("content"))
+    assert sorted((r.path, r.value) for r in files.read(rows).collect()) == sorted([("a.csv", "1"), ("a.csv", "Ana"), ("b.txt", "uma linha"), ("c.json", "1"), ("d.xml", "1"), ("e.html", "x"), ("f.bin", None)])
+    assert made.value == len(some)
+
+
+def test_headers_of_texts_of_one_name(spark):
+    texts = spark.createDataFrame([("a", "x;y\n1;2\n"), ("a", "p;q\n3;4\n"), ("b", "\n" * 20 + "1;2\n")], "path string, text string")
+    assert sorted((r.column, r.value) for r in files.delimited(texts).collect()) == [("p", "3"), ("q", "4"), ("x", "1"), ("y", "2")]
