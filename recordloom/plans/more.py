@@ -12,11 +12,13 @@ from recordloom.plans.dirty import duck, view
 from recordloom.plans.people import _TXT_DUCK, _texts
 from recordloom.plans.scalars import d_cpf, d_name
 from recordloom.plans.wholetables import _REGS, _registries
-from recordloom.tables import table
+from recordloom.tables import table, written
 
 QUERIES: dict = {}
 SQL: dict = {}
 C = F.col
+#: Pairs of a person and a document, for each name that both share, that a task makes.
+TASK_PAIRS = 4_000_000
 
 
 def query(name: str, sql: str | None):
@@ -48,10 +50,18 @@ def json_items(spark, sf_dir):
 )
 def doc_inconsistencies(spark, sf_dir):
     texts, people = _texts(spark, sf_dir), view(spark, sf_dir, "people")
-    cited = texts.select("doc", F.explode(F.regexp_extract_all("text", F.lit("CPF ([0-9]{11})"), F.lit(1))).alias("cited"))
-    named = people.select("k", C("cpf11").alias("registered"), T.text_key(C("name")).alias("name_key"))
-    found = entity.mentions(texts, people).join(named, "name_key").join(cited, "doc")
-    return found.filter("cited <> registered").select("doc", "k", "cited", "registered").distinct()
+    cited = texts.select("doc", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("CPF ([0-9]{11})"), F.lit(1)))).alias("cited"))
+    told = written(entity.mentions(texts, people).join(cited.distinct(), "doc"), "told")  # each document, name and number once
+    # a person's name and number come from k, so every k has one name and pairs of different names are different rows
+    named = people.select("k", C("cpf11").alias("registered"), T.text_key(C("name")).alias("name_key")).distinct()
+    n = told.groupBy("name_key").agg(F.count("*").alias("n")).join(named.groupBy("name_key").agg(F.count("*").alias("m")), "name_key")
+    pairs, most = n.agg(F.coalesce(F.sum(C("n") * C("m")), F.lit(0)), F.coalesce(F.max(C("n") * C("m")), F.lit(0))).first()
+    # namesakes times documents: as many tasks as the rows need, and a frequent name is dealt to several
+    cuts, parts = max(1, -(-most // TASK_PAIRS)), max(2 * spark.sparkContext.defaultParallelism, -(-pairs // TASK_PAIRS))
+    told = told.withColumn("cut", F.pmod(F.xxhash64("doc", "cited"), F.lit(cuts))).repartition(parts, "name_key", "cut")
+    named = named.withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cuts - 1).cast("long")))).repartition(parts, "name_key", "cut")
+    found = named.hint("merge").join(told, ["name_key", "cut"])
+    return found.filter("cited <> registered").select("doc", "k", "cited", "registered")
 
 
 @query("key_discovery", _REGS + " SELECT 'cpf' AS key, round(3 * 1.5 * avg(share), 6) AS score FROM (SELECT (SELECT count(*) FROM ks p JOIN ks q ON p.k = q.k WHERE p.s = x.s AND q.s = y.s) / least(x.n, y.n) AS share FROM sz x JOIN sz y ON x.s < y.s)")
